@@ -2,8 +2,9 @@
 
 ``sum(x) over ()`` is a single-partition window, which is only acceptable on
 small inputs.  Here the total is a one-row global aggregate (partial sums in
-every task, one tiny final merge) cross-joined back by broadcast; one row is a
-proven size bound, so the plan stays distributed whatever the input size.
+every task, one tiny final merge) attached back by a broadcast join on a
+constant key; one row is a proven size bound, so the plan stays distributed
+whatever the input size.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.scalar import attach_scalar
+
 
 def with_shares(df: DataFrame, measures: Sequence[str], suffix: str = "_share", prefix: str = "") -> DataFrame:
     totals = df.agg(*[F.sum(m).alias(f"__total_{m}") for m in measures])
-    out = df.crossJoin(F.broadcast(totals))
+    out = attach_scalar(df, totals)
     for m in measures:
         name = f"{prefix}{m}{suffix}" if not prefix else f"{prefix}{m}"
         total = F.col(f"__total_{m}").cast("double")

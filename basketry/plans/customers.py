@@ -19,6 +19,7 @@ from basketry.functions.columns import (
     valid_order,
 )
 from basketry.operators.latest import latest_per_key
+from basketry.operators.scalar import attach_scalar
 from basketry.operators.topk import top_k
 from basketry.plans.filters import Filters, optional_in
 from basketry.plans.warehouse import Warehouse
@@ -55,8 +56,8 @@ def rfm_overview(wh: Warehouse, f: Filters) -> DataFrame:
         count_if(cooling).alias("cooling"),
         as_double(F.sum(F.when(cooling, F.col("monetary_value")).otherwise(zero))).alias("cooling_value"),
     )
-    # unfiltered scalar: one row, broadcast is bounded
-    return agg.crossJoin(F.broadcast(data_end(wh).withColumnRenamed("last_date", "last_purchase")))
+    # unfiltered scalar subquery: one row
+    return attach_scalar(agg, data_end(wh).withColumnRenamed("last_date", "last_purchase"))
 
 
 def rfm_segments(wh: Warehouse, f: Filters) -> DataFrame:

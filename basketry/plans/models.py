@@ -17,6 +17,7 @@ from pyspark.sql.types import FractionalType
 from basketry.functions.columns import date_key, f_score, is_churn, segment, valid_order
 from basketry.operators.latest import latest_per_key
 from basketry.operators.ntile import global_ntile
+from basketry.operators.scalar import attach_scalar
 
 MONEY = "decimal(18,4)"
 SIZE = "decimal(18,3)"
@@ -259,8 +260,7 @@ def rfm_reference_date(metrics: DataFrame) -> DataFrame:
 
 def rfm_recency(metrics: DataFrame) -> DataFrame:
     ref = rfm_reference_date(metrics)
-    # one row: broadcasting it is bounded.
-    return metrics.crossJoin(F.broadcast(ref)).select(
+    return attach_scalar(metrics, ref).select(
         "customer_unique_id",
         F.datediff(F.col("reference_date"), F.to_date("last_purchase_timestamp")).cast("bigint").alias("recency_days"),
         "frequency_orders",
