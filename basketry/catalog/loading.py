@@ -1 +1,153 @@
-"""Loader and sink jobs (filled in below)."""
+"""Loader, sink and export jobs, registered with reference SQL.
+
+Each job writes into a fresh folder below the shared root and returns the
+rows it reads back (or its audit); the reference SQL is the plain select of
+the same input.  No timestamps or paths are returned.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketry import oracle as O
+from basketry.catalog.core import QUERIES, from_query, register, wh
+from basketry.plans.warehouse import MARTS
+from basketry.session import shared_root
+from basketry.sources import loaders as L
+from basketry.sources.binding import RAW_TABLES
+from basketry.streaming.chunked_load import load_in_chunks, read_loaded
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    return f"{shared_root(spark)}/basketry-io/{what}-{uuid.uuid4().hex[:10]}"
+
+
+def _csv_extract(spark: SparkSession, sf_dir: str, table: str, files: int | None = None) -> tuple[str, DataFrame]:
+    """Write a raw table as CSV files (the landing copy) and return its folder."""
+    raw = wh(spark, sf_dir).raw(table)
+    if table == "category_name_translation":
+        raw = raw.withColumnsRenamed({v: k for k, v in L.TRANSLATION_COLUMNS.items()})
+    path = scratch(spark, f"landing-{table}")
+    L.write_csv(raw.repartition(files) if files else raw, path)
+    return path, raw
+
+
+def _load_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, raw = _csv_extract(spark, sf_dir, "orders")
+    return L.read_csv(spark, path, raw.schema)
+
+
+register("load_raw_csv", O.with_models("SELECT * FROM raw_orders"))(_load_raw_csv)
+
+
+def _load_raw_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, raw = _csv_extract(spark, sf_dir, "order_items")
+    header = ",".join(raw.columns)
+    # Malformed lines appended to the landing folder (text in numeric columns).
+    junk = [header] + [f"{i},not-a-number,1,1,1997-01-01T00:00:00.000,x{i},0.5" for i in range(7)]
+    spark.createDataFrame([(line,) for line in junk], "value string").coalesce(1).write.mode("append").text(path)
+    good, bad = L.read_csv_tolerant(spark, path, raw.schema)
+    if bad != 7:
+        raise AssertionError(f"expected 7 malformed rows, found {bad}")
+    return good
+
+
+register("load_raw_bad_rows", O.with_models("""
+SELECT order_id, order_item_id, product_id, seller_id, shipping_limit_date, CAST(price AS DOUBLE) AS price,
+  CAST(freight_value AS DOUBLE) AS freight_value FROM raw_order_items"""))(_load_raw_bad_rows)
+
+
+def _load_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, raw = _csv_extract(spark, sf_dir, "category_name_translation")
+    return L.rename_translation(L.read_csv(spark, path, raw.schema))
+
+
+register("load_rename", O.with_models("SELECT * FROM raw_category_name_translation"))(_load_rename)
+
+
+def _sink_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sellers = wh(spark, sf_dir).raw("sellers")
+    target = scratch(spark, "sellers")
+    L.write_full_refresh(sellers, target)
+    L.write_full_refresh(sellers, target)  # a second run replaces, never doubles
+    return spark.read.parquet(target)
+
+
+register("sink_full_refresh", O.with_models("SELECT * FROM raw_sellers"))(_sink_full_refresh)
+
+
+def _sink_truncate_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, raw = _csv_extract(spark, sf_dir, "orders", files=4)
+    target, ckpt = scratch(spark, "orders-chunked"), scratch(spark, "orders-chunked-ckpt")
+    load_in_chunks(spark, path, raw.schema, target, ckpt, files_per_chunk=1)
+    return read_loaded(spark, target)
+
+
+register("sink_truncate_append", O.with_models("SELECT * FROM raw_orders"))(_sink_truncate_append)
+
+
+def _specs(spark: SparkSession, sf_dir: str, tables) -> list[L.LoadSpec]:
+    specs = []
+    for t in tables:
+        if t in RAW_TABLES:
+            path, raw = _csv_extract(spark, sf_dir, t)
+            schema = raw.schema
+        else:
+            path, schema = scratch(spark, f"absent-{t}"), wh(spark, sf_dir).raw("orders").schema
+        specs.append(L.LoadSpec(t, path, schema))
+    return specs
+
+
+def _audit_sql(tables) -> str:
+    parts = []
+    for t in tables:
+        if t in RAW_TABLES:
+            ncols = {"orders": 8, "order_items": 7, "customers": 5, "products": 9, "order_payments": 5,
+                     "sellers": 4, "category_name_translation": 2}[t]
+            parts.append(f"SELECT '{t}' AS \"table\", 'loaded' AS status, count(*) AS rows, "
+                         f"CAST({ncols} AS BIGINT) AS columns, CAST(NULL AS VARCHAR) AS message FROM raw_{t}")
+        else:
+            parts.append(f"SELECT '{t}' AS \"table\", 'missing' AS status, CAST(NULL AS BIGINT) AS rows, "
+                         f"CAST(NULL AS BIGINT) AS columns, 'file not found: ' || '{t}' AS message")
+    return O.with_models(" UNION ALL ".join(parts))
+
+
+def _load_audit(spark: SparkSession, sf_dir: str, tables) -> DataFrame:
+    audit = L.load_tables(spark, _specs(spark, sf_dir, tables), scratch(spark, "raw-layer"))
+    # the message of a missing file names the table, not the scratch path
+    return audit.withColumn("message", F.when(F.col("status") == "missing",
+                                              F.concat(F.lit("file not found: "), F.col("table"))))
+
+
+register("load_audit", _audit_sql(RAW_TABLES))(lambda s, d: _load_audit(s, d, RAW_TABLES))
+_ISOLATION = ("orders", "order_reviews", "sellers", "geolocation", "category_name_translation")
+register("load_isolation", _audit_sql(_ISOLATION))(lambda s, d: _load_audit(s, d, _ISOLATION))
+
+
+def _materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = wh(spark, sf_dir)
+    rows = []
+    for m in MARTS[:7]:
+        df = w.table(m)
+        rows.append((m, df.count(), len(df.columns)))
+    return spark.createDataFrame(rows, "mart string, rows bigint, columns bigint")
+
+
+_MART_COLS = {"dim_time": 10, "dim_customers": 5, "dim_products": 9, "dim_sellers": 4, "dim_payments": 4,
+              "fct_order_items_sales": 14, "fct_customer_rfm": 11}
+register("materialize_marts", O.with_models(" UNION ALL ".join(
+    f"SELECT '{m}' AS mart, count(*) AS rows, CAST({n} AS BIGINT) AS columns FROM {m}"
+    for m, n in _MART_COLS.items())))(_materialize)
+
+
+def _export_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = QUERIES["campaign_targets"][0](spark, sf_dir)
+    path = scratch(spark, "export-campaign-targets")
+    L.write_csv(targets, path)
+    return L.read_csv(spark, path, targets.schema)
+
+
+register("export_list", f"SELECT * FROM {from_query('campaign_targets')}")(_export_list)
