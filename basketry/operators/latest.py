@@ -1,25 +1,47 @@
-"""Latest row per key, as an aggregate instead of a window.
+"""Latest row per key, as aggregates instead of a window.
 
 ``row_number() over (partition by key order by ...) = 1`` sends every row of a
 key to one task; a key holding a third of the rows makes one task do a third
 of the work.  ``max(struct(order..., payload...))`` is a hash aggregate with a
 map-side partial step, so a hot key is reduced inside each input partition
-before the shuffle and the result is the same row.
+before the shuffle, and the result is the same row.
 
-Descending order columns enter the struct as they are; ascending numeric order
-columns enter negated (``-x`` sorts like ``x`` descending).  Null order values
-sort low in a struct, i.e. last in descending order, as in SQL ``DESC``.
+A struct compares its fields in one direction, so the order columns are cut
+into runs of one direction.  Numeric columns fit either run (``-x`` sorts like
+``x`` reversed).  With a single run the answer is one ``max``/``min`` of a
+struct.  With several runs, each run but the last is an aggregate of its
+values per key, joined back (null-safe, on key and values) to keep only the
+rows that tie on it; the last run picks the row.  Null order values sort low
+in a struct: last in descending order, first in ascending, as in Spark SQL
+(a negated numeric column keeps its nulls last).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 
+def _runs(order_by: Sequence[tuple[str, bool]], numeric: set[str]) -> list[tuple[bool, list[tuple[str, bool]]]]:
+    """[(descending, [(column, negate)])]: consecutive columns sharing one direction."""
+    runs: list[tuple[bool, list[tuple[str, bool]]]] = []
+    for name, desc in order_by:
+        if runs and (runs[-1][0] == desc or name in numeric):
+            run_desc = runs[-1][0]
+            runs[-1][1].append((name, run_desc != desc))
+        else:
+            runs.append((desc, [(name, False)]))
+    return runs
+
+
+def _fields(cols: list[tuple[str, bool]], prefix: str) -> list[Column]:
+    return [(-F.col(c) if neg else F.col(c)).alias(f"{prefix}{i}") for i, (c, neg) in enumerate(cols)]
+
+
 def latest_per_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,19 +50,21 @@ def latest_per_key(
 ) -> DataFrame:
     """One row per ``keys``: the first row in ``order_by`` order.
 
-    ``order_by`` is ``[(column, descending), ...]``; ascending columns must be
-    numeric.  Returns ``keys + payload`` columns.
+    ``order_by`` is ``[(column, descending), ...]``.  Returns ``keys + payload``.
     """
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    parts: list[Column] = []
-    for i, (name, desc) in enumerate(order_by):
-        c = F.col(name)
-        if not desc:
-            if not isinstance(types[name], NumericType):
-                raise TypeError(f"ascending order column {name} must be numeric")
-            c = -c
-        parts.append(c.alias(f"__o{i}"))
-    parts += [F.col(p).alias(p) for p in payload]
-    best = F.max(F.struct(*parts)).alias("__best")
-    out = df.groupBy(*keys).agg(best)
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    runs = _runs(order_by, numeric)
+    cur = df
+    for r, (desc, cols) in enumerate(runs[:-1]):
+        agg = F.max if desc else F.min
+        best = cur.groupBy(*keys).agg(agg(F.struct(*_fields(cols, "o"))).alias("__b"))
+        best = best.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           *[F.col(f"__b.o{i}").alias(f"__v{r}_{i}") for i in range(len(cols))])
+        cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        cond += [(-F.col(c) if neg else F.col(c)).eqNullSafe(F.col(f"__v{r}_{i}")) for i, (c, neg) in enumerate(cols)]
+        cur = cur.join(best, reduce(lambda a, b: a & b, cond), "left_semi")
+    desc, cols = runs[-1]
+    agg = F.max if desc else F.min
+    pick = agg(F.struct(*_fields(cols, "o"), *[F.col(p).alias(p) for p in payload])).alias("__best")
+    out = cur.groupBy(*keys).agg(pick)
     return out.select(*keys, *[F.col(f"__best.{p}").alias(p) for p in payload])
