@@ -6,6 +6,9 @@ back, which cuts lineage the way the source's table models do.  Each
 ``Warehouse`` writes into its own run folder, so concurrent jobs never share
 half-written output; a mart is built at most once per warehouse.
 
+The raw layer is written once on first use (the source's load step), so the
+binding from the test tables is derived once, not by every model and check.
+
 Beyond the source's marts, two query-side tables are materialised:
 
 * ``fct_sales_wide`` - the six-table star join that every sales question
@@ -67,9 +70,14 @@ class Warehouse:
 
     # ------------------------------------------------------------ raw/views
     def raw(self, name: str) -> DataFrame:
+        """Raw-layer table, loaded (written) once like the source's load step,
+        so the models and the reconciliation jobs read it without re-deriving it."""
         if name in self._raw_override:
             return self._raw_override[name]
-        return raw_table(self.spark, self.sf_dir, name)
+        key = f"raw/{name}"
+        if key not in self._built:
+            self._write(key, raw_table(self.spark, self.sf_dir, name))
+        return self._built[key]
 
     def stg(self, name: str) -> DataFrame:
         fn: Callable[[DataFrame], DataFrame] = getattr(M, f"stg_{name}")
