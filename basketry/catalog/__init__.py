@@ -11,3 +11,4 @@ from basketry.catalog import models  # noqa: F401,E402
 from basketry.catalog import finishing  # noqa: F401,E402
 from basketry.catalog import quality  # noqa: F401,E402
 from basketry.catalog import loading  # noqa: F401,E402
+from basketry.catalog import report  # noqa: F401,E402

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -44,6 +45,7 @@ MARTS = (
 )
 
 _OPEN: dict[tuple, "Warehouse"] = {}
+_OPEN_LOCK = threading.Lock()
 
 
 def _fingerprint(sf_dir: str) -> str:
@@ -67,6 +69,7 @@ class Warehouse:
         self._raw_override = raw or {}
         self._built: dict[str, DataFrame] = {}
         self.build_stats: dict[str, int] = {}
+        self._lock = threading.RLock()  # concurrent queries build a table once
 
     # ------------------------------------------------------------ raw/views
     def raw(self, name: str) -> DataFrame:
@@ -75,9 +78,10 @@ class Warehouse:
         if name in self._raw_override:
             return self._raw_override[name]
         key = f"raw/{name}"
-        if key not in self._built:
-            self._write(key, raw_table(self.spark, self.sf_dir, name))
-        return self._built[key]
+        with self._lock:
+            if key not in self._built:
+                self._write(key, raw_table(self.spark, self.sf_dir, name))
+            return self._built[key]
 
     def stg(self, name: str) -> DataFrame:
         fn: Callable[[DataFrame], DataFrame] = getattr(M, f"stg_{name}")
@@ -106,9 +110,10 @@ class Warehouse:
         return out
 
     def table(self, name: str) -> DataFrame:
-        if name in self._built:
-            return self._built[name]
-        return self._write(name, self._plan(name))
+        with self._lock:
+            if name in self._built:
+                return self._built[name]
+            return self._write(name, self._plan(name))
 
     def _plan(self, name: str) -> DataFrame:
         p = self.profile
@@ -156,8 +161,9 @@ class Warehouse:
 
 def open_warehouse(spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE) -> Warehouse:
     """One warehouse per (session, input folder) in this process."""
-    key = (id(spark), os.path.realpath(sf_dir), profile)
-    wh = _OPEN.get(key)
-    if wh is None:
-        wh = _OPEN[key] = Warehouse(spark, sf_dir, profile)
+    key = (id(spark), spark.sparkContext.applicationId, os.path.realpath(sf_dir), profile)
+    with _OPEN_LOCK:
+        wh = _OPEN.get(key)
+        if wh is None:
+            wh = _OPEN[key] = Warehouse(spark, sf_dir, profile)
     return wh
