@@ -21,3 +21,11 @@ def order_cols(order_by: Sequence[tuple[str, bool]]) -> list[Column]:
 def top_k(df: DataFrame, order_by: Sequence[tuple[str, bool]], k: int | None) -> DataFrame:
     ordered = df.orderBy(*order_cols(order_by))
     return ordered.limit(int(k)) if k else ordered
+
+
+def order_small(df: DataFrame, *cols: str | Column) -> DataFrame:
+    """Order a result whose row count is bounded by construction (calendar
+    periods, 30-day buckets, payment types): one partition sorted locally,
+    avoiding the sampling job and shuffle of a global range sort.  Unbounded
+    results keep ``orderBy``."""
+    return df.coalesce(1).sortWithinPartitions(*cols)

@@ -20,7 +20,7 @@ from basketry.functions.columns import (
 )
 from basketry.operators.latest import latest_per_key
 from basketry.operators.scalar import attach_scalar
-from basketry.operators.topk import top_k
+from basketry.operators.topk import order_small, top_k
 from basketry.plans.filters import Filters, optional_in
 from basketry.plans.warehouse import Warehouse
 
@@ -93,7 +93,7 @@ def recency_histogram(wh: Warehouse, f: Filters) -> DataFrame:
         rfm_base(wh, f)
         .groupBy(recency_bucket().alias("bucket"))
         .agg(F.count(F.lit(1)).alias("customers"), as_double(F.sum("monetary_value")).alias("monetary"))
-        .orderBy("bucket")
+        .transform(lambda d: order_small(d, "bucket"))
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from basketry.functions.columns import CHURN_DAYS, COOLING_FROM, SEGMENT_ORDER, safe_divide
 from basketry.operators.scalar import attach_scalar
 from basketry.operators.share import with_shares
-from basketry.operators.topk import top_k
+from basketry.operators.topk import order_small, top_k
 
 # Payment-type labels (display names; unknown types keep their code).
 PAYMENT_LABELS = {
@@ -129,7 +129,7 @@ def top_products_share(products: DataFrame, kpi: DataFrame) -> DataFrame:
 
 def yoy_pivot(yoy: DataFrame, field: str, years: tuple[int, int]) -> DataFrame:
     """month x year pivot of ``field`` (values listed, so no extra pass)."""
-    return yoy.groupBy("month").pivot("year", list(years)).agg(F.sum(field)).orderBy("month")
+    return order_small(yoy.groupBy("month").pivot("year", list(years)).agg(F.sum(field)), "month")
 
 
 def yoy_growth(yoy: DataFrame, years: tuple[int, int]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import as_double, count_if, safe_divide
-from basketry.operators.topk import top_k
+from basketry.operators.topk import order_small, top_k
 from basketry.plans.filters import Filters, sales_filter
 from basketry.plans.models import sales_star_join
 from basketry.plans.warehouse import Warehouse
@@ -81,7 +81,7 @@ def revenue_by_month(wh: Warehouse, f: Filters) -> DataFrame:
         sales_base(wh, f)
         .groupBy(_period("month").alias("month"))
         .agg(_money("item_total_amount").alias("revenue"), F.countDistinct("order_id").alias("orders"))
-        .orderBy("month")
+        .transform(lambda d: order_small(d, "month"))
     )
 
 
@@ -92,7 +92,7 @@ def sales_by_period(wh: Warehouse, f: Filters, grain: str) -> DataFrame:
         sales_base(wh, f)
         .groupBy(_period(grain).alias("period"))
         .agg(_money("item_total_amount").alias("revenue"), F.countDistinct("order_id").alias("orders"))
-        .orderBy("period")
+        .transform(lambda d: order_small(d, "period"))
     )
 
 
@@ -116,7 +116,7 @@ def top_products(wh: Warehouse, f: Filters, limit: int = 10) -> DataFrame:
 
 def payment_mix(wh: Warehouse, f: Filters) -> DataFrame:
     agg = sales_base(wh, f).groupBy("payment_type").agg(F.countDistinct("order_id").alias("orders"))
-    return top_k(agg, [("orders", True), ("payment_type", False)], None)
+    return order_small(agg, F.col("orders").desc(), "payment_type")
 
 
 def same_months_by_year(wh: Warehouse, f: Filters) -> DataFrame:
@@ -129,7 +129,7 @@ def same_months_by_year(wh: Warehouse, f: Filters) -> DataFrame:
         .filter(F.col("month") <= last)
         .groupBy("year", "month")
         .agg(_money("item_total_amount").alias("revenue"), F.countDistinct("order_id").alias("orders"))
-        .orderBy("year", "month")
+        .transform(lambda d: order_small(d, "year", "month"))
     )
 
 
@@ -206,4 +206,4 @@ def seller_origin_late(wh: Warehouse, f: Filters, seller_state: str) -> DataFram
             "late_rate"
         ),
     )
-    return out.orderBy(F.col("has_state").desc())
+    return order_small(out, F.col("has_state").desc())
