@@ -306,21 +306,32 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
     """The six-table star join every sales question starts from (no filters).
 
     Inner joins drop rows outside the calendar or without a dimension row;
-    payments is a left join whose misses become 'unknown'.  The calendar is
-    bounded by the profile's date range, so it is broadcast; the other
-    dimensions are left to the planner and AQE's runtime size check.
+    payments is a left join whose misses become 'unknown'.
+
+    Customer and payment attributes belong to the order, so they are joined
+    to a one-row-per-order table first (order grain is several times smaller
+    than item grain, and the per-order reduction combines items map-side);
+    the item-grain fact is then shuffled once, by ``order_id``.  The calendar
+    is bounded by the profile's date range and is broadcast; products and
+    sellers are left to the planner and AQE's runtime size check.
     """
     t = time.select("date_key", "full_date", "year", "quarter", "month", "day_of_week", "day_name")
     c = customers.select("customer_unique_id", "customer_state", "customer_city")
     p = products.select("product_id", F.col("product_category_name_english").alias("category"))
     s = sellers.select("seller_id", "seller_state")
     pay = payments.select("order_id", "payment_type_primary")
+    per_order = (
+        fact.groupBy("order_id").agg(F.max("customer_unique_id").alias("customer_unique_id"))  # one customer per order
+        .join(c, "customer_unique_id")
+        .join(pay, "order_id", "left")
+        .select("order_id", "customer_state", "customer_city",
+                F.coalesce(F.col("payment_type_primary"), F.lit("unknown")).alias("payment_type"))
+    )
     j = (
         fact.join(F.broadcast(t), fact.order_date_key == t.date_key)
-        .join(c, "customer_unique_id")
+        .join(per_order, "order_id")
         .join(p, "product_id")
         .join(s, "seller_id")
-        .join(pay, "order_id", "left")
     )
     return j.select(
         "order_id",
@@ -333,7 +344,7 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
         "order_purchase_timestamp",
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
-        F.coalesce(F.col("payment_type_primary"), F.lit("unknown")).alias("payment_type"),
+        "payment_type",
         "full_date",
         "year",
         "quarter",

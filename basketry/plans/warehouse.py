@@ -25,7 +25,8 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.plans import models as M
 from basketry.profile import TEST_PROFILE, Profile
@@ -149,8 +150,10 @@ class Warehouse:
 
     def _plan_rfm(self) -> DataFrame:
         fact = self.table("fct_order_items_sales")
-        metrics = self._write("_rfm_metrics", M.rfm_metrics(M.rfm_customer_orders(fact)))
-        n = metrics.count()
+        obs = Observation("rfm_metrics")  # row count observed by the write itself, no extra job
+        metrics = M.rfm_metrics(M.rfm_customer_orders(fact)).observe(obs, F.count(F.lit(1)).alias("n"))
+        metrics = self._write("_rfm_metrics", metrics)
+        n = int(obs.get["n"])
         self.build_stats["rfm_customers"] = n
         recency = M.rfm_recency(metrics)
         return M.rfm_segmented(M.rfm_scores(recency, n_rows=n))
