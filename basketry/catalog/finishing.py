@@ -107,7 +107,8 @@ register("peak_slot", f"""
 SELECT day_of_week, hour, orders FROM {from_query('orders_by_weekday_hour')}
 ORDER BY orders DESC, day_of_week, hour LIMIT 3""")(lambda s, d: Fn.peak_slots(_run("orders_by_weekday_hour", s, d)))
 register("weekday_share", f"""
-SELECT day_of_week, orders, CAST(orders AS DOUBLE) / sum(orders) OVER () AS share
+SELECT day_of_week, orders, CAST(orders AS DOUBLE) / sum(orders) OVER () AS share,
+  day_of_week = first(day_of_week ORDER BY orders DESC, day_of_week) OVER () AS is_busiest
 FROM (SELECT day_of_week, sum(orders) AS orders FROM {from_query('orders_by_weekday_hour')} GROUP BY day_of_week) w""")(
     lambda s, d: Fn.weekday_share(_run("orders_by_weekday_hour", s, d)))
 register("hour_band_share", f"""
@@ -351,3 +352,13 @@ SELECT c.segment, s.scenario_index, s.scenario,
 FROM seg c, k, scen s""")(
     lambda s, d: K.evaluate(_segment_cohorts(s, d), K.DEFAULT_SCENARIOS, organic="repeat_rate")
     .select("segment", "scenario_index", "scenario", "profit"))
+
+_TITLE = ("array_to_string(list_transform(range(1, greatest(length(city), 1) + 1), lambda i: CASE WHEN i = 1 "
+          "OR NOT regexp_matches(substr(city, i - 1, 1), '\\p{L}') THEN upper(substr(city, i, 1)) "
+          "ELSE lower(substr(city, i, 1)) END), '')")
+register("city_labels", f"""
+SELECT city, state, orders, revenue, {_TITLE} || ' · ' || state AS label FROM {from_query('top_cities')}""")(
+    lambda s, d: Fn.city_labels(_run("top_cities", s, d)))
+register("product_labels", f"""
+SELECT product_id, category, revenue, orders, avg_price, substr(CAST(product_id AS VARCHAR), 1, 8) || '…' AS product
+FROM {from_query('top_products')}""")(lambda s, d: Fn.product_labels(_run("top_products", s, d)))

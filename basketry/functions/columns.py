@@ -100,3 +100,20 @@ def as_double(c: str | Column) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
+
+
+def title_case(s: str | Column) -> Column:
+    """Title case as in Python's ``str.title``: a letter is upper-cased when it
+    follows a non-letter (or starts the text), lower-cased otherwise.
+    (``initcap`` only breaks words at spaces.)  Built-in higher-order
+    expression, no Python per row."""
+    s = col_(s)
+    idx = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))
+
+    def char(i: Column) -> Column:
+        cur = F.substring(s, i, 1)
+        prev = F.substring(s, i - 1, 1)
+        starts = (i == 1) | ~prev.rlike(r"\p{L}")
+        return F.when(starts, F.upper(cur)).otherwise(F.lower(cur))
+
+    return F.when(s.isNotNull(), F.array_join(F.transform(idx, char), ""))

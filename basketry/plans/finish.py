@@ -14,7 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import CHURN_DAYS, COOLING_FROM, SEGMENT_ORDER, safe_divide
+from basketry.functions.columns import CHURN_DAYS, COOLING_FROM, SEGMENT_ORDER, safe_divide, title_case
 from basketry.operators.scalar import attach_scalar
 from basketry.operators.share import with_shares
 from basketry.operators.topk import order_small, top_k
@@ -117,6 +117,16 @@ def payment_share(payments: DataFrame) -> DataFrame:
     return out.select("payment_type", "orders", F.col("orders_share").alias("share"), label.alias("label"))
 
 
+def product_labels(products: DataFrame) -> DataFrame:
+    """Short product label: the first 8 characters of the id and an ellipsis."""
+    return products.withColumn("product", F.concat(F.substring(F.col("product_id").cast("string"), 1, 8), F.lit("…")))
+
+
+def city_labels(cities: DataFrame) -> DataFrame:
+    """'City · STATE' with the city in title case."""
+    return cities.withColumn("label", F.concat(title_case("city"), F.lit(" · "), F.col("state")))
+
+
 def top_products_share(products: DataFrame, kpi: DataFrame) -> DataFrame:
     top = products.agg(F.sum("revenue").alias("top_revenue"), F.count(F.lit(1)).alias("products"))
     total = kpi.select(F.col("revenue").alias("period_revenue"))
@@ -168,8 +178,12 @@ def peak_slots(grid: DataFrame, n: int = 3) -> DataFrame:
 
 
 def weekday_share(grid: DataFrame) -> DataFrame:
+    """Orders and share per weekday; ``is_busiest`` marks the first day with the most orders."""
     by_day = grid.groupBy("day_of_week").agg(F.sum("orders").alias("orders"))
-    return with_shares(by_day, ["orders"], suffix="_share").withColumnRenamed("orders_share", "share")
+    shares = with_shares(by_day, ["orders"], suffix="_share").withColumnRenamed("orders_share", "share")
+    busiest = top_k(by_day, [("orders", True), ("day_of_week", False)], 1).select(F.col("day_of_week").alias("__b"))
+    return attach_scalar(shares, busiest).select(
+        "day_of_week", "orders", "share", (F.col("day_of_week") == F.col("__b")).alias("is_busiest"))
 
 
 def hour_band_share(grid: DataFrame) -> DataFrame:
