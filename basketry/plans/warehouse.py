@@ -45,6 +45,8 @@ MARTS = (
     "rfm_customers",
 )
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
 _OPEN: dict[tuple, "Warehouse"] = {}
 _OPEN_LOCK = threading.Lock()
 
@@ -142,12 +144,26 @@ class Warehouse:
                 self.table("dim_payments"),
             )
             # Range partitioning by date: files and row groups carry tight
-            # min/max statistics on order_date_key for filter pushdown.
-            return wide.repartitionByRange("order_date_key").sortWithinPartitions("order_date_key")
+            # min/max statistics on order_date_key for filter pushdown.  The
+            # number of ranges follows the fact's size on storage, so output
+            # files stay near the target size at any scale.
+            n = self._partitions_for(self.path("fct_order_items_sales"))
+            return wide.repartitionByRange(n, "order_date_key").sortWithinPartitions("order_date_key")
         if name == "rfm_customers":
             return M.rfm_with_customers(self.table("fct_customer_rfm"), self.table("dim_customers"))
         raise KeyError(name)
 
+    def stored_bytes(self, path: str) -> int:
+        """Bytes of the files below ``path``, from the file listing only (the
+        binary-file source reads no content when ``content`` is not selected)."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet") \
+            .option("recursiveFileLookup", "true").load(path)
+        return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0])
+
+    def _partitions_for(self, path: str) -> int:
+        floor = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(floor, -(-self.stored_bytes(path) // TARGET_PARTITION_BYTES))
+
     def _plan_rfm(self) -> DataFrame:
         fact = self.table("fct_order_items_sales")
         obs = Observation("rfm_metrics")  # row count observed by the write itself, no extra job
