@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from basketry import oracle as O
-from basketry.catalog.core import ALL, DEF, QUERIES, from_query, register, wh
+from basketry.catalog.core import DEF, QUERIES, from_query, register
 from basketry.functions.columns import SEGMENT_ORDER
 from basketry.operators.scalar import attach_scalar
 from basketry.plans import campaign as K
-from basketry.plans import customers as C
 from basketry.plans import finish as Fn
-from basketry.plans import sales as S
 from basketry.profile import TEST_PROFILE
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from basketry import oracle as O
-from basketry.catalog.core import ALL, DEF, FILTERED, RJ, RJ_SELLER_STATE, SOME_CATEGORIES, SOME_STATES, _rfm_sql, _sales_sql, register, wh
+from basketry.catalog.core import ALL, DEF, FILTERED, RJ, RJ_SELLER_STATE, _rfm_sql, _sales_sql, register, wh
 from basketry.functions.columns import SEGMENT_ORDER
 from basketry.plans import customers as C
 from basketry.plans import sales as S
@@ -71,7 +73,7 @@ SELECT payment_type, count(DISTINCT order_id) AS orders FROM sales
 GROUP BY payment_type ORDER BY orders DESC, payment_type"""))(lambda s, d: S.payment_mix(wh(s, d), DEF))
 
 _y1, _y2 = TEST_PROFILE.compare_years
-register("same_months_by_year", _sales_sql(Filters(O.date(_y1, 1, 1), O.date(_y2, 8, 31)), """
+register("same_months_by_year", _sales_sql(Filters(date(_y1, 1, 1), date(_y2, 8, 31)), """
 SELECT year, month, CAST(sum(item_total_amount) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders
 FROM sales WHERE month <= 8 GROUP BY year, month ORDER BY year, month"""))(
     lambda s, d: S.same_months_by_year(wh(s, d), DEF))

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import (
-    COOLING_FROM,
-    CHURN_DAYS,
     as_double,
     count_if,
     is_cooling,
@@ -183,5 +181,3 @@ def filter_options(wh: Warehouse) -> DataFrame:
     last = data_end(wh).select(F.lit("last_date").alias("kind"), F.col("last_date").cast("string").alias("value"))
     return states.distinct().unionByName(cats.distinct()).unionByName(last).orderBy("kind", "value")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["CHURN_DAYS", "COOLING_FROM"]
