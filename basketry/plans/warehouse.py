@@ -24,6 +24,7 @@ import os
 import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from basketry.plans import models as M
 from basketry.profile import TEST_PROFILE, Profile
 from basketry.session import shared_root
-from basketry.sources.binding import SOURCE_TABLES, raw_table
+from basketry.sources.binding import RAW_TABLES, SOURCE_TABLES, raw_table
 
 MARTS = (
     "dim_time",
@@ -72,7 +73,8 @@ class Warehouse:
         self._raw_override = raw or {}
         self._built: dict[str, DataFrame] = {}
         self.build_stats: dict[str, int] = {}
-        self._lock = threading.RLock()  # concurrent queries build a table once
+        self._lock = threading.Lock()  # guards the two dicts below
+        self._building: dict[str, threading.Lock] = {}  # one lock per table: built once, by whoever asks first
 
     # ------------------------------------------------------------ raw/views
     def raw(self, name: str) -> DataFrame:
@@ -80,11 +82,7 @@ class Warehouse:
         so the models and the reconciliation jobs read it without re-deriving it."""
         if name in self._raw_override:
             return self._raw_override[name]
-        key = f"raw/{name}"
-        with self._lock:
-            if key not in self._built:
-                self._write(key, raw_table(self.spark, self.sf_dir, name))
-            return self._built[key]
+        return self._once(f"raw/{name}", lambda: raw_table(self.spark, self.sf_dir, name))
 
     def stg(self, name: str) -> DataFrame:
         fn: Callable[[DataFrame], DataFrame] = getattr(M, f"stg_{name}")
@@ -109,14 +107,23 @@ class Warehouse:
     def _write(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
         out = self.spark.read.parquet(self.path(name))
-        self._built[name] = out
+        with self._lock:
+            self._built[name] = out
         return out
 
-    def table(self, name: str) -> DataFrame:
+    def _once(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
             if name in self._built:
                 return self._built[name]
-            return self._write(name, self._plan(name))
+            lock = self._building.setdefault(name, threading.Lock())
+        with lock:  # dependencies form a DAG, so waiting here cannot cycle
+            with self._lock:
+                if name in self._built:
+                    return self._built[name]
+            return self._write(name, plan())
+
+    def table(self, name: str) -> DataFrame:
+        return self._once(name, lambda: self._plan(name))
 
     def _plan(self, name: str) -> DataFrame:
         p = self.profile
@@ -174,7 +181,12 @@ class Warehouse:
         recency = M.rfm_recency(metrics)
         return M.rfm_segmented(M.rfm_scores(recency, n_rows=n))
 
-    def build_all(self) -> dict[str, DataFrame]:
+    def build_all(self, threads: int = 4) -> dict[str, DataFrame]:
+        """Build every mart, up to ``threads`` at once (the source's dbt runs
+        four models at a time); a mart waits only for the tables it reads."""
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            list(pool.map(self.raw, RAW_TABLES))
+            list(pool.map(self.table, MARTS))
         return {m: self.table(m) for m in MARTS}
 
 
