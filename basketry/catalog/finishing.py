@@ -323,8 +323,10 @@ FROM (SELECT ev.*, CAST(p AS INTEGER) AS point,
         CASE WHEN p = 59 THEN up.upper ELSE p * (up.upper / 59) END AS response_rate
       FROM ev, up, range(60) r(p)) x""")(lambda s, d: K.profit_curve(_ev(s, d), (), organic="repeat_rate"))
 
-register("campaign_defaults", f"SELECT * FROM {_scen_sql()} d")(
-    lambda s, d: K.scenarios_frame(s))
+register("campaign_defaults", f"""
+SELECT d.*, CAST(0.3 AS DOUBLE) AS margin, k.repeat_rate AS organic
+FROM {_scen_sql()} d, {from_query('pool_kpis', 'k')}""")(
+    lambda s, d: K.default_assumptions(Fn.pool_kpis(_run("campaign_pool", s, d))))
 
 
 

@@ -187,11 +187,19 @@ def dim_payments(agg: DataFrame) -> DataFrame:
     )
 
 
-def dim_time(spark: SparkSession, start: date, end: date) -> DataFrame:
+def calendar_days(orders: DataFrame) -> DataFrame:
+    """Every day of the whole calendar years spanned by the order purchase
+    dates (the source's fixed 2016-2018 calendar is exactly that for its
+    data).  A lazy aggregate plus ``explode(sequence)``: nothing is collected."""
+    ts = F.col("order_purchase_timestamp")
+    span = orders.agg(F.year(F.min(ts)).alias("y0"), F.year(F.max(ts)).alias("y1"))
+    return span.select(F.explode(F.sequence(F.make_date(F.col("y0"), F.lit(1), F.lit(1)),
+                                            F.make_date(F.col("y1"), F.lit(12), F.lit(31)),
+                                            F.expr("interval 1 day"))).alias("full_date"))
+
+
+def dim_time(days: DataFrame) -> DataFrame:
     """One row per calendar day; day_of_week 1 = Sunday."""
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("full_date")
-    )
     d = F.col("full_date")
     dow = F.dayofweek(d)
     return days.select(

@@ -111,6 +111,12 @@ class Warehouse:
             self._built[name] = out
         return out
 
+    def save_result(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a (small) job result below this warehouse and read it back."""
+        path = self.path(f"results/{name}-{uuid.uuid4().hex[:8]}")
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def _once(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
             if name in self._built:
@@ -128,7 +134,7 @@ class Warehouse:
     def _plan(self, name: str) -> DataFrame:
         p = self.profile
         if name == "dim_time":
-            return M.dim_time(self.spark, p.calendar_start, p.calendar_end).coalesce(1)
+            return M.dim_time(M.calendar_days(self.stg("orders"))).coalesce(1)
         if name == "dim_customers":
             return M.dim_customers(self.view("int_customers_deduplicated"))
         if name == "dim_products":
