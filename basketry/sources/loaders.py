@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from basketry.session import shared_root
+
 CORRUPT = "_corrupt_record"
 MAX_BAD_ROWS = 50
 
@@ -75,8 +78,11 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: StructType, max_ba
         .csv(path)
     )
     # The corrupt column cannot be queried alone from a raw CSV scan, so the
-    # parsed frame is cut into a written table first.
-    df = df.checkpoint(eager=True)
+    # parsed rows are written once as a table in the shared folder (one job;
+    # an eager RDD checkpoint would parse the file twice) and read back.
+    staged = f"{shared_root(spark)}/basketry-io/parsed-{uuid.uuid4().hex[:10]}"
+    df.write.mode("overwrite").parquet(staged)
+    df = spark.read.parquet(staged)
     bad = df.filter(F.col(CORRUPT).isNotNull()).count()
     if bad > max_bad_rows:
         raise TooManyBadRows(f"{path}: {bad} malformed rows (limit {max_bad_rows})")
