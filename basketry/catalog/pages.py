@@ -245,4 +245,4 @@ register("rfm_base", _rfm_sql(FILTERED, """
 SELECT customer_unique_id, recency_days, frequency_orders, CAST(monetary_value AS DOUBLE) AS monetary_value,
   last_purchase_timestamp, r_score, f_score, m_score, rfm_code, customer_segment, is_churn,
   customer_state, customer_city
-FROM customers_rfm"""))(lambda s, d: C.rfm_base(wh(s, d), FILTERED))
+FROM customers_rfm"""))(lambda s, d: C.rfm_base(wh(s, d), FILTERED).drop("last_category"))

@@ -14,9 +14,8 @@ from basketry.functions.columns import (
     is_cooling,
     recency_bucket,
     safe_divide,
-    valid_order,
 )
-from basketry.operators.latest import latest_per_key
+from basketry.plans import models as M
 from basketry.operators.scalar import attach_scalar
 from basketry.operators.topk import order_small, top_k
 from basketry.plans.filters import Filters, optional_in
@@ -102,26 +101,15 @@ def churn_by_state(wh: Warehouse, f: Filters) -> DataFrame:
 
 
 def last_item_category(wh: Warehouse) -> DataFrame:
-    """Category of each customer's last valid item.
-
-    Order: purchase time desc, price desc, order_id, order_item_id.  The pick
-    is an aggregate (skew-safe), and products are joined to one row per
-    customer instead of one per item.
-    """
-    fact = wh.table("fct_order_items_sales").filter(valid_order())
-    last = latest_per_key(
-        fact,
-        ["customer_unique_id"],
-        [("order_purchase_timestamp", True), ("price", True), ("order_id", False), ("order_item_id", False)],
-        ["product_id"],
-    )
-    p = wh.table("dim_products").select("product_id", F.col("product_category_name_english").alias("category"))
-    return last.join(p, "product_id").select("customer_unique_id", "category")
+    """Category of each customer's last valid item (query-time form; the
+    ``rfm_customers`` mart carries the same column)."""
+    return M.last_item_category(wh.table("fct_order_items_sales"), wh.table("dim_products")) \
+        .withColumnRenamed("last_category", "category")
 
 
 def churn_by_last_category(wh: Warehouse, f: Filters, limit: int = 15) -> DataFrame:
-    c = rfm_base(wh, f).select("customer_unique_id", "is_churn")
-    agg = c.join(last_item_category(wh), "customer_unique_id").groupBy("category").agg(
+    c = rfm_base(wh, f).filter(F.col("last_category").isNotNull())
+    agg = c.groupBy(F.col("last_category").alias("category")).agg(
         F.count(F.lit(1)).alias("customers"), _churn_rate().alias("churn_rate")
     )
     return top_k(agg, [("customers", True), ("category", False)], limit)

@@ -368,6 +368,26 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
     )
 
 
-def rfm_with_customers(rfm: DataFrame, customers: DataFrame) -> DataFrame:
+def last_item_category(fact: DataFrame, products: DataFrame) -> DataFrame:
+    """Category of each customer's last valid item.
+
+    Order: purchase time desc, price desc, order_id, order_item_id.  The pick
+    is an aggregate (skew-safe), and products are joined to one row per
+    customer instead of one per item.
+    """
+    last = latest_per_key(
+        fact.filter(valid_order()),
+        ["customer_unique_id"],
+        [("order_purchase_timestamp", True), ("price", True), ("order_id", False), ("order_item_id", False)],
+        ["product_id"],
+    )
+    p = products.select("product_id", F.col("product_category_name_english").alias("last_category"))
+    return last.join(p, "product_id").select("customer_unique_id", "last_category")
+
+
+def rfm_with_customers(rfm: DataFrame, customers: DataFrame, last_category: DataFrame | None = None) -> DataFrame:
+    """RFM mart with the customer's state and city (and, when given, the
+    category of the last valid item; null when it has none)."""
     c = customers.select("customer_unique_id", "customer_state", "customer_city")
-    return rfm.join(c, "customer_unique_id")
+    out = rfm.join(c, "customer_unique_id")
+    return out.join(last_category, "customer_unique_id", "left") if last_category is not None else out

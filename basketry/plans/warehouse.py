@@ -14,7 +14,9 @@ Beyond the source's marts, two query-side tables are materialised:
 * ``fct_sales_wide`` - the six-table star join that every sales question
   starts from, written range-partitioned and sorted by ``order_date_key`` so a
   date filter prunes Parquet row groups.  Sales questions become one scan.
-* ``rfm_customers`` - the RFM mart with the customer's state and city.
+* ``rfm_customers`` - the RFM mart with the customer's state and city and
+  the category of the customer's last valid item (computed once here, not
+  by a fact-wide aggregate in every churn query).
 """
 
 from __future__ import annotations
@@ -163,7 +165,8 @@ class Warehouse:
             n = self._partitions_for(self.path("fct_order_items_sales"))
             return wide.repartitionByRange(n, "order_date_key").sortWithinPartitions("order_date_key")
         if name == "rfm_customers":
-            return M.rfm_with_customers(self.table("fct_customer_rfm"), self.table("dim_customers"))
+            last = M.last_item_category(self.table("fct_order_items_sales"), self.table("dim_products"))
+            return M.rfm_with_customers(self.table("fct_customer_rfm"), self.table("dim_customers"), last)
         raise KeyError(name)
 
     def stored_bytes(self, path: str) -> int:
