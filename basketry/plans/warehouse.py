@@ -34,7 +34,14 @@ from pyspark.sql import functions as F
 from basketry.plans import models as M
 from basketry.profile import TEST_PROFILE, Profile
 from basketry.session import shared_root
-from basketry.sources.binding import RAW_TABLES, SOURCE_TABLES, raw_table
+from basketry.sources.binding import (
+    RAW_TABLES,
+    SOURCE_TABLES,
+    items_numbered,
+    order_items_from,
+    order_payments_from,
+    raw_table,
+)
 
 MARTS = (
     "dim_time",
@@ -84,6 +91,11 @@ class Warehouse:
         so the models and the reconciliation jobs read it without re-deriving it."""
         if name in self._raw_override:
             return self._raw_override[name]
+        if name in ("order_items", "order_payments"):
+            # both come from the numbered line items: number them once
+            numbered = self._once("raw/_items_numbered", lambda: items_numbered(self.spark, self.sf_dir))
+            derive = order_items_from if name == "order_items" else order_payments_from
+            return self._once(f"raw/{name}", lambda: derive(numbered))
         return self._once(f"raw/{name}", lambda: raw_table(self.spark, self.sf_dir, name))
 
     def stg(self, name: str) -> DataFrame:

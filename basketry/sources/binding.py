@@ -80,12 +80,17 @@ def _items_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items_numbered(spark, sf_dir).drop("l_returnflag", "l_quantity")
+def items_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their surrogate item number (shared by items and payments)."""
+    return _items_numbered(spark, sf_dir)
 
 
-def raw_order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items_numbered(spark, sf_dir)
+def order_items_from(numbered: DataFrame) -> DataFrame:
+    return numbered.drop("l_returnflag", "l_quantity")
+
+
+def order_payments_from(numbered: DataFrame) -> DataFrame:
+    items = numbered
     flag = F.col("l_returnflag")
     ptype = F.when(flag == "A", "credit_card").when(flag == "R", "boleto").when(flag == "N", "voucher")
     return items.filter(F.col("order_id") % 500 != 0).select(
@@ -97,6 +102,14 @@ def raw_order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_items_from(_items_numbered(spark, sf_dir))
+
+
+def raw_order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_payments_from(_items_numbered(spark, sf_dir))
+
+
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
