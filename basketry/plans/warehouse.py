@@ -73,13 +73,18 @@ def _fingerprint(sf_dir: str) -> str:
 
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE, root: str | None = None,
-                 raw: dict[str, DataFrame] | None = None):
+                 raw: dict[str, DataFrame] | None = None, written: dict[str, str] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.profile = profile
-        base = root or f"{shared_root(spark)}/basketry-marts"
-        self.root = f"{base}/{_fingerprint(sf_dir) if raw is None else 'custom'}-{uuid.uuid4().hex[:8]}"
+        if root is None:
+            tag = _fingerprint(sf_dir) if raw is None else "custom"
+            root = f"{shared_root(spark)}/basketry-marts/{tag}-{uuid.uuid4().hex[:8]}"
+        self.root = root
         self._raw_override = raw or {}
+        # tables already written below ``root`` (shared by warehouses over the
+        # same input in this process, so a new session reads, not rebuilds)
+        self._written: dict[str, str] = written if written is not None else {}
         self._built: dict[str, DataFrame] = {}
         self.build_stats: dict[str, int] = {}
         self._lock = threading.Lock()  # guards the two dicts below
@@ -123,6 +128,7 @@ class Warehouse:
         out = self.spark.read.parquet(self.path(name))
         with self._lock:
             self._built[name] = out
+            self._written[name] = self.path(name)
         return out
 
     def save_result(self, name: str, df: DataFrame) -> DataFrame:
@@ -140,6 +146,12 @@ class Warehouse:
             with self._lock:
                 if name in self._built:
                     return self._built[name]
+                done = self._written.get(name)
+            if done is not None:  # written earlier by a warehouse over the same input
+                out = self.spark.read.parquet(done)
+                with self._lock:
+                    self._built[name] = out
+                return out
             return self._write(name, plan())
 
     def table(self, name: str) -> DataFrame:
@@ -211,11 +223,22 @@ class Warehouse:
         return {m: self.table(m) for m in MARTS}
 
 
+_SHARED: dict[tuple, tuple[str, dict[str, str]]] = {}
+
+
 def open_warehouse(spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE) -> Warehouse:
-    """One warehouse per (session, input folder) in this process."""
-    key = (id(spark), spark.sparkContext.applicationId, os.path.realpath(sf_dir), profile)
+    """One warehouse per (session, input folder) in this process; warehouses
+    over the same input share one run folder and the tables written in it."""
+    data_key = (os.path.realpath(sf_dir), _fingerprint(sf_dir), profile)
+    key = (id(spark), spark.sparkContext.applicationId) + data_key
     with _OPEN_LOCK:
         wh = _OPEN.get(key)
         if wh is None:
-            wh = _OPEN[key] = Warehouse(spark, sf_dir, profile)
+            shared = _SHARED.get(data_key)
+            if shared is None:
+                wh = Warehouse(spark, sf_dir, profile)
+                _SHARED[data_key] = (wh.root, wh._written)
+            else:
+                wh = Warehouse(spark, sf_dir, profile, root=shared[0], written=shared[1])
+            _OPEN[key] = wh
     return wh
