@@ -76,7 +76,8 @@ FROM {from_query('payment_mix')}""")(lambda s, d: Fn.payment_share(_run("payment
 register("top_products_share", f"""
 SELECT p.products, p.top_revenue, k.revenue AS period_revenue,
   CASE WHEN k.revenue <> 0 THEN p.top_revenue / k.revenue END AS share
-FROM (SELECT sum(revenue) AS top_revenue, count(*) AS products FROM {from_query('top_products')}) p,
+FROM (SELECT CAST(sum(CAST(revenue AS DECIMAL(38,4))) AS DOUBLE) AS top_revenue, count(*) AS products
+      FROM {from_query('top_products')}) p,
   {from_query('kpi_compare', 'k')}""")(
     lambda s, d: Fn.top_products_share(_run("top_products", s, d), _run("kpi_compare", s, d)))
 
@@ -91,8 +92,10 @@ FROM {from_query('same_months_by_year')} GROUP BY month ORDER BY month""")(
 register("yoy_growth", " UNION ALL ".join(f"""
 SELECT '{m}' AS measure, s1 AS first_year_total, s2 AS second_year_total,
   CASE WHEN s1 IS NOT NULL AND s2 IS NOT NULL AND s1 <> 0 THEN s2 / s1 - 1 END AS growth
-FROM (SELECT sum(CASE WHEN year = {_Y1} THEN CAST({m} AS DOUBLE) END) AS s1,
-        sum(CASE WHEN year = {_Y2} THEN CAST({m} AS DOUBLE) END) AS s2
+FROM (SELECT CAST(sum(CASE WHEN year = {_Y1} THEN CAST({m} AS {'DECIMAL(38,4)' if m == 'revenue' else 'BIGINT'}) END)
+          AS DOUBLE) AS s1,
+        CAST(sum(CASE WHEN year = {_Y2} THEN CAST({m} AS {'DECIMAL(38,4)' if m == 'revenue' else 'BIGINT'}) END)
+          AS DOUBLE) AS s2
       FROM {from_query('same_months_by_year')}) t""" for m in ("revenue", "orders")))(
     lambda s, d: Fn.yoy_growth(_run("same_months_by_year", s, d), TEST_PROFILE.compare_years))
 
@@ -118,11 +121,11 @@ FROM {from_query('orders_by_weekday_hour')}""")(lambda s, d: Fn.hour_band_share(
 
 _STATE_COLS = "state, orders, revenue, aov, freight_ratio, delivered_orders, late_rate, delivery_days"
 register("state_share", f"""
-SELECT {_STATE_COLS}, revenue / sum(revenue) OVER () AS share_revenue,
+SELECT {_STATE_COLS}, revenue / CAST(sum(CAST(revenue AS DECIMAL(38,4))) OVER () AS DOUBLE) AS share_revenue,
   CAST(orders AS DOUBLE) / sum(orders) OVER () AS share_orders
 FROM {from_query('state_summary')}""")(lambda s, d: Fn.state_share(_run("state_summary", s, d)))
 register("state_rank", f"""
-SELECT state, revenue, revenue / sum(revenue) OVER () AS share,
+SELECT state, revenue, revenue / CAST(sum(CAST(revenue AS DECIMAL(38,4))) OVER () AS DOUBLE) AS share,
   state = first(state ORDER BY revenue DESC, state) OVER () AS is_leader
 FROM {from_query('state_summary')} WHERE revenue IS NOT NULL""")(
     lambda s, d: Fn.state_rank(_run("state_summary", s, d), "revenue"))
@@ -131,15 +134,26 @@ SELECT state, late_rate, CAST(NULL AS DOUBLE) AS share,
   state = first(state ORDER BY late_rate DESC, state) OVER () AS is_leader
 FROM {from_query('state_summary')} WHERE late_rate IS NOT NULL""")(
     lambda s, d: Fn.state_rank(_run("state_summary", s, d), "late_rate"))
+
+def _osum(x: str) -> str:
+    """Doubles added in ascending order (matches ``ordered_sum``)."""
+    return f"list_reduce(list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL)), lambda a, b: a + b, 0.0)"
+
+
 register("state_overall", f"""
-SELECT sum(revenue / (1 + freight_ratio) * freight_ratio)
-    / NULLIF(sum(CASE WHEN freight_ratio IS NOT NULL THEN revenue / (1 + freight_ratio) END), 0) AS freight_ratio,
-  sum(late_rate * CAST(delivered_orders AS DOUBLE))
-    / NULLIF(sum(CASE WHEN late_rate IS NOT NULL THEN CAST(delivered_orders AS DOUBLE) END), 0) AS late_rate,
-  sum(delivery_days * CAST(delivered_orders AS DOUBLE))
-    / NULLIF(sum(CASE WHEN delivery_days IS NOT NULL THEN CAST(delivered_orders AS DOUBLE) END), 0) AS delivery_days,
-  sum(revenue) / NULLIF(CAST(sum(orders) AS DOUBLE), 0) AS aov
-FROM {from_query('state_summary')}""")(lambda s, d: Fn.state_overall(_run("state_summary", s, d)))
+SELECT CASE WHEN {_osum('fr_den')} <> 0 THEN {_osum('fr_num')} / {_osum('fr_den')} END AS freight_ratio,
+  CASE WHEN sum(lt_den) <> 0 THEN {_osum('lt_num')} / sum(lt_den) END AS late_rate,
+  CASE WHEN sum(dd_den) <> 0 THEN {_osum('dd_num')} / sum(dd_den) END AS delivery_days,
+  CAST(sum(CAST(revenue AS DECIMAL(38,4))) AS DOUBLE) / NULLIF(CAST(sum(orders) AS DOUBLE), 0) AS aov
+FROM (
+  SELECT revenue / (1 + freight_ratio) * freight_ratio AS fr_num,
+    CASE WHEN freight_ratio IS NOT NULL THEN revenue / (1 + freight_ratio) END AS fr_den,
+    late_rate * CAST(delivered_orders AS DOUBLE) AS lt_num,
+    CASE WHEN late_rate IS NOT NULL THEN CAST(delivered_orders AS DOUBLE) END AS lt_den,
+    delivery_days * CAST(delivered_orders AS DOUBLE) AS dd_num,
+    CASE WHEN delivery_days IS NOT NULL THEN CAST(delivered_orders AS DOUBLE) END AS dd_den,
+    revenue, orders
+  FROM {from_query('state_summary')}) t""")(lambda s, d: Fn.state_overall(_run("state_summary", s, d)))
 
 # ------------------------------------------------------------------ RFM page
 
@@ -150,7 +164,7 @@ SELECT segment, {_case_map(Fn.SEGMENT_TIER, 'segment')} AS tier,
   CASE WHEN customer_share <> 0 THEN revenue_share / customer_share END AS value_index,
   {_case_map(Fn.SEGMENT_ACTION, 'segment')} AS action
 FROM (SELECT segment, customers, revenue, CAST(customers AS DOUBLE) / sum(customers) OVER () AS customer_share,
-        revenue / sum(revenue) OVER () AS revenue_share
+        revenue / CAST(sum(CAST(revenue AS DECIMAL(38,4))) OVER () AS DOUBLE) AS revenue_share
       FROM {from_query('rfm_segments')} WHERE customers IS NOT NULL) x""")(
     lambda s, d: Fn.segment_profile(_run("rfm_segments", s, d)))
 
@@ -180,7 +194,8 @@ FROM {from_query('recency_histogram')}""")(lambda s, d: Fn.recency_status(_run("
 
 register("churn_ranked_states", f"""
 WITH st AS (SELECT * FROM {from_query('churn_by_state')}),
-ov AS (SELECT sum(churn_rate * customers) / NULLIF(CAST(sum(customers) AS DOUBLE), 0) AS overall_churn_rate,
+ov AS (SELECT list_reduce(list_sort(list(churn_rate * customers) FILTER (WHERE churn_rate * customers IS NOT NULL)),
+                           lambda a, b: a + b, 0.0) / NULLIF(CAST(sum(customers) AS DOUBLE), 0) AS overall_churn_rate,
          count_if(customers >= 300) AS q FROM st),
 shown AS (SELECT st.*, ov.overall_churn_rate FROM st, ov WHERE ov.q = 0 OR st.customers >= 300)
 SELECT state, customers, churn_rate, overall_churn_rate,
@@ -188,7 +203,8 @@ SELECT state, customers, churn_rate, overall_churn_rate,
 FROM shown""")(lambda s, d: Fn.churn_ranked_states(_run("churn_by_state", s, d), 300))
 register("churn_ranked_states_min_50", f"""
 WITH st AS (SELECT * FROM {from_query('churn_by_state')}),
-ov AS (SELECT sum(churn_rate * customers) / NULLIF(CAST(sum(customers) AS DOUBLE), 0) AS overall_churn_rate,
+ov AS (SELECT list_reduce(list_sort(list(churn_rate * customers) FILTER (WHERE churn_rate * customers IS NOT NULL)),
+                           lambda a, b: a + b, 0.0) / NULLIF(CAST(sum(customers) AS DOUBLE), 0) AS overall_churn_rate,
          count_if(customers >= 50) AS q FROM st),
 shown AS (SELECT st.*, ov.overall_churn_rate FROM st, ov WHERE ov.q = 0 OR st.customers >= 50)
 SELECT state, customers, churn_rate, overall_churn_rate,
@@ -205,7 +221,8 @@ FROM {from_query('churn_by_last_category')}""")(
 register("pool_kpis", f"""
 SELECT sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN customers ELSE 0 END) AS cooling_customers,
   sum(CASE WHEN bucket = 151 THEN customers ELSE 0 END) AS crossing_customers,
-  coalesce(sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN monetary END), 0.0) AS cooling_monetary,
+  coalesce(CAST(sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN CAST(monetary AS DECIMAL(38,4)) END) AS DOUBLE), 0.0)
+    AS cooling_monetary,
   CAST(sum(repeaters) AS DOUBLE) / NULLIF(sum(customers), 0) AS repeat_rate
 FROM {from_query('campaign_pool')}""")(lambda s, d: Fn.pool_kpis(_run("campaign_pool", s, d)))
 
@@ -214,12 +231,12 @@ SELECT segment, CAST({_order_case(SEGMENT_ORDER, 'segment')} AS BIGINT) AS displ
   CAST(customers AS DOUBLE) / sum(customers) OVER () AS share,
   CASE WHEN customers <> 0 THEN monetary / customers END AS mean_monetary,
   segment = first(segment ORDER BY customers DESC, segment) OVER () AS is_top
-FROM (SELECT segment, sum(customers) AS customers, sum(monetary) AS monetary
+FROM (SELECT segment, sum(customers) AS customers, CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
       FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY segment) x""")(
     lambda s, d: Fn.pool_by_segment(_run("campaign_pool", s, d)))
 register("pool_by_state", f"""
 SELECT state, customers, monetary, CASE WHEN customers <> 0 THEN monetary / customers END AS mean_monetary
-FROM (SELECT state, sum(customers) AS customers, sum(monetary) AS monetary
+FROM (SELECT state, sum(customers) AS customers, CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
       FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY state) x
 ORDER BY customers DESC, state LIMIT 10""")(lambda s, d: Fn.pool_by_state(_run("campaign_pool", s, d), 10))
 
@@ -233,7 +250,8 @@ FROM {from_query('campaign_pool')}""")(lambda s, d: Fn.default_bucket_range(_run
 _TARGET_SQL = f"""
 SELECT customers, orders, monetary, CASE WHEN orders <> 0 THEN monetary / orders ELSE 0.0 END AS aov
 FROM (SELECT CAST(coalesce(sum(customers), 0) AS DOUBLE) AS customers,
-        CAST(coalesce(sum(orders), 0) AS DOUBLE) AS orders, coalesce(sum(monetary), 0.0) AS monetary
+        CAST(coalesce(sum(orders), 0) AS DOUBLE) AS orders,
+        coalesce(CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE), 0.0) AS monetary
       FROM {from_query('campaign_pool')}
       WHERE bucket BETWEEN 91 AND 151 AND {O._in('segment', SEGMENT_ORDER)}) x"""
 register("target_cohort", _TARGET_SQL)(
@@ -340,7 +358,7 @@ register("campaign_evaluate_by_segment", f"""
 WITH seg AS (
   SELECT segment, customers, orders, monetary, CASE WHEN orders <> 0 THEN monetary / orders ELSE 0.0 END AS aov
   FROM (SELECT segment, CAST(sum(customers) AS DOUBLE) AS customers, CAST(sum(orders) AS DOUBLE) AS orders,
-          sum(monetary) AS monetary
+          CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
         FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY segment) x),
 k AS (SELECT CAST(sum(repeaters) AS DOUBLE) / NULLIF(sum(customers), 0) AS repeat_rate
       FROM {from_query('campaign_pool')}),

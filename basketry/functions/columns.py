@@ -98,6 +98,20 @@ def as_double(c: str | Column) -> Column:
     return col_(c).cast("double")
 
 
+def money_sum(c: str | Column) -> Column:
+    """Sum of money held as double (results of exact 4-decimal sums): added
+    back in decimal(38,4), so the total is exact and independent of row
+    order, then returned as double."""
+    return F.sum(col_(c).cast("decimal(38,4)")).cast("double")
+
+
+def ordered_sum(c: str | Column) -> Column:
+    """Sum of doubles in ascending order of the values (nulls skipped), so the
+    result does not depend on row order.  It gathers the values of a group:
+    for small, bounded groups only (one row per state, segment, ...)."""
+    return F.aggregate(F.array_sort(F.collect_list(col_(c))), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 

@@ -14,11 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import money_sum
 from basketry.operators.scalar import attach_scalar
 
 
-def with_shares(df: DataFrame, measures: Sequence[str], suffix: str = "_share", prefix: str = "") -> DataFrame:
-    totals = df.agg(*[F.sum(m).alias(f"__total_{m}") for m in measures])
+def with_shares(df: DataFrame, measures: Sequence[str], suffix: str = "_share", prefix: str = "",
+                money: Sequence[str] = ()) -> DataFrame:
+    """Add ``<measure><suffix>`` = value / total.  Columns listed in ``money``
+    are totalled in decimal (exact, order-independent)."""
+    totals = df.agg(*[(money_sum(m) if m in money else F.sum(m)).alias(f"__total_{m}") for m in measures])
     out = attach_scalar(df, totals)
     for m in measures:
         name = f"{prefix}{m}{suffix}" if not prefix else f"{prefix}{m}"

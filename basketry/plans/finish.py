@@ -14,7 +14,15 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import CHURN_DAYS, COOLING_FROM, SEGMENT_ORDER, safe_divide, title_case
+from basketry.functions.columns import (
+    CHURN_DAYS,
+    COOLING_FROM,
+    SEGMENT_ORDER,
+    money_sum,
+    ordered_sum,
+    safe_divide,
+    title_case,
+)
 from basketry.operators.scalar import attach_scalar
 from basketry.operators.share import with_shares
 from basketry.operators.topk import order_small, top_k
@@ -128,7 +136,7 @@ def city_labels(cities: DataFrame) -> DataFrame:
 
 
 def top_products_share(products: DataFrame, kpi: DataFrame) -> DataFrame:
-    top = products.agg(F.sum("revenue").alias("top_revenue"), F.count(F.lit(1)).alias("products"))
+    top = products.agg(money_sum("revenue").alias("top_revenue"), F.count(F.lit(1)).alias("products"))
     total = kpi.select(F.col("revenue").alias("period_revenue"))
     out = attach_scalar(top, total)
     return out.select("products", "top_revenue", "period_revenue",
@@ -148,8 +156,9 @@ def yoy_growth(yoy: DataFrame, years: tuple[int, int]) -> DataFrame:
     y1, y2 = years
     rows = []
     for field in ("revenue", "orders"):
-        s1 = F.sum(F.when(F.col("year") == y1, F.col(field).cast("double")))
-        s2 = F.sum(F.when(F.col("year") == y2, F.col(field).cast("double")))
+        total = money_sum if field == "revenue" else (lambda c: F.sum(c).cast("double"))
+        s1 = total(F.when(F.col("year") == y1, F.col(field)))
+        s2 = total(F.when(F.col("year") == y2, F.col(field)))
         rows.append(
             yoy.agg(
                 F.lit(field).alias("measure"),
@@ -198,7 +207,7 @@ def hour_band_share(grid: DataFrame) -> DataFrame:
 
 
 def state_share(states: DataFrame) -> DataFrame:
-    out = with_shares(states, ["revenue", "orders"], suffix="_share")
+    out = with_shares(states, ["revenue", "orders"], suffix="_share", money=["revenue"])
     return out.withColumnRenamed("revenue_share", "share_revenue").withColumnRenamed("orders_share", "share_orders")
 
 
@@ -207,7 +216,7 @@ def state_rank(states: DataFrame, field: str) -> DataFrame:
     total for additive measures; ``is_leader`` marks the first."""
     data = states.filter(F.col(field).isNotNull()).select("state", field)
     if field in ("revenue", "orders"):
-        data = with_shares(data, [field], suffix="_share").withColumnRenamed(f"{field}_share", "share")
+        data = with_shares(data, [field], suffix="_share", money=["revenue"]).withColumnRenamed(f"{field}_share", "share")
     else:
         data = data.withColumn("share", F.lit(None).cast("double"))
     ranked = top_k(data, [(field, True), ("state", False)], None)
@@ -219,17 +228,22 @@ def state_rank(states: DataFrame, field: str) -> DataFrame:
 def state_overall(states: DataFrame) -> DataFrame:
     """National figures rebuilt from the per-state rows: freight ratio from
     revenue / (1 + ratio), late rate and delivery days weighted by delivered
-    orders, AOV from the sums."""
-    price = F.col("revenue") / (1 + F.col("freight_ratio"))
+    orders, AOV from the sums.  One row per state: the double terms are added
+    in a fixed order (``ordered_sum``) so the figures do not depend on it."""
+    ratio = F.col("freight_ratio")
+    price = F.col("revenue") / (1 + ratio)
     w = F.col("delivered_orders").cast("double")
-    return states.agg(
-        safe_divide(F.sum(price * F.col("freight_ratio")), F.sum(F.when(F.col("freight_ratio").isNotNull(), price)))
-        .alias("freight_ratio"),
-        safe_divide(F.sum(F.col("late_rate") * w), F.sum(F.when(F.col("late_rate").isNotNull(), w))).alias(
-            "late_rate"),
-        safe_divide(F.sum(F.col("delivery_days") * w), F.sum(F.when(F.col("delivery_days").isNotNull(), w))).alias(
-            "delivery_days"),
-        safe_divide(F.sum("revenue"), F.sum("orders").cast("double")).alias("aov"),
+    terms = states.select(
+        (price * ratio).alias("fr_num"), F.when(ratio.isNotNull(), price).alias("fr_den"),
+        (F.col("late_rate") * w).alias("lt_num"), F.when(F.col("late_rate").isNotNull(), w).alias("lt_den"),
+        (F.col("delivery_days") * w).alias("dd_num"), F.when(F.col("delivery_days").isNotNull(), w).alias("dd_den"),
+        "revenue", "orders",
+    )
+    return terms.agg(
+        safe_divide(ordered_sum("fr_num"), ordered_sum("fr_den")).alias("freight_ratio"),
+        safe_divide(ordered_sum("lt_num"), F.sum("lt_den")).alias("late_rate"),
+        safe_divide(ordered_sum("dd_num"), F.sum("dd_den")).alias("delivery_days"),
+        safe_divide(money_sum("revenue"), F.sum("orders").cast("double")).alias("aov"),
     )
 
 
@@ -237,7 +251,8 @@ def state_overall(states: DataFrame) -> DataFrame:
 
 def segment_profile(segments: DataFrame) -> DataFrame:
     """Shares, value index, tier, fixed display order and action per segment."""
-    s = with_shares(segments.filter(F.col("customers").isNotNull()), ["customers", "revenue"], suffix="_share")
+    s = with_shares(segments.filter(F.col("customers").isNotNull()), ["customers", "revenue"], suffix="_share",
+                    money=["revenue"])
     s = s.withColumnRenamed("customers_share", "customer_share").withColumnRenamed("revenue_share", "revenue_share")
     return s.select(
         "segment",
@@ -292,7 +307,7 @@ def churn_ranked_states(states: DataFrame, min_customers: int = CHURN_MIN_CUSTOM
     """States with at least ``min_customers`` (all states if none qualify),
     by churn rate; overall rate weighted over all states; worst flagged."""
     overall = states.agg(
-        safe_divide(F.sum(F.col("churn_rate") * F.col("customers")), F.sum("customers").cast("double"))
+        safe_divide(ordered_sum(F.col("churn_rate") * F.col("customers")), F.sum("customers").cast("double"))
         .alias("overall_churn_rate"),
         F.count_if(F.col("customers") >= min_customers).alias("__qualified"),
     )
@@ -327,14 +342,14 @@ def pool_kpis(pool: DataFrame) -> DataFrame:
     return pool.agg(
         F.sum(F.when(cool, F.col("customers")).otherwise(0)).alias("cooling_customers"),
         F.sum(F.when(b == COOLING_BUCKETS[1], F.col("customers")).otherwise(0)).alias("crossing_customers"),
-        F.coalesce(F.sum(F.when(cool, F.col("monetary"))), F.lit(0.0)).alias("cooling_monetary"),
+        F.coalesce(money_sum(F.when(cool, F.col("monetary"))), F.lit(0.0)).alias("cooling_monetary"),
         safe_divide(F.sum("repeaters").cast("double"), F.sum("customers")).alias("repeat_rate"),
     )
 
 
 def pool_by_segment(pool: DataFrame) -> DataFrame:
     by = _cooling(pool).groupBy("segment").agg(F.sum("customers").alias("customers"),
-                                               F.sum("monetary").alias("monetary"))
+                                               money_sum("monetary").alias("monetary"))
     by = with_shares(by, ["customers"], suffix="_share").withColumnRenamed("customers_share", "share")
     top = top_k(by, [("customers", True), ("segment", False)], 1).select(F.col("segment").alias("__top"))
     return attach_scalar(by, top).select(
@@ -348,7 +363,7 @@ def pool_by_segment(pool: DataFrame) -> DataFrame:
 
 def pool_by_state(pool: DataFrame, n: int = 10) -> DataFrame:
     by = _cooling(pool).groupBy("state").agg(F.sum("customers").alias("customers"),
-                                             F.sum("monetary").alias("monetary"))
+                                             money_sum("monetary").alias("monetary"))
     return top_k(by.withColumn("mean_monetary", safe_divide(F.col("monetary"), F.col("customers"))),
                  [("customers", True), ("state", False)], n)
 
@@ -370,7 +385,7 @@ def target_cohort(pool: DataFrame, bucket_from: int, bucket_to: int, segments: S
     return t.agg(
         F.coalesce(F.sum("customers"), F.lit(0)).cast("double").alias("customers"),
         F.coalesce(F.sum("orders"), F.lit(0)).cast("double").alias("orders"),
-        F.coalesce(F.sum("monetary"), F.lit(0.0)).alias("monetary"),
+        F.coalesce(money_sum("monetary"), F.lit(0.0)).alias("monetary"),
     ).withColumn("aov", F.when(F.col("orders") != 0, F.col("monetary") / F.col("orders")).otherwise(F.lit(0.0)))
 
 
@@ -379,6 +394,6 @@ def cohorts_by(pool: DataFrame, key: str, bucket_from: int, bucket_to: int) -> D
     t = pool.filter(F.col("bucket").between(bucket_from, bucket_to)).groupBy(key).agg(
         F.sum("customers").cast("double").alias("customers"),
         F.sum("orders").cast("double").alias("orders"),
-        F.sum("monetary").alias("monetary"),
+        money_sum("monetary").alias("monetary"),
     )
     return t.withColumn("aov", F.when(F.col("orders") != 0, F.col("monetary") / F.col("orders")).otherwise(F.lit(0.0)))
