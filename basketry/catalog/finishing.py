@@ -110,7 +110,8 @@ ORDER BY orders DESC, day_of_week, hour LIMIT 3""")(lambda s, d: Fn.peak_slots(_
 register("weekday_share", f"""
 SELECT day_of_week, orders, CAST(orders AS DOUBLE) / sum(orders) OVER () AS share,
   day_of_week = first(day_of_week ORDER BY orders DESC, day_of_week) OVER () AS is_busiest
-FROM (SELECT day_of_week, sum(orders) AS orders FROM {from_query('orders_by_weekday_hour')} GROUP BY day_of_week) w""")(
+FROM (SELECT day_of_week, CAST(sum(orders) AS BIGINT) AS orders FROM {from_query('orders_by_weekday_hour')}
+      GROUP BY day_of_week) w""")(
     lambda s, d: Fn.weekday_share(_run("orders_by_weekday_hour", s, d)))
 register("hour_band_share", f"""
 SELECT CAST(sum(CASE WHEN hour BETWEEN 10 AND 21 THEN orders END) AS DOUBLE) / NULLIF(CAST(sum(orders) AS DOUBLE), 0)
@@ -174,14 +175,14 @@ SELECT r_score, f_score, customers,
   log10(customers + 1) AS intensity
 FROM (
   SELECT r.r_score, f.f_score, CAST(coalesce(m.customers, 0) AS BIGINT) AS customers
-  FROM (VALUES (5), (4), (3), (2), (1)) r(r_score)
-  JOIN (VALUES (1), (3), (4), (5)) f(f_score) ON TRUE
+  FROM (SELECT CAST(v AS BIGINT) AS r_score FROM (VALUES (5), (4), (3), (2), (1)) x(v)) r
+  JOIN (SELECT CAST(v AS BIGINT) AS f_score FROM (VALUES (1), (3), (4), (5)) y(v)) f ON TRUE
   LEFT JOIN {from_query('rfm_matrix', 'm')} ON m.r_score = r.r_score AND m.f_score = f.f_score
 ) g""")(lambda s, d: Fn.rfm_grid(s, _run("rfm_matrix", s, d)))
 
 register("f_score_share", f"""
 SELECT f_score, customers, CAST(customers AS DOUBLE) / sum(customers) OVER () AS share
-FROM (SELECT f_score, sum(customers) AS customers FROM {from_query('rfm_matrix')} GROUP BY f_score) x""")(
+FROM (SELECT f_score, CAST(sum(customers) AS BIGINT) AS customers FROM {from_query('rfm_matrix')} GROUP BY f_score) x""")(
     lambda s, d: Fn.f_score_share(_run("rfm_matrix", s, d)))
 
 # ---------------------------------------------------------------- churn page
@@ -219,8 +220,8 @@ FROM {from_query('churn_by_last_category')}""")(
 # ------------------------------------------------------------- campaign pool
 
 register("pool_kpis", f"""
-SELECT sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN customers ELSE 0 END) AS cooling_customers,
-  sum(CASE WHEN bucket = 151 THEN customers ELSE 0 END) AS crossing_customers,
+SELECT CAST(sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN customers ELSE 0 END) AS BIGINT) AS cooling_customers,
+  CAST(sum(CASE WHEN bucket = 151 THEN customers ELSE 0 END) AS BIGINT) AS crossing_customers,
   coalesce(CAST(sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN CAST(monetary AS DECIMAL(38,4)) END) AS DOUBLE), 0.0)
     AS cooling_monetary,
   CAST(sum(repeaters) AS DOUBLE) / NULLIF(sum(customers), 0) AS repeat_rate
@@ -231,12 +232,14 @@ SELECT segment, CAST({_order_case(SEGMENT_ORDER, 'segment')} AS BIGINT) AS displ
   CAST(customers AS DOUBLE) / sum(customers) OVER () AS share,
   CASE WHEN customers <> 0 THEN monetary / customers END AS mean_monetary,
   segment = first(segment ORDER BY customers DESC, segment) OVER () AS is_top
-FROM (SELECT segment, sum(customers) AS customers, CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
+FROM (SELECT segment, CAST(sum(customers) AS BIGINT) AS customers,
+        CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
       FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY segment) x""")(
     lambda s, d: Fn.pool_by_segment(_run("campaign_pool", s, d)))
 register("pool_by_state", f"""
 SELECT state, customers, monetary, CASE WHEN customers <> 0 THEN monetary / customers END AS mean_monetary
-FROM (SELECT state, sum(customers) AS customers, CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
+FROM (SELECT state, CAST(sum(customers) AS BIGINT) AS customers,
+        CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
       FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY state) x
 ORDER BY customers DESC, state LIMIT 10""")(lambda s, d: Fn.pool_by_state(_run("campaign_pool", s, d), 10))
 

@@ -93,7 +93,7 @@ def _state_summary_sql(f: Filters) -> str:
 SELECT customer_state AS state, count(*) AS orders, CAST(sum(revenue) AS DOUBLE) AS revenue,
   CAST(sum(revenue) AS DOUBLE) / count(*) AS aov,
   CAST(sum(freight) AS DOUBLE) / NULLIF(CAST(sum(price) AS DOUBLE), 0) AS freight_ratio,
-  count_if(is_delivered) AS delivered_orders,
+  CAST(count_if(is_delivered) AS BIGINT) AS delivered_orders,
   CAST(count_if(is_delivered AND CAST(delivered_at AS DATE) > CAST(estimated_at AS DATE)) AS DOUBLE)
     / NULLIF(count_if(is_delivered), 0) AS late_rate,
   CAST(sum(CASE WHEN is_delivered THEN date_diff('day', CAST(purchased_at AS DATE), CAST(delivered_at AS DATE)) END)
@@ -111,8 +111,8 @@ FROM order_level GROUP BY 1, 2 ORDER BY orders DESC, city, state LIMIT 10""", O.
     lambda s, d: S.top_cities(wh(s, d), DEF, 10))
 
 register("seller_origin_late", _sales_sql(RJ, f"""
-SELECT has_state, count(*) AS orders, sum(state_items) AS state_items, sum(items) AS items,
-  count_if(delivered) AS delivered_orders,
+SELECT has_state, count(*) AS orders, CAST(sum(state_items) AS BIGINT) AS state_items,
+  CAST(sum(items) AS BIGINT) AS items, CAST(count_if(delivered) AS BIGINT) AS delivered_orders,
   CAST(count_if(delivered AND late) AS DOUBLE) / NULLIF(count_if(delivered), 0) AS late_rate
 FROM (
   SELECT order_id, bool_or(seller_state = '{RJ_SELLER_STATE}') AS has_state,
@@ -146,8 +146,8 @@ SELECT count(*) AS customers,
   quantile_disc(recency_days, 0.5) AS median_recency,
   CAST(sum(monetary_value) AS DOUBLE) / NULLIF(count(monetary_value), 0) AS avg_monetary,
   CAST(sum(CAST(is_churn AS BIGINT)) AS DOUBLE) / NULLIF(count(is_churn), 0) AS churn_rate,
-  count_if(NOT is_churn) AS active,
-  count_if(recency_days BETWEEN 91 AND 180) AS cooling,
+  CAST(count_if(NOT is_churn) AS BIGINT) AS active,
+  CAST(count_if(recency_days BETWEEN 91 AND 180) AS BIGINT) AS cooling,
   CAST(sum(CASE WHEN recency_days BETWEEN 91 AND 180 THEN monetary_value ELSE 0 END) AS DOUBLE) AS cooling_value,
   (SELECT CAST(CAST(max(last_purchase_timestamp) AS DATE) AS TIMESTAMP) FROM fct_customer_rfm) AS last_purchase
 FROM customers_rfm"""))(lambda s, d: C.rfm_overview(wh(s, d), ALL))
@@ -158,8 +158,8 @@ SELECT count(*) AS customers,
   quantile_disc(recency_days, 0.5) AS median_recency,
   CAST(sum(monetary_value) AS DOUBLE) / NULLIF(count(monetary_value), 0) AS avg_monetary,
   CAST(sum(CAST(is_churn AS BIGINT)) AS DOUBLE) / NULLIF(count(is_churn), 0) AS churn_rate,
-  count_if(NOT is_churn) AS active,
-  count_if(recency_days BETWEEN 91 AND 180) AS cooling,
+  CAST(count_if(NOT is_churn) AS BIGINT) AS active,
+  CAST(count_if(recency_days BETWEEN 91 AND 180) AS BIGINT) AS cooling,
   CAST(sum(CASE WHEN recency_days BETWEEN 91 AND 180 THEN monetary_value ELSE 0 END) AS DOUBLE) AS cooling_value,
   (SELECT CAST(CAST(max(last_purchase_timestamp) AS DATE) AS TIMESTAMP) FROM fct_customer_rfm) AS last_purchase
 FROM customers_rfm"""))(lambda s, d: C.rfm_overview(wh(s, d), FILTERED))
@@ -215,7 +215,8 @@ ORDER BY monetary DESC, customer_unique_id LIMIT 500"""))(lambda s, d: C.cooling
 
 register("campaign_pool", _rfm_sql(ALL, f"""
 SELECT customer_segment AS segment, customer_state AS state, {O.RECENCY_BUCKET} AS bucket,
-  count(*) AS customers, sum(frequency_orders) AS orders, count_if(frequency_orders >= 2) AS repeaters,
+  count(*) AS customers, CAST(sum(frequency_orders) AS BIGINT) AS orders,
+  CAST(count_if(frequency_orders >= 2) AS BIGINT) AS repeaters,
   CAST(sum(monetary_value) AS DOUBLE) AS monetary
 FROM customers_rfm GROUP BY 1, 2, 3"""))(lambda s, d: C.campaign_pool(wh(s, d), ALL))
 
