@@ -30,6 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import int_div
+
 DEFAULT_ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 64
@@ -70,16 +72,12 @@ def _pid_tree(cuts: list, names, descending, lo: int, hi: int) -> Column:
     ).otherwise(_pid_tree(cuts, names, descending, lo, mid))
 
 
-def _div(a: Column, b: Column) -> Column:
-    return ((a - a % b) / b).cast("bigint")  # exact integer division for a >= 0
-
-
 def _tile_of(i: Column, n: Column, tiles: int) -> Column:
-    q = _div(n, F.lit(tiles))
+    q = int_div(n, F.lit(tiles))
     r = n - q * tiles
     big = r * (q + 1)
-    first = _div(i, q + 1) + 1
-    second = F.when(q > 0, _div(i - big, q) + r + 1)
+    first = int_div(i, q + 1) + 1
+    second = F.when(q > 0, int_div(i - big, q) + r + 1)
     return F.when(i < big, first).otherwise(second).cast("int")
 
 

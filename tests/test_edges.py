@@ -4,7 +4,6 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from basketry.plans import customers as C
 from basketry.plans import quality as Q
