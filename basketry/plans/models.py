@@ -327,7 +327,7 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
     s = sellers.select("seller_id", "seller_state")
     pay = payments.select("order_id", "payment_type_primary")
     per_order = (
-        fact.groupBy("order_id").agg(F.max("customer_unique_id").alias("customer_unique_id"))  # one customer per order
+        fact.select("order_id", "customer_unique_id").distinct()  # one customer per order; hash aggregate
         .join(c, "customer_unique_id")
         .join(pay, "order_id", "left")
         .select("order_id", "customer_state", "customer_city",

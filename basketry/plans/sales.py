@@ -105,8 +105,8 @@ def sales_by_category(wh: Warehouse, f: Filters) -> DataFrame:
 
 
 def top_products(wh: Warehouse, f: Filters, limit: int = 10) -> DataFrame:
-    agg = sales_base(wh, f).groupBy("product_id").agg(
-        F.max("category").alias("category"),  # constant per product
+    # category is constant per product: a grouping key, not a string max
+    agg = sales_base(wh, f).groupBy("product_id", "category").agg(
         _money("item_total_amount").alias("revenue"),
         F.countDistinct("order_id").alias("orders"),
         _avg(F.col("price")).alias("avg_price"),
@@ -141,20 +141,35 @@ def orders_by_weekday_hour(wh: Warehouse, f: Filters) -> DataFrame:
     )
 
 
+# Attributes of the order itself: constant within an order.
+ORDER_ATTRIBUTES = ("customer_state", "customer_city", "order_status", "order_purchase_timestamp",
+                    "order_delivered_customer_date", "order_estimated_delivery_date")
+
+
 def order_level(s: DataFrame) -> DataFrame:
-    """Items rolled up to one row per order (order attributes are constant per order)."""
-    return s.groupBy("order_id").agg(
-        F.max("customer_state").alias("customer_state"),
-        F.max("customer_city").alias("customer_city"),
-        F.max("order_purchase_timestamp").alias("purchased_at"),
-        F.max("order_delivered_customer_date").alias("delivered_at"),
-        F.max("order_estimated_delivery_date").alias("estimated_at"),
-        ((F.max("order_status") == "delivered") & F.max("order_delivered_customer_date").isNotNull()).alias(
-            "is_delivered"
-        ),
+    """Items rolled up to one row per order.
+
+    The order's own attributes are constant within it, so they are grouping
+    keys next to ``order_id`` (same groups as ``any_value`` per order); the
+    remaining aggregates are decimal sums, which plan as a hash aggregate
+    (a ``max`` of strings would force a sort-based one).
+    """
+    delivered = (F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull()
+    return s.groupBy("order_id", *ORDER_ATTRIBUTES).agg(
         F.sum("item_total_amount").alias("revenue"),
         F.sum("price").alias("price"),
         F.sum("freight_value").alias("freight"),
+    ).select(
+        "order_id",
+        "customer_state",
+        "customer_city",
+        F.col("order_purchase_timestamp").alias("purchased_at"),
+        F.col("order_delivered_customer_date").alias("delivered_at"),
+        F.col("order_estimated_delivery_date").alias("estimated_at"),
+        delivered.alias("is_delivered"),
+        "revenue",
+        "price",
+        "freight",
     )
 
 
@@ -186,16 +201,16 @@ def seller_origin_late(wh: Warehouse, f: Filters, seller_state: str) -> DataFram
     """Orders split by 'has an item from ``seller_state``': counts, item share, late rate."""
     s = sales_base(wh, f)
     from_state = F.col("seller_state") == seller_state
-    per_order = s.groupBy("order_id").agg(
+    keys = ("order_status", "order_delivered_customer_date", "order_estimated_delivery_date")  # constant per order
+    per_order = s.groupBy("order_id", *keys).agg(
         F.bool_or(from_state).alias("has_state"),
         count_if(from_state).alias("state_items"),
         F.count(F.lit(1)).alias("items"),
-        ((F.max("order_status") == "delivered") & F.max("order_delivered_customer_date").isNotNull()).alias(
-            "delivered"
-        ),
-        (F.to_date(F.max("order_delivered_customer_date")) > F.to_date(F.max("order_estimated_delivery_date"))).alias(
-            "late"
-        ),
+    ).select(
+        "has_state", "state_items", "items",
+        ((F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull()).alias(
+            "delivered"),
+        (F.to_date("order_delivered_customer_date") > F.to_date("order_estimated_delivery_date")).alias("late"),
     )
     out = per_order.groupBy("has_state").agg(
         F.count(F.lit(1)).alias("orders"),
