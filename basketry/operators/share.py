@@ -2,9 +2,8 @@
 
 ``sum(x) over ()`` is a single-partition window, which is only acceptable on
 small inputs.  Here the total is a one-row global aggregate (partial sums in
-every task, one tiny final merge) attached back by a broadcast join on a
-constant key; one row is a proven size bound, so the plan stays distributed
-whatever the input size.
+every task, one tiny final merge) attached as a scalar subquery, so the plan
+stays distributed whatever the input size.
 """
 
 from __future__ import annotations

@@ -45,7 +45,7 @@ def main() -> None:
          S.revenue_by_month(w, FILTERED)),
         ("kpi_compare (customer-grain distinct counts, no Expand)", S.kpi_compare(w, DEF)),
         ("state_summary (order-level roll-up, then state)", S.state_summary(w, DEF)),
-        ("rfm_overview (RFM mart scan, one-row scalar attached by broadcast)", C.rfm_overview(w, FILTERED)),
+        ("rfm_overview (RFM mart scan, unfiltered last date as a scalar subquery)", C.rfm_overview(w, FILTERED)),
         ("churn_by_last_category (category pre-computed in the RFM mart)", C.churn_by_last_category(w, DEF)),
         ("int_customers_deduplicated (partial max before the shuffle)", w.view("int_customers_deduplicated")),
         ("fct_sales_wide build (order-grain joins, one fact shuffle, date ranges)", w._plan("fct_sales_wide")),
