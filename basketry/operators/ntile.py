@@ -72,6 +72,30 @@ def _pid_tree(cuts: list, names, descending, lo: int, hi: int) -> Column:
     ).otherwise(_pid_tree(cuts, names, descending, lo, mid))
 
 
+def sample_cuts(df: DataFrame, order_by: Sequence[tuple[str, bool]], ranges: int, n: int, seed: int) -> list:
+    """Up to ``ranges - 1`` cut points in the ``order_by`` order, from a
+    bounded random sample (about ``SAMPLES_PER_RANGE`` rows per range)."""
+    names = [c for c, _ in order_by]
+    want = ranges * SAMPLES_PER_RANGE
+    fraction = min(1.0, want / max(n, 1))
+    sample = (
+        df.select(*names)
+        .sample(withReplacement=False, fraction=fraction, seed=seed)
+        .orderBy(*[_order_col(c, d) for c, d in order_by])
+        .limit(2 * want)
+        .collect()
+    )
+    step = max(1, len(sample) // ranges)
+    return [tuple(sample[j]) for j in range(step, len(sample), step)][: ranges - 1]
+
+
+def range_id(cuts: list, order_by: Sequence[tuple[str, bool]]) -> Column:
+    """Range number of a row: how many cuts sort at or before it."""
+    if not cuts:
+        return F.lit(0).cast("int")
+    return _pid_tree(cuts, [c for c, _ in order_by], [d for _, d in order_by], 0, len(cuts)).cast("int")
+
+
 def _tile_of(i: Column, n: Column, tiles: int) -> Column:
     q = int_div(n, F.lit(tiles))
     r = n - q * tiles
@@ -96,29 +120,14 @@ def global_ntile(
     order (end with a unique id) for the result to be deterministic, exactly
     as with SQL ``ntile``.
     """
-    names = [c for c, _ in order_by]
-    descending = [d for _, d in order_by]
     n = df.count() if n_rows is None else n_rows
     ranges = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
     if ranges == 1:
         # Everything fits in one range: the plain window is the same
         # computation with fewer passes (n <= rows_per_range is the bound).
         return df.withColumn(out, F.ntile(tiles).over(Window.orderBy(*[_order_col(c, d) for c, d in order_by])))
-    cuts: list = []
-    if ranges > 1:
-        want = ranges * SAMPLES_PER_RANGE
-        fraction = min(1.0, want / n)
-        sample = (
-            df.select(*names)
-            .sample(withReplacement=False, fraction=fraction, seed=seed)
-            .orderBy(*[_order_col(c, d) for c, d in order_by])
-            .limit(2 * want)
-            .collect()
-        )
-        step = max(1, len(sample) // ranges)
-        cuts = [tuple(sample[j]) for j in range(step, len(sample), step)][: ranges - 1]
-    pid = _pid_tree(cuts, names, descending, 0, len(cuts)) if cuts else F.lit(0)
-    ranged = df.withColumn("__pid", pid.cast("int"))
+    cuts = sample_cuts(df, order_by, ranges, n, seed)
+    ranged = df.withColumn("__pid", range_id(cuts, order_by))
     local = ranged.withColumn(
         "__local",
         F.row_number().over(Window.partitionBy("__pid").orderBy(*[_order_col(c, d) for c, d in order_by])),

@@ -8,9 +8,11 @@ is part of every plan and grows with the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.operators.rownum import keyed_row_number
+
 RAW_TABLES = (
     "orders",
     "order_items",
@@ -65,11 +67,14 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # item number = row_number per order; one order may hold a large share of
+    # the items, so the numbering splits hot orders across ranges
+    order = [("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False), ("l_extendedprice", False)]
+    li = keyed_row_number(li, ["l_orderkey"], order, "order_item_id")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     return li.select(
         F.col("l_orderkey").alias("order_id"),
-        F.row_number().over(w).cast("bigint").alias("order_item_id"),
+        F.col("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
