@@ -185,9 +185,13 @@ class Warehouse:
             # Range partitioning by date: files and row groups carry tight
             # min/max statistics on order_date_key for filter pushdown.  The
             # number of ranges follows the fact's size on storage, so output
-            # files stay near the target size at any scale.
+            # files stay near the target size at any scale.  The ranges are
+            # cut on (date, order, item): a date holding a large share of the
+            # rows spans several ranges instead of one task, and every range
+            # still covers one contiguous stretch of dates.
             n = self._partitions_for(self.path("fct_order_items_sales"))
-            return wide.repartitionByRange(n, "order_date_key").sortWithinPartitions("order_date_key")
+            return wide.repartitionByRange(n, "order_date_key", "order_id", "order_item_id") \
+                .sortWithinPartitions("order_date_key")
         if name == "rfm_customers":
             last = M.last_item_category(self.table("fct_order_items_sales"), self.table("dim_products"))
             out = M.rfm_with_customers(self.table("fct_customer_rfm"), self.table("dim_customers"), last)

@@ -33,3 +33,29 @@ def test_write_report(spark):
     assert {"figures", "revenue_by_month", "segments", "pool_by_state"} <= set(os.listdir(out))
     figures = spark.read.option("header", True).csv(f"{out}/figures")
     assert figures.filter("figure = 'orders'").count() == 1
+
+
+def test_hot_date_spans_several_wide_table_files(spark):
+    """Two thirds of the orders on one day: the date-ranged wide table still
+    spreads them over several files (ranges cut on date, order, item)."""
+    from pyspark.sql import functions as F
+
+    from basketry.sources.binding import raw_orders
+
+    orders = raw_orders(spark, SF)
+    hot = F.col("order_id") % 3 != 0
+    ts = ["order_purchase_timestamp", "order_approved_at"]
+    orders = orders.withColumns({c: F.when(hot, F.lit("1996-06-01 10:00:00").cast("timestamp_ntz"))
+                                 .otherwise(F.col(c)) for c in ts})
+    wh = Warehouse(spark, SF, raw={"orders": orders})
+    wide = wh.table("fct_sales_wide")
+    per_file = wide.groupBy(F.input_file_name().alias("f")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("order_date_key").alias("lo"), F.max("order_date_key").alias("hi"))
+    files = sorted(per_file.collect(), key=lambda r: (r.lo, r.hi))
+    total = sum(r.n for r in files)
+    hot_rows = wide.filter(F.col("order_date_key") == 19960601).count()
+    assert hot_rows > total / 2
+    assert max(r.n for r in files) < hot_rows  # the hot day is split
+    # ranges stay contiguous in date: files overlap at most on a shared boundary day
+    for a, b in zip(files, files[1:]):
+        assert a.hi <= b.lo
