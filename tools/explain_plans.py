@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from basketry.catalog.core import DEF, FILTERED, wh  # noqa: E402
 from basketry.operators.ntile import global_ntile  # noqa: E402
+from basketry.operators.rownum import keyed_row_number  # noqa: E402
 from basketry.plans import customers as C  # noqa: E402
 from basketry.plans import models as M  # noqa: E402
 from basketry.plans import sales as S  # noqa: E402
@@ -48,10 +49,15 @@ def main() -> None:
         ("rfm_overview (RFM mart scan, unfiltered last date as a scalar subquery)", C.rfm_overview(w, FILTERED)),
         ("churn_by_last_category (category pre-computed in the RFM mart)", C.churn_by_last_category(w, DEF)),
         ("int_customers_deduplicated (partial max before the shuffle)", w.view("int_customers_deduplicated")),
-        ("fct_sales_wide build (order-grain joins, one fact shuffle, date ranges)", w._plan("fct_sales_wide")),
+        ("fct_sales_wide build (bucketed fact: no fact shuffle before the order join; date ranges)",
+         w._plan("fct_sales_wide")),
         ("global_ntile with several ranges (rows_per_range=300)",
          global_ntile(rfm_in, 5, [("recency_days", True), ("customer_unique_id", False)], "r_score",
                       rows_per_range=300)),
+        ("keyed_row_number: item number per order with hot orders split (rows_per_range=5000)",
+         keyed_row_number(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_orderkey"],
+                          [("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False),
+                           ("l_extendedprice", False)], "order_item_id", rows_per_range=5000)),
     ]
     out = ["# Physical plans", "", f"Generated by `tools/explain_plans.py` on `{sf}` (local[8]); "
            "AQE re-plans at run time, so these are the initial plans.", ""]
