@@ -57,9 +57,6 @@ MARTS = (
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
-# marts joined on a key by later builds: written bucketed by that key
-BUCKETED = {"fct_order_items_sales": "order_id"}
-
 _OPEN: dict[tuple, "Warehouse"] = {}
 _OPEN_LOCK = threading.Lock()
 
@@ -127,20 +124,8 @@ class Warehouse:
         return f"{self.root}/{name}"
 
     def _write(self, name: str, df: DataFrame) -> DataFrame:
-        key = BUCKETED.get(name)
-        if key is None:
-            df.write.mode("overwrite").parquet(self.path(name))
-            out = self.spark.read.parquet(self.path(name))
-        else:
-            # Written as a table bucketed by its join key, with as many buckets
-            # as the shuffle that produced it (so each task writes its own
-            # buckets): later joins on the key read it co-partitioned instead
-            # of shuffling the whole fact again.
-            table = f"basketry_{hashlib.sha1(self.root.encode()).hexdigest()[:12]}_{name}"
-            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df.write.mode("overwrite").format("parquet").option("path", self.path(name)) \
-                .bucketBy(buckets, key).saveAsTable(table)
-            out = self.spark.table(table)
+        df.write.mode("overwrite").parquet(self.path(name))
+        out = self.spark.read.parquet(self.path(name))
         with self._lock:
             self._built[name] = out
             self._written[name] = self.path(name)
@@ -204,6 +189,9 @@ class Warehouse:
             # cut on (date, order, item): a date holding a large share of the
             # rows spans several ranges instead of one task, and every range
             # still covers one contiguous stretch of dates.
+            # The fact is deliberately not written bucketed by order_id: that
+            # would save the order join's shuffle, but a bucket cannot be split,
+            # so a hot order would run as one task; shuffled, AQE splits it.
             n = self._partitions_for(self.path("fct_order_items_sales"))
             return wide.repartitionByRange(n, "order_date_key", "order_id", "order_item_id") \
                 .sortWithinPartitions("order_date_key")
