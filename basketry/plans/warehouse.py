@@ -97,10 +97,12 @@ class Warehouse:
         if name in self._raw_override:
             return self._raw_override[name]
         if name in ("order_items", "order_payments"):
-            # both come from the numbered line items: number them once
+            # both come from the numbered line items: number and write them
+            # once; each table is a projection (payments also a filter) of
+            # that one written table, so no item-sized table is written twice
             numbered = self._once("raw/_items_numbered", lambda: items_numbered(self.spark, self.sf_dir))
             derive = order_items_from if name == "order_items" else order_payments_from
-            return self._once(f"raw/{name}", lambda: derive(numbered))
+            return derive(numbered)
         return self._once(f"raw/{name}", lambda: raw_table(self.spark, self.sf_dir, name))
 
     def stg(self, name: str) -> DataFrame:
