@@ -48,3 +48,23 @@ def test_two_keys(spark):
 def test_property_equals_sql_row_number(spark, keys, desc, per_range):
     rows = [(k, (i * 7) % 5, i) for i, k in enumerate(keys)]
     _compare(spark, rows, desc, per_range)
+
+
+def test_hot_key_rows_spread_over_ranges(spark):
+    """The ranges cut on (key, order) split a key holding most rows: no
+    (range, key) group - the unit one window task sees - holds it whole."""
+    import math
+
+    from basketry.operators.ntile import range_id, sample_cuts
+
+    n, per_range = 3000, 200
+    rows = [(1 if i % 4 else i, i % 11, i) for i in range(n)]  # key 1 holds 3/4 of the rows
+    df = spark.createDataFrame(rows, "k long, v long, id long")
+    order = [("k", False), ("v", False), ("id", False)]
+    ranges = math.ceil(n / per_range)
+    cuts = sample_cuts(df, order, ranges, n, seed=23)
+    groups = df.withColumn("pid", range_id(cuts, order)).groupBy("pid", "k").count()
+    hot = [r["count"] for r in groups.filter("k = 1").collect()]
+    assert sum(hot) == sum(1 for r in rows if r[0] == 1)
+    assert len(hot) >= ranges // 2
+    assert max(hot) < 4 * per_range
