@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, jaccard
+from basketry.llm import bpe, decontaminate, jaccard, lines, toxicity
 from basketry.llm.store import package_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,10 @@ def _registered(query: Query) -> Query:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     name: (_registered(query), sql)
     for name, (query, sql) in {
+        "op2_line_dedup": (lines.digest, lines.SQL),
+        "op3_bpe": (bpe.digest, None),
         "op6_jaccard_trie": (jaccard.digest, None),
+        "op8_toxicity": (toxicity.digest, None),
         "op9_decontaminate": (decontaminate.digest, None),
     }.items()
 }
