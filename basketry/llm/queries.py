@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontaminate, jaccard, lines, toxicity
+from basketry.llm import bpe, decontaminate, embeddings, jaccard, licenses, lines, quality, sharding, toxicity
 from basketry.llm.store import package_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,14 @@ def _registered(query: Query) -> Query:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     name: (_registered(query), sql)
     for name, (query, sql) in {
+        "op1_bradley_terry": (quality.digest, None),
         "op2_line_dedup": (lines.digest, lines.SQL),
         "op3_bpe": (bpe.digest, None),
+        "op4_hash_ring": (sharding.digest, None),
         "op6_jaccard_trie": (jaccard.digest, None),
+        "op7_licenses": (licenses.digest, None),
         "op8_toxicity": (toxicity.digest, None),
         "op9_decontaminate": (decontaminate.digest, None),
+        "op10_epsilon_grid": (embeddings.digest, embeddings.SQL),
     }.items()
 }

@@ -1,9 +1,11 @@
 """Toxicity: a learned weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding: lower case, zero-width characters dropped, homoglyphs (Cyrillic, Greek,
-full-width and accented letters) and digit or sign substitutions mapped to
-the plain letter, anything else to one space.  A term is a whole folded
-word or a word's beginning, so inflected and compound forms match.
+full-width) and digit or sign substitutions mapped to the plain letter,
+anything else to one space.  A term is a whole folded word or a word's
+beginning, so inflected and compound forms match.  Accents tell words of
+many languages apart, so they stay in the terms; a text with accents is matched a
+second time without them, against whole words only.
 
 Learning uses labelled rows of ``documents`` only, at most ``max_rows`` of them (by
 hash of doc_id; the documented bound).  A term's weight is its smoothed log odds
@@ -23,6 +25,7 @@ each on their own; other columns are carried under ``d_`` names.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -34,15 +37,16 @@ from pyspark.sql import functions as F
 
 MAX_ROWS = 20_000
 MAX_TERMS = 20_000
-_SHORTEST, _LONGEST = 4, 9
+_SHORTEST, _LONGEST = 3, 9
 _MIN_DOCS, _MIN_WEIGHT = 4, 2.5
+_MIN_EVIDENCE = 30.0  # log-likelihood ratio; chance terms among a million candidates stay below it
 
 #: Substitutions folded to plain letters.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 _GLYPHS = {
-    "a": "аαàáâãåāą", "b": "ьβ", "c": "сϲçćč", "d": "ԁ", "e": "еєεèéêëēę", "g": "ɡ", "h": "һ", "i": "іιìíîïīı", "j": "ј",
-    "k": "кκ", "l": "ӏⅼł", "m": "мⅿ", "n": "пηñń", "o": "оοσòóôõøō", "p": "рρ", "r": "г", "s": "ѕśš", "t": "тτ", "u": "υùúûū",
-    "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγýÿ", "z": "ᴢźžż",
+    "a": "аα", "b": "ьβ", "c": "сϲ", "d": "ԁ", "e": "еєε", "g": "ɡ", "h": "һ", "i": "іιı", "j": "ј", "k": "кκ", "l": "ӏⅼ",
+    "m": "мⅿ", "n": "пη", "o": "оοσ", "p": "рρ", "r": "г", "s": "ѕ", "t": "тτ", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ",
+    "y": "уγ", "z": "ᴢ",
 }
 _UNSEEN = "­​‌‍⁠﻿"
 
@@ -84,6 +88,17 @@ def fold(text: str) -> str:
     return f" {' '.join(folded.replace(chr(39), '').split())} "
 
 
+class _Bare(dict):
+    """Letter -> the letter without its accents."""
+
+    def __missing__(self, c: int) -> str:
+        out = self[c] = unicodedata.normalize("NFD", chr(c))[0]
+        return out
+
+
+_BARE = _Bare()
+
+
 def _terms(words: set[str]) -> set[str]:
     """Whole words (`` word ``) and beginnings (`` word``) of every word."""
     out = set()
@@ -121,6 +136,10 @@ class Lexicon:
             at = end - len(t) + 1
             if at not in best or w > best[at][1]:
                 best[at] = (t, w)
+        if not folded.isascii():  # one letter for one: positions stay
+            for end, (t, w) in self._automaton.iter(folded.translate(_BARE)):
+                if t[-1] == " " and (at := end - len(t) + 1) not in best:
+                    best[at] = (t, w)
         return [(at, t, w) for at, (t, w) in sorted(best.items()) if not (self.exceptions and self.exceptions & set(_phrases(folded, at)))]
 
     def numbers(self, text: str | None) -> list[float]:
@@ -186,6 +205,7 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             found.append((r.term, r.toxic, r.other))
     if not totals["toxic"] or not totals["other"]:
         return Lexicon()
+    found = [x for x in found if _evidence(*x[1:], totals["toxic"], totals["other"]) >= _MIN_EVIDENCE]
     weigh = lambda a, b: math.log((a + 0.5) / (totals["toxic"] + 1)) - math.log((b + 0.5) / (totals["other"] + 1))
     weighed = sorted(((t, weigh(a, b), a) for t, a, b in found), key=lambda x: (-x[1] * math.sqrt(x[2]), x[0]))
     lexicon = Lexicon({t: w for t, w, _ in weighed[:max_terms] if w >= _MIN_WEIGHT})
@@ -194,6 +214,13 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     return lexicon
 
 
+def _evidence(a: int, b: int, toxic: int, other: int) -> float:
+    """Log-likelihood ratio of a term found in ``a`` of the toxic and ``b`` of the other documents."""
+    p = (a + b) / (toxic + other)
+    cells = ((a, toxic * p), (b, other * p), (toxic - a, toxic * (1 - p)), (other - b, other * (1 - p)))
+    return 2 * sum(x * math.log(x / e) for x, e in cells if x > 0 and e > 0)
+
+
 def _exceptions(rows: DataFrame, lexicon: Lexicon) -> set[str]:
     """Two-word phrases around a term found in at least three harmless labelled documents and no toxic one."""
 
