@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from basketry.llm import text as tx
 from basketry.llm.store import components, written
 
-SKETCH_BITS = 19
+SKETCH_BITS = 22
 _HASH_BITS = 58
 _COUNT_BLOCK = 1 << 13
 
@@ -242,6 +242,7 @@ class Trie:
                 self.children[i].append(j)
                 if z - a > 1:
                     todo.append(j)
+        self.firsts = [np.array([self.lo[j] for j in below]) for below in self.children]
 
     def linked(self, x: np.ndarray, wanted: np.ndarray, percent: int) -> list[int]:
         """Positions among ``wanted`` (ascending) whose sets link with x: one walk, overlaps shared along common paths."""
@@ -268,12 +269,11 @@ class Trie:
                 some = some[~ends]
             if not len(some):
                 continue
-            below = self.children[i]
-            starts = [self.lo[j] for j in below]
+            below, starts = self.children[i], self.firsts[i]
             of = np.searchsorted(starts, some, "right") - 1
-            cut = np.flatnonzero(np.diff(of)) + 1
-            for part in np.split(some, cut):
-                stack.append((below[int(np.searchsorted(starts, part[0], "right")) - 1], part, overlap))
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, z in zip(cuts, cuts[1:]):
+                stack.append((below[of[a]], some[a:z], overlap))
         return found
 
 
