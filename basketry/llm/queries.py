@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontaminate, embeddings, jaccard, licenses, lines, quality, sharding, toxicity
+from basketry.llm import bpe, decontaminate, embeddings, jaccard, licenses, lines, quality, repeats, sharding, toxicity
 from basketry.llm.store import package_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         "op2_line_dedup": (lines.digest, lines.SQL),
         "op3_bpe": (bpe.digest, None),
         "op4_hash_ring": (sharding.digest, None),
+        "op5_suffix_array": (repeats.digest, None),
         "op6_jaccard_trie": (jaccard.digest, None),
         "op7_licenses": (licenses.digest, None),
         "op8_toxicity": (toxicity.digest, None),
