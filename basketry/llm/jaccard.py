@@ -362,10 +362,31 @@ def _swap(keys: bytes) -> bytes:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that have the smallest doc_id of their group of linked documents (own columns)."""
-    found = link_components(docs.select("doc_id", text), n, percent, "doc_id", text)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    """Rows of ``docs`` that are the first of their group of linked documents, with their own columns.
+
+    First is the smallest (doc_id, text hash), null doc_ids before all others; repeated equal rows stay together.
+    """
+    key = lambda: F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs[text]).alias("text"))
+    found = link_components(docs.select(key().alias("doc_id"), docs[text].alias("text")), n, percent)
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct()
+    return docs.join(lost, key() == lost["lost"], "left_anti")
+
+
+SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM words
+),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * o >= 85 * (na + nb - o) UNION ALL SELECT b, a FROM shared WHERE 100 * o >= 85 * (na + nb - o)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id AS doc_id, len(s.s) AS n_shingles, r.component_id AS component_id
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON s.doc_id = r.a
+"""
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:

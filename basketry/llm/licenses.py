@@ -115,8 +115,11 @@ def evaluate(rpn: list[str]) -> tuple[set[str], int | None]:
 def expression(line: str) -> tuple[set[str], str]:
     """Families and ``expr-`` label of the expression at the start of a line: the longest part of it that parses."""
     tokens: list[str] = []
+    end = 0
     for m in _TOKEN.finditer(line):
-        t = m.group()
+        if line[end:m.start()].strip():
+            break  # something that is no part of an expression
+        t, end = m.group(), m.end()
         word = t not in "()" and t.lower() not in _BINDS
         after_operand = bool(tokens) and tokens[-1] != "(" and tokens[-1].lower() not in _BINDS
         if after_operand and (word or t == "("):

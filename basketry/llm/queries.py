@@ -28,10 +28,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         "op3_bpe": (bpe.digest, None),
         "op4_hash_ring": (sharding.digest, None),
         "op5_suffix_array": (repeats.digest, None),
-        "op6_jaccard_trie": (jaccard.digest, None),
+        "op6_jaccard_trie": (jaccard.digest, jaccard.SQL),
         "op7_licenses": (licenses.digest, None),
         "op8_toxicity": (toxicity.digest, None),
-        "op9_decontaminate": (decontaminate.digest, None),
+        "op9_decontaminate": (decontaminate.digest, decontaminate.SQL),
         "op10_epsilon_grid": (embeddings.digest, embeddings.SQL),
     }.items()
 }
