@@ -18,20 +18,11 @@ def _kpi_sql(f: Filters) -> str:
     prev = f.previous(TEST_PROFILE.data_start)
     start = prev.start if prev else f.start
     wide = Filters(start, f.end, f.states, f.categories)
-    cur = f"full_date >= {O._d(f.start)}"
-    old = f"full_date < {O._d(f.start)}"
+    figures = """count(DISTINCT order_id) AS {p}orders, CAST(coalesce(sum(item_total_amount), 0) AS DOUBLE) AS {p}revenue,
+    CAST(coalesce(sum(freight_value), 0) AS DOUBLE) AS {p}freight, count(DISTINCT customer_unique_id) AS {p}customers"""
     return _sales_sql(wide, f"""
-SELECT
-  count(DISTINCT CASE WHEN {cur} THEN order_id END) AS orders,
-  CAST(sum(CASE WHEN {cur} THEN item_total_amount ELSE 0 END) AS DOUBLE) AS revenue,
-  CAST(sum(CASE WHEN {cur} THEN freight_value ELSE 0 END) AS DOUBLE) AS freight,
-  count(DISTINCT CASE WHEN {cur} THEN customer_unique_id END) AS customers,
-  count(DISTINCT CASE WHEN {old} THEN order_id END) AS prev_orders,
-  CAST(sum(CASE WHEN {old} THEN item_total_amount ELSE 0 END) AS DOUBLE) AS prev_revenue,
-  CAST(sum(CASE WHEN {old} THEN freight_value ELSE 0 END) AS DOUBLE) AS prev_freight,
-  count(DISTINCT CASE WHEN {old} THEN customer_unique_id END) AS prev_customers
-FROM sales""")
-
+SELECT * FROM (SELECT {figures.format(p='')} FROM sales WHERE full_date >= {O._d(f.start)}) this_period,
+  (SELECT {figures.format(p='prev_')} FROM sales WHERE full_date < {O._d(f.start)}) period_before""")
 
 
 for _name, _f in (("kpi_compare", DEF), ("kpi_compare_all", ALL), ("kpi_compare_filtered", FILTERED)):
@@ -111,16 +102,17 @@ FROM order_level GROUP BY 1, 2 ORDER BY orders DESC, city, state LIMIT 10""", O.
     lambda s, d: S.top_cities(wh(s, d), DEF, 10))
 
 register("seller_origin_late", _sales_sql(RJ, f"""
-SELECT has_state, count(*) AS orders, CAST(sum(state_items) AS BIGINT) AS state_items,
-  CAST(sum(items) AS BIGINT) AS items, CAST(count_if(delivered) AS BIGINT) AS delivered_orders,
-  CAST(count_if(delivered AND late) AS DOUBLE) / NULLIF(count_if(delivered), 0) AS late_rate
+SELECT has_state, CAST(sum(first_item) AS BIGINT) AS orders, CAST(sum(here) AS BIGINT) AS state_items, count(*) AS items,
+  CAST(sum(first_item * arrived) AS BIGINT) AS delivered_orders,
+  CAST(sum(first_item * arrived * late) AS DOUBLE) / NULLIF(sum(first_item * arrived), 0) AS late_rate
 FROM (
-  SELECT order_id, bool_or(seller_state = '{RJ_SELLER_STATE}') AS has_state,
-    count_if(seller_state = '{RJ_SELLER_STATE}') AS state_items, count(*) AS items,
-    max(order_status) = 'delivered' AND max(order_delivered_customer_date) IS NOT NULL AS delivered,
-    CAST(max(order_delivered_customer_date) AS DATE) > CAST(max(order_estimated_delivery_date) AS DATE) AS late
-  FROM sales GROUP BY order_id
-) o GROUP BY has_state ORDER BY has_state DESC"""))(
+  SELECT EXISTS (SELECT 1 FROM sales other WHERE other.order_id = s.order_id AND other.seller_state = '{RJ_SELLER_STATE}') AS has_state,
+    coalesce(CAST(seller_state = '{RJ_SELLER_STATE}' AS INT), 0) AS here,
+    CAST(order_item_id = min(order_item_id) OVER (PARTITION BY order_id) AS INT) AS first_item,
+    CAST(order_status = 'delivered' AND order_delivered_customer_date IS NOT NULL AS INT) AS arrived,
+    coalesce(CAST(CAST(order_delivered_customer_date AS DATE) > CAST(order_estimated_delivery_date AS DATE) AS INT), 0) AS late
+  FROM sales s
+) flags GROUP BY has_state ORDER BY has_state DESC"""))(
     lambda s, d: S.seller_origin_late(wh(s, d), RJ, RJ_SELLER_STATE))
 
 register("sales_base", _sales_sql(DEF, """

@@ -1,99 +1,22 @@
 """Exact, distributed NTILE over a whole table.
 
-``ntile(k) OVER (ORDER BY key, id)`` without ``PARTITION BY`` is planned by
-Spark as a single-partition window: every row goes to one task.  This operator
-gives the same numbers with work spread over many tasks:
-
-1. Cut points are taken from a bounded random sample of ``(key, id)`` pairs
-   (sorted lexicographically).  A row's range ``pid`` is the number of cuts at
-   or before it, evaluated with a balanced CASE tree (log2(k) comparisons).
-   Any cuts give the right answer because ``pid`` is monotone in the order;
-   the sample only balances the ranges.  Cutting on the pair, not on ``key``
-   alone, splits a key value held by a large share of rows.
-2. ``row_number`` inside each range, ordered by ``(key, id)``.
-3. Row counts per range (at most ``k`` rows) become running offsets, joined
-   back by broadcast (bounded by ``k``).
-4. The zero-based global position ``i`` maps to the tile: with ``n`` rows,
-   ``q = n div tiles``, ``r = n mod tiles``, the first ``r`` tiles hold
-   ``q + 1`` rows and the rest ``q``.
-
-The sample and the row count are the only driver round trips, both bounded.
-When all rows fit in one range (``n <= rows_per_range``) the plain ``ntile``
-window is used: one partition of a bounded size, the same numbers.
+``ntile(k) OVER (ORDER BY key, id)`` without ``PARTITION BY`` is planned by Spark
+as a window in one task.  Here each row gets its zero-based position from
+``placed`` (range-partitioned sort), and the position maps to the tile: with ``n``
+rows, ``q = n div tiles`` and ``r = n mod tiles``, the first ``r`` tiles hold
+``q + 1`` rows and the rest ``q``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import int_div
-
-DEFAULT_ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
-SAMPLES_PER_RANGE = 64
-
-
-def _order_col(name: str, descending: bool) -> Column:
-    return F.col(name).desc() if descending else F.col(name).asc()
-
-
-def _after_or_at(values: Sequence, names: Sequence[str], descending: Sequence[bool]) -> Column:
-    """Row sorts at or after the cut ``values`` in the (key, id) order."""
-    cond = None
-    for i in range(len(names) - 1, -1, -1):
-        c, v, desc = F.col(names[i]), F.lit(values[i]), descending[i]
-        if v is None:
-            # nulls first ascending, last descending (Spark's default order)
-            ahead = c.isNotNull() if not desc else F.lit(False)
-            same = c.isNull()
-        else:
-            ahead = (c < v) if desc else (c > v)
-            if desc:
-                ahead = ahead | c.isNull()
-            same = c == v
-        if cond is None:
-            cond = ahead | same  # last column: at or after
-        else:
-            cond = ahead | (same & cond)
-    return F.coalesce(cond, F.lit(False))
-
-
-def _pid_tree(cuts: list, names, descending, lo: int, hi: int) -> Column:
-    """Number of cuts in cuts[lo:hi] at or before the row, plus lo."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(
-        _after_or_at(cuts[mid], names, descending), _pid_tree(cuts, names, descending, mid + 1, hi)
-    ).otherwise(_pid_tree(cuts, names, descending, lo, mid))
-
-
-def sample_cuts(df: DataFrame, order_by: Sequence[tuple[str, bool]], ranges: int, n: int, seed: int) -> list:
-    """Up to ``ranges - 1`` cut points in the ``order_by`` order, from a
-    bounded random sample (about ``SAMPLES_PER_RANGE`` rows per range)."""
-    names = [c for c, _ in order_by]
-    want = ranges * SAMPLES_PER_RANGE
-    fraction = min(1.0, want / max(n, 1))
-    sample = (
-        df.select(*names)
-        .sample(withReplacement=False, fraction=fraction, seed=seed)
-        .orderBy(*[_order_col(c, d) for c, d in order_by])
-        .limit(2 * want)
-        .collect()
-    )
-    step = max(1, len(sample) // ranges)
-    return [tuple(sample[j]) for j in range(step, len(sample), step)][: ranges - 1]
-
-
-def range_id(cuts: list, order_by: Sequence[tuple[str, bool]]) -> Column:
-    """Range number of a row: how many cuts sort at or before it."""
-    if not cuts:
-        return F.lit(0).cast("int")
-    return _pid_tree(cuts, [c for c, _ in order_by], [d for _, d in order_by], 0, len(cuts)).cast("int")
+from basketry.operators.placed import placed
+from basketry.operators.scalar import attach_scalar
 
 
 def _tile_of(i: Column, n: Column, tiles: int) -> Column:
@@ -105,40 +28,13 @@ def _tile_of(i: Column, n: Column, tiles: int) -> Column:
     return F.when(i < big, first).otherwise(second).cast("int")
 
 
-def global_ntile(
-    df: DataFrame,
-    tiles: int,
-    order_by: Sequence[tuple[str, bool]],
-    out: str,
-    rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
-    n_rows: int | None = None,
-    seed: int = 17,
-) -> DataFrame:
+def global_ntile(df: DataFrame, tiles: int, order_by: Sequence[tuple[str, bool]], out: str, ranges: int | None = None) -> DataFrame:
     """Add column ``out`` = NTILE(tiles) over the whole frame.
 
     ``order_by`` is a list of ``(column, descending)``; it must be a total
     order (end with a unique id) for the result to be deterministic, exactly
     as with SQL ``ntile``.
     """
-    n = df.count() if n_rows is None else n_rows
-    ranges = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
-    if ranges == 1:
-        # Everything fits in one range: the plain window is the same
-        # computation with fewer passes (n <= rows_per_range is the bound).
-        return df.withColumn(out, F.ntile(tiles).over(Window.orderBy(*[_order_col(c, d) for c, d in order_by])))
-    cuts = sample_cuts(df, order_by, ranges, n, seed)
-    ranged = df.withColumn("__pid", range_id(cuts, order_by))
-    local = ranged.withColumn(
-        "__local",
-        F.row_number().over(Window.partitionBy("__pid").orderBy(*[_order_col(c, d) for c, d in order_by])),
-    )
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    offsets = counts.select(
-        "__pid",
-        (F.sum("__cnt").over(Window.orderBy("__pid")) - F.col("__cnt")).alias("__offset"),
-        F.sum("__cnt").over(Window.partitionBy()).alias("__n"),
-    )
-    # offsets has one row per range (<= MAX_RANGES): a bounded broadcast.
-    joined = local.join(F.broadcast(offsets), "__pid")
-    i = F.col("__offset") + F.col("__local") - 1
-    return joined.withColumn(out, _tile_of(i, F.col("__n"), tiles)).drop("__pid", "__local", "__offset", "__n")
+    rows, total = placed(df, order_by, ranges)
+    counted = attach_scalar(rows, total.withColumnRenamed("n", "__n"))
+    return counted.withColumn(out, _tile_of(F.col("__pos"), F.col("__n"), tiles)).select(*df.columns, out)

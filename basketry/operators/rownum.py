@@ -1,70 +1,37 @@
 """Exact ``row_number() OVER (PARTITION BY key ORDER BY ...)`` that splits hot keys.
 
-A plain keyed window sends every row of one key to one task; if one key
-holds a third of the rows, that task holds a third of the table.  This
-operator gives the same numbers with every task bounded:
-
-1. Ranges are cut on the whole sort order ``(key, order...)`` from a bounded
-   sample (as in ``global_ntile``), so a hot key spans several ranges.
-2. ``row_number`` inside each ``(range, key)`` group: at most one range of rows.
-3. Row counts per ``(range, key)`` - map-side combined - become each key's
-   running offset with a window partitioned by key and ordered by range.  A
-   key has at most one counts row per range, so that window is bounded by the
-   number of ranges, however hot the key.
-4. The offsets join back on ``(range, key)`` (null-safe, as the window groups
-   null keys together) and the number is ``offset + local``.
-
-When all rows fit in one range the plain window is used: its largest
-partition is then at most ``rows_per_range`` rows.
+A keyed window sends every row of one key to one task.  Here the rows are
+placed in the order (key, order...) by a range-partitioned sort, so a hot key
+spans several ranges; a key's number is the row's position less the key's
+first position.  First positions are minima, combined inside each range before
+the shuffle, and come back by a join on the key whose small side has one row
+for each key: AQE can split a hot key there.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.ntile import DEFAULT_ROWS_PER_RANGE, MAX_RANGES, _order_col, range_id, sample_cuts
+from basketry.operators.placed import placed
 
 
-def keyed_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[tuple[str, bool]],
-    out: str,
-    rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
-    n_rows: int | None = None,
-    seed: int = 23,
-) -> DataFrame:
+def keyed_row_number(df: DataFrame, keys: Sequence[str], order_by: Sequence[tuple[str, bool]], out: str, ranges: int | None = None) -> DataFrame:
     """Add ``out`` = 1, 2, ... within each ``keys`` group in ``order_by`` order.
 
     ``order_by`` is a list of ``(column, descending)``; as with SQL
     ``row_number`` it must be a total order inside a key for the result to be
-    deterministic.
+    deterministic.  Null keys form one group, as in a window.
     """
-    keys = list(keys)
-    within = [_order_col(c, d) for c, d in order_by]
-    n = df.count() if n_rows is None else n_rows
-    ranges = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
-    cuts = sample_cuts(df, [(k, False) for k in keys] + list(order_by), ranges, n, seed) if ranges > 1 else []
-    if not cuts:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*within)).cast("bigint"))
-    full_order = [(k, False) for k in keys] + list(order_by)
-    ranged = df.withColumn("__pid", range_id(cuts, full_order))
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__pid", *keys).orderBy(*within)))
-    counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__cnt"))
-    renamed = {k: f"__key{i}" for i, k in enumerate(keys)}
-    offsets = counts.select(
-        F.col("__pid").alias("__opid"),
-        *[F.col(k).alias(renamed[k]) for k in keys],
-        (F.sum("__cnt").over(Window.partitionBy(*keys).orderBy("__pid")) - F.col("__cnt")).alias("__offset"),
-    )
-    cond = local["__pid"] == offsets["__opid"]
-    for k in keys:
-        cond = cond & local[k].eqNullSafe(offsets[renamed[k]])
-    joined = local.join(offsets, cond)
-    return joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint")).drop(
-        "__pid", "__local", "__opid", "__offset", *renamed.values()
-    )
+    rows, _ = placed(df, [(k, False) for k in keys] + list(order_by), ranges)
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    firsts = rows.groupBy(*keys).agg(F.min("__pos").alias("__first"))
+    firsts = firsts.select(*[F.col(k).alias(n) for k, n in names.items()], "__first")
+    same = None
+    for k, n in names.items():
+        one = rows[k].eqNullSafe(firsts[n])
+        same = one if same is None else same & one
+    joined = rows.join(firsts, same)
+    return joined.withColumn(out, (F.col("__pos") - F.col("__first") + 1).cast("bigint")).select(*df.columns, out)

@@ -275,15 +275,15 @@ def rfm_recency(metrics: DataFrame) -> DataFrame:
     )
 
 
-def rfm_scores(recency: DataFrame, n_rows: int | None = None, rows_per_range: int | None = None) -> DataFrame:
-    """R: ntile(5) by recency desc, id; M: ntile(5) by money asc, id; F: fixed map."""
-    kw = {"rows_per_range": rows_per_range} if rows_per_range else {}
-    scored = global_ntile(
-        recency, 5, [("recency_days", True), ("customer_unique_id", False)], "r_score", n_rows=n_rows, **kw
-    )
-    scored = global_ntile(
-        scored, 5, [("monetary_value", False), ("customer_unique_id", False)], "m_score", n_rows=n_rows, **kw
-    )
+def rfm_scores(recency: DataFrame, ranges: int | None = None) -> DataFrame:
+    """R: ntile(5) by recency desc, id; M: ntile(5) by money asc, id; F: fixed map.
+
+    Each ranking moves only the id and its own measure; both start from ``recency``.
+    """
+    ident = "customer_unique_id"
+    r = global_ntile(recency.select(ident, "recency_days"), 5, [("recency_days", True), (ident, False)], "r_score", ranges)
+    m = global_ntile(recency.select(ident, "monetary_value"), 5, [("monetary_value", False), (ident, False)], "m_score", ranges)
+    scored = recency.join(r.select(ident, "r_score"), ident).join(m.select(ident, "m_score"), ident)
     return scored.withColumn("f_score", f_score().cast("int"))
 
 
@@ -317,9 +317,8 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
     Customer and payment attributes belong to the order, so they are joined
     to a one-row-per-order table first (order grain is several times smaller
     than item grain, and the per-order reduction combines items map-side);
-    the item-grain fact is then shuffled once, by ``order_id``.  The calendar
-    is bounded by the profile's date range and is broadcast; products and
-    sellers are left to the planner and AQE's runtime size check.
+    the item-grain fact is then shuffled once, by ``order_id``.  Calendar,
+    products and sellers are left to the planner's and AQE's size checks.
     """
     t = time.select("date_key", "full_date", "year", "quarter", "month", "day_of_week", "day_name")
     c = customers.select("customer_unique_id", "customer_state", "customer_city")
@@ -334,7 +333,7 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
                 F.coalesce(F.col("payment_type_primary"), F.lit("unknown")).alias("payment_type"))
     )
     j = (
-        fact.join(F.broadcast(t), fact.order_date_key == t.date_key)
+        fact.join(t, fact.order_date_key == t.date_key)
         .join(per_order, "order_id")
         .join(p, "product_id")
         .join(s, "seller_id")

@@ -28,7 +28,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.plans import models as M
@@ -86,7 +86,6 @@ class Warehouse:
         # same input in this process, so a new session reads, not rebuilds)
         self._written: dict[str, str] = written if written is not None else {}
         self._built: dict[str, DataFrame] = {}
-        self.build_stats: dict[str, int] = {}
         self._lock = threading.Lock()  # guards the two dicts below
         self._building: dict[str, threading.Lock] = {}  # one lock per table: built once, by whoever asks first
 
@@ -219,13 +218,8 @@ class Warehouse:
 
     def _plan_rfm(self) -> DataFrame:
         fact = self.table("fct_order_items_sales")
-        obs = Observation("rfm_metrics")  # row count observed by the write itself, no extra job
-        metrics = M.rfm_metrics(M.rfm_customer_orders(fact)).observe(obs, F.count(F.lit(1)).alias("n"))
-        metrics = self._write("_rfm_metrics", metrics)
-        n = int(obs.get["n"])
-        self.build_stats["rfm_customers"] = n
-        recency = M.rfm_recency(metrics)
-        return M.rfm_segmented(M.rfm_scores(recency, n_rows=n))
+        metrics = self._write("_rfm_metrics", M.rfm_metrics(M.rfm_customer_orders(fact)))
+        return M.rfm_segmented(M.rfm_scores(M.rfm_recency(metrics)))
 
     def build_all(self, threads: int = 4) -> dict[str, DataFrame]:
         """Build every mart, up to ``threads`` at once (the source's dbt runs

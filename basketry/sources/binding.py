@@ -119,8 +119,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # nation is a fixed 25-row dimension: broadcasting it is bounded.
-    cust_state = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
+    cust_state = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
     return o.join(cust_state, o.o_custkey == cust_state.c_custkey, "left").select(
         F.col("o_orderkey").alias("customer_id"),
         F.col("o_custkey").alias("customer_unique_id"),
@@ -166,7 +165,7 @@ def raw_category_name_translation(spark: SparkSession, sf_dir: str) -> DataFrame
 def raw_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left").select(
+    return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
         F.col("s_suppkey").alias("seller_id"),
         (F.col("s_suppkey") % 90000).alias("seller_zip_code_prefix"),
         F.lower(F.col("s_name")).alias("seller_city"),

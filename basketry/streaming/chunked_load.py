@@ -17,6 +17,7 @@ job resumes after the last committed batch: exactly-once into the table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,18 +37,28 @@ def _writer(target: str):
     return write
 
 
+def _batches_in(spark: SparkSession, target: str) -> set[int]:
+    """Batch numbers present in the target, from its partition values."""
+    try:
+        loaded = spark.read.parquet(target)
+    except AnalysisException:  # no target yet
+        return set()
+    return {int(r[0]) for r in loaded.select(BATCH_COLUMN).distinct().toLocalIterator()}
+
+
 def load_in_chunks(spark: SparkSession, landing: str, schema: StructType, target: str, checkpoint: str,
-                   files_per_chunk: int = 1, fmt: str = "csv") -> int:
-    """Run the chunked load to completion; returns the number of micro-batches."""
+                   files_per_chunk: int = 1, fmt: str = "csv", multi_line: bool = False) -> int:
+    """Run the chunked load to completion; returns the number of micro-batches
+    this run added, counted in the target (the query keeps only its last 100 progress entries)."""
+    before = _batches_in(spark, target)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_chunk)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
     stream = reader.format(fmt).load(landing)
     q = (stream.writeStream.foreachBatch(_writer(target)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = q.recentProgress
-    return sum(1 for p in progress if p.get("numInputRows", 0) > 0)
+    return len(_batches_in(spark, target) - before)
 
 
 def read_loaded(spark: SparkSession, target: str) -> DataFrame:

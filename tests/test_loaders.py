@@ -21,7 +21,7 @@ def _write(text: str, encoding: str = "utf-8") -> str:
 
 def test_bom_and_quoted_newline(spark):
     path = _write('﻿id,name\n1,"two\nlines"\n2,plain\n')
-    rows = sorted(map(tuple, L.read_csv(spark, path, SCHEMA).collect()))
+    rows = sorted(map(tuple, L.read_csv(spark, path, SCHEMA, multi_line=True).collect()))
     assert rows == [(1, "two\nlines"), (2, "plain")]
 
 
@@ -87,3 +87,41 @@ def test_chunked_streaming_load_is_exactly_once(spark):
     # a rerun with the same checkpoint takes no file twice
     load_in_chunks(spark, landing, SCHEMA, target, ckpt)
     assert read_loaded(spark, target).count() == 15
+
+
+def test_large_csv_is_split_between_tasks(spark):
+    """Without quoted line breaks one file is read by several tasks."""
+    path = _write("id,name\n" + "".join(f"{i},some text to fill the line\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert L.read_csv(spark, path, SCHEMA).rdd.getNumPartitions() > 3
+        assert L.read_csv(spark, path, SCHEMA).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_failed_table_keeps_its_whole_message(spark):
+    path = _write("id,name\nnot a number,x\n")
+    strict = StructType([StructField("id", SCHEMA.fields[0].dataType), StructField("name", StringType())])
+    audit = L.load_tables(spark, [L.LoadSpec("t", path, strict), L.LoadSpec("gone", path + "-none", strict)], tempfile.mkdtemp())
+    rows = {r["table"]: r for r in audit.collect()}
+    assert rows["gone"].status == "missing"
+    assert rows["t"].status == "failed" and len(rows["t"].message) > 200
+
+
+def test_batch_count_beyond_the_progress_history(spark):
+    from basketry.streaming.chunked_load import load_in_chunks, read_loaded
+
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")  # the default is 100
+    landing = tempfile.mkdtemp(prefix="basketry-landing-")
+    for i in range(8):
+        with open(os.path.join(landing, f"chunk{i}.csv"), "w") as fh:
+            fh.write(f"id,name\n{i},n\n")
+    try:
+        target = tempfile.mkdtemp(prefix="basketry-chunked-") + "/t"
+        assert load_in_chunks(spark, landing, SCHEMA, target, tempfile.mkdtemp()) == 8
+        assert read_loaded(spark, target).count() == 8
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from basketry.operators.ntile import global_ntile
 
 
-def _compare(spark, rows, tiles, desc, rows_per_range):
+def _compare(spark, rows, tiles, desc, ranges=None):
     df = spark.createDataFrame(rows, "k long, id long")
     order = [("k", desc), ("id", False)]
-    mine = global_ntile(df, tiles, order, "t", rows_per_range=rows_per_range)
+    mine = global_ntile(df, tiles, order, "t", ranges)
     w = Window.orderBy(F.col("k").desc() if desc else F.col("k").asc(), F.col("id").asc())
     ref = df.withColumn("t", F.ntile(tiles).over(w))
     a = sorted((r.id, r.t) for r in mine.collect())
@@ -21,19 +21,19 @@ def _compare(spark, rows, tiles, desc, rows_per_range):
 def test_small_sizes(spark):
     for n in (1, 3, 4, 5, 6, 7, 13):
         rows = [(i % 3, i) for i in range(n)]
-        _compare(spark, rows, 5, False, 2)
-        _compare(spark, rows, 5, True, 2)
+        _compare(spark, rows, 5, False, 4)
+        _compare(spark, rows, 5, True)
 
 
 def test_all_tied_keys_split_across_ranges(spark):
     rows = [(7, i) for i in range(1500)]
-    _compare(spark, rows, 5, True, 100)
+    _compare(spark, rows, 5, True, 15)
 
 
 def test_null_keys(spark):
     rows = [(None if i % 4 == 0 else i % 9, i) for i in range(200)]
-    _compare(spark, rows, 5, False, 30)
-    _compare(spark, rows, 5, True, 30)
+    _compare(spark, rows, 5, False, 7)
+    _compare(spark, rows, 5, True, 7)
 
 
 @settings(max_examples=12, deadline=None)
@@ -41,8 +41,8 @@ def test_null_keys(spark):
     keys=st.lists(st.integers(min_value=0, max_value=6), min_size=1, max_size=120),
     tiles=st.integers(min_value=1, max_value=7),
     desc=st.booleans(),
-    per_range=st.integers(min_value=1, max_value=40),
+    ranges=st.integers(min_value=1, max_value=20),
 )
-def test_property_equals_sql_ntile(spark, keys, tiles, desc, per_range):
+def test_property_equals_sql_ntile(spark, keys, tiles, desc, ranges):
     rows = [(k, i) for i, k in enumerate(keys)]
-    _compare(spark, rows, tiles, desc, per_range)
+    _compare(spark, rows, tiles, desc, ranges)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from basketry.operators.rownum import keyed_row_number
 
 
-def _compare(spark, rows, desc, rows_per_range):
+def _compare(spark, rows, desc, ranges=None):
     df = spark.createDataFrame(rows, "k long, v long, id long")
     order = [("v", desc), ("id", False)]
-    mine = keyed_row_number(df, ["k"], order, "rn", rows_per_range=rows_per_range)
+    mine = keyed_row_number(df, ["k"], order, "rn", ranges)
     w = Window.partitionBy("k").orderBy(F.col("v").desc() if desc else F.col("v").asc(), F.col("id").asc())
     ref = df.withColumn("rn", F.row_number().over(w))
     a = sorted((r.id, r.rn) for r in mine.collect())
@@ -22,19 +22,19 @@ def _compare(spark, rows, desc, rows_per_range):
 def test_hot_key_split_across_ranges(spark):
     # one key holds most rows: it spans many ranges and still numbers 1..n
     rows = [(1 if i % 10 else i, i % 7, i) for i in range(1200)]
-    _compare(spark, rows, False, 50)
-    _compare(spark, rows, True, 50)
+    _compare(spark, rows, False, 24)
+    _compare(spark, rows, True, 24)
 
 
 def test_null_keys_and_values(spark):
     rows = [(None if i % 5 == 0 else i % 3, None if i % 4 == 0 else i % 6, i) for i in range(300)]
-    _compare(spark, rows, False, 20)
-    _compare(spark, rows, True, 20)
+    _compare(spark, rows, False, 15)
+    _compare(spark, rows, True)
 
 
 def test_two_keys(spark):
     df = spark.createDataFrame([(i % 2, i % 3, i) for i in range(90)], "a long, b long, id long")
-    mine = keyed_row_number(df, ["a", "b"], [("id", True)], "rn", rows_per_range=7)
+    mine = keyed_row_number(df, ["a", "b"], [("id", True)], "rn", ranges=13)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("id").desc())))
     assert sorted(map(tuple, mine.select("id", "rn").collect())) == sorted(map(tuple, ref.select("id", "rn").collect()))
 
@@ -43,28 +43,29 @@ def test_two_keys(spark):
 @given(
     keys=st.lists(st.integers(min_value=0, max_value=4), min_size=1, max_size=100),
     desc=st.booleans(),
-    per_range=st.integers(min_value=1, max_value=30),
+    ranges=st.integers(min_value=1, max_value=20),
 )
-def test_property_equals_sql_row_number(spark, keys, desc, per_range):
+def test_property_equals_sql_row_number(spark, keys, desc, ranges):
     rows = [(k, (i * 7) % 5, i) for i, k in enumerate(keys)]
-    _compare(spark, rows, desc, per_range)
+    _compare(spark, rows, desc, ranges)
 
 
 def test_hot_key_rows_spread_over_ranges(spark):
-    """The ranges cut on (key, order) split a key holding most rows: no
-    (range, key) group - the unit one window task sees - holds it whole."""
-    import math
+    """A key holding most rows is cut into several ranges of bounded size."""
+    from basketry.operators.placed import placed
 
-    from basketry.operators.ntile import range_id, sample_cuts
-
-    n, per_range = 3000, 200
+    n, ranges = 3000, 15
     rows = [(1 if i % 4 else i, i % 11, i) for i in range(n)]  # key 1 holds 3/4 of the rows
     df = spark.createDataFrame(rows, "k long, v long, id long")
-    order = [("k", False), ("v", False), ("id", False)]
-    ranges = math.ceil(n / per_range)
-    cuts = sample_cuts(df, order, ranges, n, seed=23)
-    groups = df.withColumn("pid", range_id(cuts, order)).groupBy("pid", "k").count()
-    hot = [r["count"] for r in groups.filter("k = 1").collect()]
+    spread, total = placed(df, [("k", False), ("v", False), ("id", False)], ranges)
+    hot = [r["count"] for r in spread.filter("k = 1").groupBy("__range").count().collect()]
+    assert total.first()["n"] == n
     assert sum(hot) == sum(1 for r in rows if r[0] == 1)
     assert len(hot) >= ranges // 2
-    assert max(hot) < 4 * per_range
+    assert max(hot) < 4 * n // ranges
+
+
+def test_empty_and_one_path(spark):
+    """No size switch: one row and no row go through the same steps."""
+    for rows in ([], [(1, 2, 3)]):
+        _compare(spark, rows, False)

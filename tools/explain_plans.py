@@ -50,13 +50,13 @@ def main() -> None:
         ("churn_by_last_category (category pre-computed in the RFM mart)", C.churn_by_last_category(w, DEF)),
         ("int_customers_deduplicated (partial max before the shuffle)", w.view("int_customers_deduplicated")),
         ("fct_sales_wide build (order-grain joins, one fact shuffle, date ranges)", w._plan("fct_sales_wide")),
-        ("global_ntile with several ranges (rows_per_range=300)",
+        ("global_ntile with several ranges (6 ranges)",
          global_ntile(rfm_in, 5, [("recency_days", True), ("customer_unique_id", False)], "r_score",
-                      rows_per_range=300)),
-        ("keyed_row_number: item number per order with hot orders split (rows_per_range=5000)",
+                      ranges=6)),
+        ("keyed_row_number: item number per order with hot orders split (12 ranges)",
          keyed_row_number(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_orderkey"],
                           [("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False),
-                           ("l_extendedprice", False)], "order_item_id", rows_per_range=5000)),
+                           ("l_extendedprice", False)], "order_item_id", ranges=12)),
     ]
     out = ["# Physical plans", "", f"Generated by `tools/explain_plans.py` on `{sf}` (local[8]); "
            "AQE re-plans at run time, so these are the initial plans.", ""]
