@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from itertools import islice
 
 import numpy as np
@@ -39,12 +40,20 @@ from pyspark.sql import functions as F
 
 LEAF = 512
 LONG = 4096
-_CACHE = 200_000
+_CACHE = 300_000
+_BITS = 24
+_MASK, _NONE = (1 << _BITS) - 1, 1 << 62
 #: The byte-level pattern and its white space (Unicode White_Space).
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
+#: The same for texts of Latin letters only (below U+0250), with the letters and numbers of that range written out.
+_LATIN_L, _LATIN_N, _LATIN_S = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe", "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
+_LATIN = rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN_L}]+| ?[{_LATIN_N}]+| ?[^{_LATIN_S}{_LATIN_L}{_LATIN_N}]+|[{_LATIN_S}]+(?![^{_LATIN_S}])|[{_LATIN_S}]+"
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -77,16 +86,23 @@ class Coder(dict):
         super().__init__()
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in special.items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.merges = {vocab[a] << _BITS | vocab[b]: (rank + 1) << _BITS | vocab[a + b] for rank, (a, b) in enumerate(merges)}
         self.special = special
+        self.older: dict[str, bytes] = {}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")") if special else None
-        self.pattern = regex.compile(_PATTERN)
+        self.any, self.latin = regex.compile(_PATTERN), re.compile(_LATIN)
+
+    def pattern(self, text: str):
+        """The splitter for a text: the quicker one where all its characters are Latin."""
+        return self.any if _BEYOND.search(text) else self.latin
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        out = np.array(self.piece(raw), "<u4").tobytes()
-        if len(raw) <= 64:
-            if len(self) >= _CACHE:
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(self.piece(piece.encode()), "<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= _CACHE:  # two generations: what is in use moves over, the rest goes
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -99,47 +115,46 @@ class Coder(dict):
         return self.join(self.piece(raw[:half]), self.piece(raw[half:]))
 
     def merge(self, raw: bytes) -> list[int]:
-        """Plain merging in rank order."""
+        """Plain merging in rank order, leftmost first."""
         ids = [self.single[b] for b in raw]
         if len(ids) > 64:
             return self._merge_heap(ids)
         known = self.merges.get
-        while len(ids) > 1:
-            best = min((known(p, (1 << 30, 0)) + (p,) for p in zip(ids, ids[1:])))
-            if best[0] == 1 << 30:
+        codes = [known(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]  # of each pair: rank and new id
+        while codes:
+            best = min(codes)
+            if best == _NONE:
                 break
-            (a, b), new = best[2], best[1]
-            out, k = [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and ids[k] == a and ids[k + 1] == b:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+            k = codes.index(best)
+            ids[k:k + 2] = [best & _MASK]
+            del codes[k]
+            if k < len(codes):
+                codes[k] = known(ids[k] << _BITS | ids[k + 1], _NONE)
+            if k:
+                codes[k - 1] = known(ids[k - 1] << _BITS | ids[k], _NONE)
         return ids
 
     def _merge_heap(self, ids: list[int]) -> list[int]:
-        """The same with a heap of (rank, position), for windows and leaves."""
+        """The same with a heap of (rank and new id, position), for windows and leaves."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         known = self.merges.get
-        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := known((ids[k], ids[k + 1])))]
+        heap = [(m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := known(ids[k] << _BITS | ids[k + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            m, k, a, b = heapq.heappop(heap)
             nxt = after[k]
             if ids[k] != a or nxt >= n or ids[nxt] != b:
                 continue
+            new = m & _MASK
             ids[k], ids[nxt] = new, -1
             after[k] = after[nxt]
             if after[k] < n:
                 before[after[k]] = k
-                if m := known((new, ids[after[k]])):
-                    heapq.heappush(heap, (m[0], k, new, ids[after[k]], m[1]))
-            if before[k] >= 0 and (m := known((ids[before[k]], new))):
-                heapq.heappush(heap, (m[0], before[k], ids[before[k]], new, m[1]))
+                if m := known(new << _BITS | ids[after[k]]):
+                    heapq.heappush(heap, (m, k, new, ids[after[k]]))
+            if before[k] >= 0 and (m := known(ids[before[k]] << _BITS | new)):
+                heapq.heappush(heap, (m, before[k], ids[before[k]], new))
         return [i for i in ids if i >= 0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -171,9 +186,9 @@ class Coder(dict):
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             elif len(part) < 1 << 20:
-                out += map(self.__getitem__, self.pattern.findall(part))
+                out += map(self.__getitem__, self.pattern(part).findall(part))
             else:  # a list of all pieces of a very long text would be large
-                found = (m.group() for m in self.pattern.finditer(part))
+                found = (m.group() for m in self.pattern(part).finditer(part))
                 while some := list(islice(found, 100_000)):
                     out.append(b"".join(map(self.__getitem__, some)))
         return b"".join(out)
@@ -243,7 +258,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
                     if part in coder.special:
                         ready.append(np.array([coder.special[part]], "<u4").tobytes())
                         continue
-                    for m in coder.pattern.finditer(part):
+                    for m in coder.pattern(part).finditer(part):
                         if m.end() - m.start() < LONG:
                             ready.append(coder[m.group()])
                             continue
