@@ -30,13 +30,18 @@ def _int64(df: DataFrame, name: str) -> Column:
     return c.cast("bigint")
 
 
+def _id(name: str) -> Column:
+    """Ids are text from staging on, whatever type the raw table has."""
+    return F.col(name).cast("string").alias(name)
+
+
 # ---------------------------------------------------------------- staging
 
 
 def stg_orders(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "order_id",
-        "customer_id",
+        _id("order_id"),
+        _id("customer_id"),
         F.col("order_status").cast("string").alias("order_status"),
         *[
             F.col(c).cast(TS).alias(c)
@@ -53,10 +58,10 @@ def stg_orders(raw: DataFrame) -> DataFrame:
 
 def stg_order_items(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "order_id",
+        _id("order_id"),
         _int64(raw, "order_item_id").alias("order_item_id"),
-        "product_id",
-        "seller_id",
+        _id("product_id"),
+        _id("seller_id"),
         F.col("shipping_limit_date").cast(TS).alias("shipping_limit_date"),
         F.col("price").cast(MONEY).alias("price"),
         F.col("freight_value").cast(MONEY).alias("freight_value"),
@@ -65,8 +70,8 @@ def stg_order_items(raw: DataFrame) -> DataFrame:
 
 def stg_customers(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "customer_id",
-        "customer_unique_id",
+        _id("customer_id"),
+        _id("customer_unique_id"),
         _int64(raw, "customer_zip_code_prefix").alias("customer_zip_code_prefix"),
         F.trim(F.lower(F.col("customer_city").cast("string"))).alias("customer_city"),
         F.upper(F.col("customer_state").cast("string")).alias("customer_state"),
@@ -75,7 +80,7 @@ def stg_customers(raw: DataFrame) -> DataFrame:
 
 def stg_products(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "product_id",
+        _id("product_id"),
         F.col("product_category_name").cast("string").alias("product_category_name"),
         _int64(raw, "product_name_lenght").alias("product_name_length"),
         _int64(raw, "product_description_lenght").alias("product_description_length"),
@@ -89,7 +94,7 @@ def stg_products(raw: DataFrame) -> DataFrame:
 
 def stg_order_payments(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "order_id",
+        _id("order_id"),
         _int64(raw, "payment_sequential").alias("payment_sequential"),
         F.col("payment_type").cast("string").alias("payment_type"),
         _int64(raw, "payment_installments").alias("payment_installments"),
@@ -99,7 +104,7 @@ def stg_order_payments(raw: DataFrame) -> DataFrame:
 
 def stg_sellers(raw: DataFrame) -> DataFrame:
     return raw.select(
-        "seller_id",
+        _id("seller_id"),
         _int64(raw, "seller_zip_code_prefix").alias("seller_zip_code_prefix"),
         F.trim(F.lower(F.col("seller_city").cast("string"))).alias("seller_city"),
         F.upper(F.col("seller_state").cast("string")).alias("seller_state"),
