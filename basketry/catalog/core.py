@@ -20,8 +20,8 @@ ALL = all_filters(TEST_PROFILE)
 # Fixed values for the filtered variants (states and categories of the test binding).
 SOME_STATES = ("NATION_2", "NATION_7", "NATION_11")
 SOME_CATEGORIES = ("cat_11", "cat_23", "cat_35", "others")
-RJ = Filters(DEF.start, DEF.end, ("NATION_2",), ())
-RJ_SELLER_STATE = "NATION_1"
+RJ = Filters(DEF.start, DEF.end, (TEST_PROFILE.origin_states[0],), ())
+RJ_SELLER_STATE = TEST_PROFILE.origin_states[1]
 FILTERED = Filters(DEF.start, DEF.end, SOME_STATES, SOME_CATEGORIES)
 
 

@@ -53,4 +53,19 @@ _parts += [_f("rfm", "single_purchase_share", "max(CASE WHEN f_score = 1 THEN sh
            _f("decision", "best_profit", "profit", from_query("campaign_best")),
            _f("decision", "best_breakeven", "breakeven", from_query("campaign_best"))]
 
+def _rows(section: str, prefix: str, figures: dict[str, str], src: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, {prefix} || '_{name}' AS figure, CAST({expr} AS DOUBLE) AS value FROM {src}"
+            for name, expr in figures.items()]
+
+
+_parts += _rows("overview", "category", {"orders": "orders"},
+                f"(SELECT * FROM {from_query('sales_by_category')} ORDER BY orders DESC, category LIMIT 5) five")
+_parts += _rows("trends", "'weekday_' || day_of_week", {"orders": "orders", "share": "share"}, from_query("weekday_share"))
+_parts += _rows("trends", "CASE WHEN has_state THEN 'with_state_seller' ELSE 'without_state_seller' END",
+                {"orders": "orders", "late_rate": "late_rate"}, from_query("seller_origin_late"))
+_parts += [_f("rfm", k, k, from_query("rfm_overview")) for k in ("avg_monetary", "active", "cooling", "cooling_value")]
+_parts += [_f("rfm", f"last_purchase_{k}", f"{k}(last_purchase)", from_query("rfm_overview")) for k in ("year", "month", "day")]
+_parts += _rows("rfm", "'f_score_' || f_score", {"customers": "customers", "share": "share"}, from_query("f_score_share"))
+_parts += _rows("decision", "'scenario_' || scenario_index", {k: k for k in R.SCENARIO_FIGURES}, from_query("campaign_evaluate"))
+
 register("report_numbers", " UNION ALL ".join(_parts))(lambda s, d: R.report_figures(wh(s, d), DEF))

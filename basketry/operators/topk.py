@@ -25,7 +25,7 @@ def top_k(df: DataFrame, order_by: Sequence[tuple[str, bool]], k: int | None) ->
 
 def order_small(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Order a result whose row count is bounded by construction (calendar
-    periods, 30-day buckets, payment types): one partition sorted locally,
-    avoiding the sampling job and shuffle of a global range sort.  Unbounded
-    results keep ``orderBy``."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    periods, 30-day buckets, payment types): the finished rows go to one
+    partition and are sorted there, without the sampling job of a global range
+    sort.  The aggregate itself stays spread.  Unbounded results keep ``orderBy``."""
+    return df.repartition(1).sortWithinPartitions(*cols)

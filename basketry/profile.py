@@ -21,6 +21,7 @@ class Profile:
     compare_years: tuple[int, int]  # same-months comparison, first year then second
     compare_last_month: int  # months 1..this month are compared
     presets: tuple[tuple[str, date, date], ...]
+    origin_states: tuple[str, str]  # buyers' state and sellers' state of the late-delivery question
 
 
 # The source dataset's own calendar and presets.
@@ -39,6 +40,7 @@ SOURCE_PROFILE = Profile(
         ("year_2017", date(2017, 1, 1), date(2017, 12, 31)),
         ("last_12_months", date(2017, 9, 1), date(2018, 8, 31)),
     ),
+    origin_states=("RJ", "SP"),
 )
 
 # The same shape over the test tables (purchases 1995-01-01 .. 2001-08-01).
@@ -57,4 +59,5 @@ TEST_PROFILE = Profile(
         ("year_1997", date(1997, 1, 1), date(1997, 12, 31)),
         ("last_12_months", date(1997, 9, 1), date(1998, 8, 31)),
     ),
+    origin_states=("NATION_2", "NATION_1"),
 )
