@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from basketry.llm.suffix import Scratch, Suffixes
 LENGTH = 50
 GRAM = 20
 _LONGEST = 512  # windows in a segment
-_FIRST = -(1 << 63)
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 _OCC = np.dtype([("node", "<i8"), ("id", "<i8"), ("at", "<i8")])
 
 
@@ -122,11 +123,15 @@ def _shared(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, bytes, places): segments of windows with a shared anchor, equal ones of a batch merged."""
+    """(anchor, bytes, places): segments of windows with a shared anchor, equal ones of a batch merged.
+
+    Only the first document of each text is cut; choosing it here and not by a filter
+    keeps the join below the same as that of the last step.
+    """
 
     def cut(batches):
         for b in batches:
-            for rows, data, off in tx.slices(b, "text"):
+            for rows, data, off in tx.slices(b.filter(pc.equal(b.column("id"), b.column("rep"))), "text"):
                 low = _anchors(data, length, gram)
                 raw = data.tobytes()
                 found: dict[bytes, list] = {}
@@ -158,34 +163,32 @@ def _decide(length: int, memory: int):
     def run(batches):
         with Scratch(memory) as scratch:
             known: dict[bytes, int] = {}  # segment digest -> number
-            lows, sizes = [], []  # smallest doc_id and length of each segment
-            pieces, places, held = [], [], []
-
-            def flush():
-                if held:
-                    seg = np.repeat([k for k, _ in held], [len(o) for _, o in held])
-                    occ = np.concatenate([o for _, o in held])
-                    places.append([scratch.keep(c) for c in (seg, occ["node"].copy(), occ["id"].copy(), occ["at"].copy())])
-                    held.clear()
-
+            lows, sizes = [], []  # smallest doc_id and length of each segment, a piece for each batch
+            pieces, places = [], []
             for b in batches:
-                fresh = []
-                for piece, occ in zip(b.column("bytes").to_pylist(), b.column("places").to_pylist()):
-                    key = hashlib.blake2b(piece, digest_size=16).digest()
-                    occ = np.frombuffer(occ, _OCC)
-                    k = known.setdefault(key, len(lows))
-                    if k == len(lows):
-                        lows.append(int(occ["id"].min()))
-                        sizes.append(len(piece))
+                if not len(b):
+                    continue
+                fresh, at, before = [], np.empty(len(b), np.int64), len(known)
+                for i, piece in enumerate(b.column("bytes").to_pylist()):
+                    k = known.setdefault(hashlib.blake2b(piece, digest_size=16).digest(), len(known))
+                    at[i] = k
+                    if k >= before + len(fresh):
                         fresh.append(piece)
-                    else:
-                        lows[k] = min(lows[k], int(occ["id"].min()))
-                    held.append((k, occ))
+                occ = b.column("places").to_pylist()
+                seg = np.repeat(at, [len(o) // _OCC.itemsize for o in occ])
+                occ = np.frombuffer(b"".join(occ), _OCC)
+                low = np.full(len(known), _LAST, np.int64)
+                np.minimum.at(low, seg, occ["id"])
+                lows.append(low)
+                places.append([scratch.keep(c) for c in (seg, occ["node"].copy(), occ["id"].copy(), occ["at"].copy())])
                 if fresh:
+                    sizes.append(np.array([len(p) for p in fresh]))
                     pieces.append(scratch.keep(np.frombuffer(b"".join(fresh), np.uint8)))
-                flush()
-            if sizes:
-                yield from _removed(scratch, pieces, np.array(sizes), np.array(lows), places, length)
+            if known:
+                low = np.full(len(known), _LAST, np.int64)
+                for some in lows:
+                    np.minimum(low[:len(some)], some, out=low[:len(some)])
+                yield from _removed(scratch, pieces, np.concatenate(sizes), low, places, length)
 
     return run
 
@@ -234,14 +237,19 @@ def _removed(scratch: Scratch, pieces: list, sizes: np.ndarray, lows: np.ndarray
         seg, nodes, ids, first = (scratch.take(c) for c in block)
         whole = ids > lows[seg]
         out = [(nodes[whole], first[whole], windows[seg[whole]])]
-        rest = np.flatnonzero(~whole)
-        for i in rest.tolist():
-            s = seg[i]
-            gone = low[starts[s]:starts[s] + windows[s]] < ids[i]
-            if gone.any():
-                edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-                a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                out.append((np.full(len(a), nodes[i]), first[i] + a, z - a))
+        own = ~whole  # the first document that has the segment: window by window
+        if own.any():
+            seg, ids, nodes, first = seg[own], ids[own], nodes[own], first[own]
+            many = windows[seg]
+            ends = np.cumsum(many)
+            of = np.repeat(np.arange(len(seg)), many)
+            offset = np.arange(ends[-1]) - np.repeat(ends - many, many)
+            gone = low[starts[seg][of] + offset] < ids[of]
+            begins, stops = gone.copy(), gone.copy()
+            begins[1:] &= ~gone[:-1] | (of[1:] != of[:-1])
+            stops[:-1] &= ~gone[1:] | (of[1:] != of[:-1])
+            a, z = np.flatnonzero(begins), np.flatnonzero(stops)
+            out.append((nodes[of[a]], first[of[a]] + offset[a], z - a + 1))
         cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
         for k in range(0, len(cols[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[k:k + (1 << 16)]) for c in cols], ["node", "at", "many"])
@@ -263,15 +271,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     gram = min(GRAM, length)
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST))).withColumn("node", F.xxhash64(F.sha2("text", 256)))
-    reps = base.groupBy("node").agg(F.min("id").alias("rep"))
+    base = base.withColumn("node", F.xxhash64(F.sha2("text", 256)))
+    ident = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST))
+    reps = base.groupBy("node").agg(F.min(ident).alias("rep"))
     shared = _shared(base, length, gram)
 
-    first = base.join(reps.join(shared, "node"), "node")
-    segments = _segments(first.where("id = rep").select("node", "id", "text", "anchors"), length, gram)
+    # both joins take the same columns of the texts, so one shuffle of them serves both
+    first = base.join(reps.join(shared, "node"), "node").withColumn("id", ident)
+    segments = _segments(first.select("node", "id", "rep", "doc_id", "text", "anchors"), length, gram)
     removed = segments.repartition("anchor").mapInArrow(_decide(length, memory), "node bigint, at bigint, many bigint")
     removed = removed.groupBy("node").agg(F.collect_list(F.struct("at", "many")).alias("gone"))
-    joined = base.join(reps.join(removed, "node", "left"), "node").select("doc_id", "text", "id", "rep", "gone")
+    joined = base.join(reps.join(removed, "node", "left"), "node").withColumn("id", ident).select("doc_id", "text", "id", "rep", "gone")
     out = [("n_bytes", "bigint", pa.int64()), ("n_removed", "bigint", pa.int64()), ("n_spans", "bigint", pa.int64()), ("kept_sha256", "string", pa.string())]
     out += [("kept", "binary", pa.binary())] if with_bytes else []
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,7 @@ class Run:
     """First-in first-out blocks of one character: positions and common prefixes."""
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.blocks, self.last = scratch, [], -1
+        self.scratch, self.blocks, self.last = scratch, deque(), -1
 
     def push(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.last = int(pos[-1])
@@ -94,10 +95,14 @@ class Run:
             self.blocks.append((self.scratch.keep(pos[k:k + BLOCK].copy()), self.scratch.keep(lcp[k:k + BLOCK].copy())))
 
     def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks in order, also those pushed meanwhile."""
+        """What waits, in order and in pieces of up to a block, also what is pushed meanwhile."""
         while self.blocks:
-            pos, lcp = self.blocks.pop(0)
-            yield self.scratch.take(pos), self.scratch.take(lcp)
+            some, size = [], 0
+            while self.blocks and size < BLOCK:
+                pos, lcp = self.blocks.popleft()
+                some.append((self.scratch.take(pos), self.scratch.take(lcp)))
+                size += len(some[-1][0])
+            yield some[0] if len(some) == 1 else (np.concatenate([p for p, _ in some]), np.concatenate([c for _, c in some]))
 
 
 class _Minima:
