@@ -28,6 +28,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,17 @@ class Warehouse:
         self._lock = threading.Lock()  # guards the two dicts below
         self._building: dict[str, threading.Lock] = {}  # one lock per table: built once, by whoever asks first
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, root: str, profile: Profile, marts: str | None = None) -> "Warehouse":
+        """A warehouse over tables that ``load_tables`` wrote below ``root``; tables that were not loaded are left out."""
+        raw = {}
+        for name in RAW_TABLES:
+            try:
+                raw[name] = spark.read.parquet(f"{root}/{name}")
+            except AnalysisException:
+                continue
+        return cls(spark, root, profile, root=marts, raw=raw)
+
     # ------------------------------------------------------------ raw/views
     def raw(self, name: str) -> DataFrame:
         """Raw-layer table, loaded (written) once like the source's load step,

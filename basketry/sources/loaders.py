@@ -40,7 +40,7 @@ class TooManyBadRows(ValueError):
     pass
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -123,7 +123,7 @@ class LoadSpec:
 
     table: str
     path: str
-    schema: StructType
+    schema: StructType | str
     multi_line: bool = False
 
 
