@@ -185,7 +185,7 @@ def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str =
     col = f"d_{text}"
 
     def apply(batches):
-        for b in batches:
+        for b in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
             texts, keys = b.column(col), b.column("__keys")
             kept, lines, dropped, sha = [], [], [], []
             for t, k in zip(texts, keys):

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from basketry.session import shared_root
 
 
+BATCH_BYTES = 8 << 20
+
+
 def package_on_workers(spark: SparkSession) -> None:
-    """Puts this package's folder on the Python path of the workers (a cluster without it there ships it by --py-files)."""
+    """Puts this package's folder on the Python path of the workers (a cluster without it there
+    ships it by --py-files) and bounds the bytes of an Arrow batch, in tasks and in the JVM."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # freed buffers go back to the machine
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -184,14 +184,21 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     def count(batches):
         many, docs = (Counter(), Counter()), [0, 0]
+
+        def counts():
+            terms = list(many[0].keys() | many[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([many[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "toxic", "other"])
+            many[0].clear()
+            many[1].clear()
+            return out
+
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                many[int(y > 0)].update(_terms(set(fold(t or "").split())))
+            for t, y in zip(b.column("text"), b.column("y").to_pylist()):
+                many[int(y > 0)].update(_terms(set(fold(t.as_py() or "").split())))
                 docs[int(y > 0)] += 1
-        terms = list(many[0].keys() | many[1].keys())
-        for k in range(0, len(terms), 20_000):
-            some = terms[k:k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([many[y][t] for t in some], pa.int64()) for y in (1, 0))], ["term", "toxic", "other"])
+                if len(many[0]) + len(many[1]) > 100_000:  # partial counts: a task holds a bounded number of terms
+                    yield counts()
+        yield counts()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([docs[1]], pa.int64()), pa.array([docs[0]], pa.int64())], ["term", "toxic", "other"])
 
     counted = rows.mapInArrow(count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -269,8 +276,9 @@ def rate(docs: DataFrame, lexicon: Lexicon, text: str = "text", with_text: bool
     def scan(batches):
         lex = shared.value
         for b in batches:
-            scores = [lex.score(t.as_py()) for t in b.column(f"d_{text}")]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(scores, pa.float64())], [*(f.name for f in fields), "score"])
+            for part in (b.slice(k, 500) for k in range(0, len(b), 500)):
+                scores = [lex.score(t.as_py()) for t in part.column(f"d_{text}")]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(scores, pa.float64())], [*(f.name for f in fields), "score"])
 
     return base.mapInArrow(scan, ddl)
 
