@@ -22,7 +22,6 @@ Beyond the source's marts, two query-side tables are materialised:
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 import uuid
 from collections.abc import Callable
@@ -62,13 +61,23 @@ _OPEN: dict[tuple, "Warehouse"] = {}
 _OPEN_LOCK = threading.Lock()
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.realpath(sf_dir).encode())
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop path and file system of ``path``: the cluster's view, whatever the scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the input's files as the cluster lists them: names, sizes, times."""
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
     for t in SOURCE_TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+        p, fs = _file_system(spark, f"{sf_dir}/{t}.parquet")
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        found = []
+        while files is not None and files.hasNext():
+            st = files.next()
+            found.append(f"{t}/{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:12]
 
 
@@ -79,7 +88,7 @@ class Warehouse:
         self.sf_dir = sf_dir
         self.profile = profile
         if root is None:
-            tag = _fingerprint(sf_dir) if raw is None else "custom"
+            tag = _fingerprint(spark, sf_dir) if raw is None else "custom"
             root = f"{shared_root(spark)}/basketry-marts/{tag}-{uuid.uuid4().hex[:8]}"
         self.root = root
         self._raw_override = raw or {}
@@ -233,6 +242,14 @@ class Warehouse:
         metrics = self._write("_rfm_metrics", M.rfm_metrics(M.rfm_customer_orders(fact)))
         return M.rfm_segmented(M.rfm_scores(M.rfm_recency(metrics)))
 
+    def drop(self) -> None:
+        """Remove everything this warehouse has written; the next use builds it again."""
+        p, fs = _file_system(self.spark, self.root)
+        fs.delete(p, True)
+        with self._lock:
+            self._built.clear()
+            self._written.clear()
+
     def build_all(self, threads: int = 4) -> dict[str, DataFrame]:
         """Build every mart, up to ``threads`` at once (the source's dbt runs
         four models at a time); a mart waits only for the tables it reads."""
@@ -248,7 +265,7 @@ _SHARED: dict[tuple, tuple[str, dict[str, str]]] = {}
 def open_warehouse(spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE) -> Warehouse:
     """One warehouse per (session, input folder) in this process; warehouses
     over the same input share one run folder and the tables written in it."""
-    data_key = (os.path.realpath(sf_dir), _fingerprint(sf_dir), profile)
+    data_key = (sf_dir.rstrip("/"), _fingerprint(spark, sf_dir), profile)
     key = (id(spark), spark.sparkContext.applicationId) + data_key
     with _OPEN_LOCK:
         wh = _OPEN.get(key)

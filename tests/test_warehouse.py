@@ -59,3 +59,25 @@ def test_hot_date_spans_several_wide_table_files(spark):
     # ranges stay contiguous in date: files overlap at most on a shared boundary day
     for a, b in zip(files, files[1:]):
         assert a.hi <= b.lo
+
+
+def test_changed_input_is_seen_and_drop_removes(spark, tmp_path):
+    import os
+    import shutil
+
+    from basketry.plans.warehouse import open_warehouse
+
+    src, copy = "/root/testdata/sf0.001", str(tmp_path / "in")
+    os.makedirs(copy)
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+        shutil.copyfile(f"{src}/{t}.parquet", f"{copy}/{t}.parquet")
+    first = open_warehouse(spark, copy)
+    n = first.raw("sellers").count()
+    assert open_warehouse(spark, copy) is first
+    spark.read.parquet(f"{src}/supplier.parquet").limit(3).toPandas().to_parquet(f"{copy}/supplier.parquet")
+    second = open_warehouse(spark, copy)
+    assert second is not first and second.raw("sellers").count() == 3 < n
+    assert os.path.isdir(second.root)
+    second.drop()
+    assert not os.path.exists(second.root)
+    assert second.raw("sellers").count() == 3  # built again
