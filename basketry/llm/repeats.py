@@ -12,10 +12,12 @@ the input and never cross documents.
 3. Windows with a shared anchor are cut out as segments (windows with one anchor, with
    their bytes) and dealt by anchor, so equal windows meet in one shard; equal
    segments of a batch are merged before the shuffle, hot passages shrink there.
-4. A shard's distinct segments are sorted by external induced sorting
-   (``suffix.Suffixes``): neighbouring suffixes with a common prefix of ``length`` are equal
-   windows.  The smallest doc_id of each class decides; queues and arrays beyond the
-   memory budget are on disk, so a shard may be far larger than memory.
+4. A shard comes sorted by anchor and is worked off in groups of whole anchors, about
+   ``memory`` / 64 bytes of distinct segments each, so it may be far larger than memory.
+   A group's segments are sorted by external induced sorting (``suffix.Suffixes``):
+   neighbouring suffixes with a common prefix of ``length`` are equal windows.  The
+   smallest doc_id of each class decides.  An anchor beyond twice the bound has its
+   windows dealt by digest into parts on disk, which equal windows share.
 5. Removed windows return to their node and its text (the second use of one shuffle of
    the texts) as byte intervals.
 
@@ -36,13 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import text as tx
-from basketry.llm.suffix import Scratch, Suffixes
+from basketry.llm.suffix import BLOCK, Scratch, Suffixes
 
 LENGTH = 50
 GRAM = 20
 _LONGEST = 512  # windows in a segment
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 _OCC = np.dtype([("node", "<i8"), ("id", "<i8"), ("at", "<i8")])
+_LOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8")])
+_WINDOW = np.dtype(_LOW.descr + [("node", "<i8"), ("at", "<i8")])
+_PER_BYTE = 64  # of memory for each byte of a group
+_FAN, _LEVELS = 16, 15  # digits of 64 bits of a window's digest
 
 
 def _anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -157,44 +163,183 @@ def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(cut, "anchor bigint, bytes binary, places binary")
 
 
+class _Group:
+    """Distinct segments of some anchors, and all their places."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch = scratch
+        self.known: dict[bytes, int] = {}  # segment digest -> number
+        self.lows = np.zeros(0, np.int64)  # smallest doc_id of each segment
+        self.sizes: list[np.ndarray] = []
+        self.pieces, self.places = [], []
+        self.bytes = 0
+
+    def add(self, pieces: list[bytes], places: list[bytes]) -> None:
+        fresh, at, before = [], np.empty(len(pieces), np.int64), len(self.known)
+        for i, piece in enumerate(pieces):
+            at[i] = k = self.known.setdefault(_digest(piece), len(self.known))
+            if k >= before + len(fresh):
+                fresh.append(piece)
+        seg = np.repeat(at, [len(o) // _OCC.itemsize for o in places])
+        occ = np.frombuffer(b"".join(places), _OCC)
+        if len(self.known) > len(self.lows):
+            self.lows = np.append(self.lows, np.full(max(len(self.lows), len(self.known) - len(self.lows)), _LAST, np.int64))
+        np.minimum.at(self.lows, seg, occ["id"])
+        for k in range(0, len(seg), BLOCK):
+            part = occ[k:k + BLOCK]
+            self.places.append([self.scratch.keep(c.copy()) for c in (seg[k:k + BLOCK], part["node"], part["id"], part["at"])])
+        if fresh:
+            self.sizes.append(np.array([len(p) for p in fresh], np.int32))
+            self.pieces.append(self.scratch.keep(np.frombuffer(b"".join(fresh), np.uint8)))
+            self.bytes += int(self.sizes[-1].sum())
+
+    def removed(self, length: int):
+        yield from _removed(self.scratch, self.pieces, np.concatenate(self.sizes), self.lows[:len(self.known)], self.places, length)
+
+    def windows(self, length: int):
+        """What was added, as blocks of windows; the group is empty after it."""
+        sizes, done, texts = np.concatenate(self.sizes), 0, []
+        for kept, some in zip(self.pieces, self.sizes):
+            raw = self.scratch.take(kept).tobytes()
+            ends = np.cumsum(some).tolist()
+            texts += [raw[z - n:z] for z, n in zip(ends, some.tolist())]
+        del self.known
+        for block in self.places:
+            seg, node, ids, at = (self.scratch.take(c) for c in block)
+            for a, z in _cuts(sizes[seg] - length + 1):
+                own, of = np.unique(seg[a:z], return_inverse=True)
+                yield _windows([texts[k] for k in own.tolist()], of, node[a:z], ids[a:z], at[a:z], length)
+
+
+def _digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def _cuts(many: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts rows that make ``many`` windows each into parts of about a block of windows."""
+    if not len(many):
+        return []
+    part = (np.cumsum(many, dtype=np.int64) - 1) // BLOCK
+    at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(many)]]).tolist()
+    return list(zip(at, at[1:]))
+
+
+def _windows(pieces: list[bytes], of: np.ndarray, node: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Every window of every place; place k holds the segment pieces[of[k]]."""
+    many = np.array([len(p) - length + 1 for p in pieces], np.int64)
+    digests = np.frombuffer(b"".join(_digest(p[k:k + length]) for p in pieces for k in range(len(p) - length + 1)), "<u8").reshape(-1, 2)
+    first, n = (np.cumsum(many) - many)[of], many[of]
+    row = np.repeat(np.arange(len(of)), n)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.empty(len(row), _WINDOW)
+    key = digests[first[row] + offset]
+    out["a"], out["b"] = key[:, 0], key[:, 1]
+    out["node"], out["id"], out["at"] = node[row], ids[row], at[row] + offset
+    return out
+
+
+class _Split:
+    """Windows of a group beyond the bound, dealt by digits of their digest into parts within it."""
+
+    def __init__(self, scratch: Scratch, most: int, level: int = 0):
+        self.scratch, self.most, self.level = scratch, most, level
+        self.parts: list[list] = [[] for _ in range(_FAN)]
+
+    def add(self, block: np.ndarray) -> None:
+        digit = (block["a"] // np.uint64(_FAN ** self.level)) % np.uint64(_FAN)
+        block = block[np.argsort(digit, kind="stable")]
+        ends = np.cumsum(np.bincount(digit.astype(np.int64), minlength=_FAN)).tolist()
+        for part, a, z in zip(self.parts, [0, *ends], ends):
+            if z > a:
+                part.append(self.scratch.keep(block[a:z].copy()))
+
+    def removed(self):
+        for part in self.parts:
+            low = np.zeros(0, _LOW)  # smallest doc_id of each window, by digest
+            for k, kept in enumerate(part):
+                block = self.scratch.take(kept)
+                some = np.empty(len(block), _LOW)
+                for c in _LOW.names:
+                    some[c] = block[c]
+                part[k] = self.scratch.keep(block)
+                low = np.concatenate([low, some])
+                low = low[np.lexsort((low["id"], low["b"], low["a"]))]
+                low = low[_firsts(low)]
+                if len(low) > self.most and self.level < _LEVELS:
+                    break
+            if len(low) > self.most and self.level < _LEVELS:
+                del low
+                deeper = _Split(self.scratch, self.most, self.level + 1)
+                while part:
+                    deeper.add(self.scratch.take(part.pop()))
+                yield from deeper.removed()
+                continue
+            for kept in part:
+                block = self.scratch.take(kept)
+                both = np.empty(len(low) + len(block), _LOW)
+                both[:len(low)] = low
+                for c in _LOW.names:
+                    both[c][len(low):] = block[c]
+                order = np.lexsort((both["id"], both["b"], both["a"]))
+                new = _firsts(both[order])
+                least = np.empty(len(both), np.int64)
+                least[order] = both["id"][order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+                gone = block[block["id"] > least[len(low):]]
+                for k in range(0, len(gone), 1 << 16):
+                    some = gone[k:k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some["node"].copy()), pa.array(some["at"].copy()), pa.array(np.ones(len(some), np.int64))], ["node", "at", "many"])
+
+
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """Whether a sorted row is the first of its digest."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
+    return new
+
+
 def _decide(length: int, memory: int):
-    """Partition function: (anchor, bytes, places) -> (node, at, many): runs of removed windows."""
+    """Partition function: (anchor, bytes, places), by anchor -> (node, at, many): runs of removed windows."""
+    bound, most = max(1 << 14, memory // _PER_BYTE), max(1 << 12, memory // 256)  # bytes of a group, windows of a part
 
     def run(batches):
-        with Scratch(memory) as scratch:
-            known: dict[bytes, int] = {}  # segment digest -> number
-            lows, sizes = [], []  # smallest doc_id and length of each segment, a piece for each batch
-            pieces, places = [], []
+        scratch = Scratch(memory)
+        group, split, last = _Group(scratch), None, None
+        try:
             for b in batches:
-                if not len(b):
-                    continue
-                fresh, at, before = [], np.empty(len(b), np.int64), len(known)
-                for i, piece in enumerate(b.column("bytes").to_pylist()):
-                    k = known.setdefault(hashlib.blake2b(piece, digest_size=16).digest(), len(known))
-                    at[i] = k
-                    if k >= before + len(fresh):
-                        fresh.append(piece)
-                occ = b.column("places").to_pylist()
-                seg = np.repeat(at, [len(o) // _OCC.itemsize for o in occ])
-                occ = np.frombuffer(b"".join(occ), _OCC)
-                low = np.full(len(known), _LAST, np.int64)
-                np.minimum.at(low, seg, occ["id"])
-                lows.append(low)
-                places.append([scratch.keep(c) for c in (seg, occ["node"].copy(), occ["id"].copy(), occ["at"].copy())])
-                if fresh:
-                    sizes.append(np.array([len(p) for p in fresh]))
-                    pieces.append(scratch.keep(np.frombuffer(b"".join(fresh), np.uint8)))
-            if known:
-                low = np.full(len(known), _LAST, np.int64)
-                for some in lows:
-                    np.minimum(low[:len(some)], some, out=low[:len(some)])
-                yield from _removed(scratch, pieces, np.concatenate(sizes), low, places, length)
+                anchors = b.column("anchor").to_numpy()
+                pieces, places = b.column("bytes").to_pylist(), b.column("places").to_pylist()
+                reach = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+                stops = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors))
+                a = 0
+                while a < len(anchors):
+                    if anchors[a] != last and (split is not None or group.bytes >= bound):
+                        yield from split.removed() if split is not None else group.removed(length)
+                        scratch.close()
+                        scratch = Scratch(memory)
+                        group, split = _Group(scratch), None
+                    z = max(a + 1, int(np.searchsorted(reach, reach[a] + bound, "right")))
+                    if split is not None or group.bytes >= bound:  # only the anchor at hand
+                        z = min(z, int(stops[np.searchsorted(stops, a, "right")]))
+                    group.add(pieces[a:z], places[a:z])
+                    if split is None and group.bytes >= 2 * bound:
+                        split = _Split(scratch, most)
+                    if split is not None:
+                        for block in group.windows(length):
+                            split.add(block)
+                        group = _Group(scratch)
+                    last, a = anchors[z - 1], z
+            if split is not None:
+                yield from split.removed()
+            elif group.known:
+                yield from group.removed(length)
+        finally:
+            scratch.close()
 
     return run
 
 
 def _removed(scratch: Scratch, pieces: list, sizes: np.ndarray, lows: np.ndarray, places: list[list], length: int):
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # of each segment in the text, a separator behind each
+    starts = np.concatenate([[0], np.cumsum(sizes + 1, dtype=np.int64)])  # of each segment in the text, a separator behind each
     x = scratch.array(int(starts[-1]), np.uint16)
     keep = np.ones(len(x), bool)
     keep[starts[1:] - 1] = False
@@ -232,19 +377,19 @@ def _removed(scratch: Scratch, pieces: list, sizes: np.ndarray, lows: np.ndarray
         done = np.concatenate(open_pos)
         close(done, np.zeros(len(done), np.int64))
 
-    windows = sizes - length + 1
+    windows = sizes.astype(np.int64) - length + 1
     for block in places:
         seg, nodes, ids, first = (scratch.take(c) for c in block)
         whole = ids > lows[seg]
         out = [(nodes[whole], first[whole], windows[seg[whole]])]
-        own = ~whole  # the first document that has the segment: window by window
-        if own.any():
-            seg, ids, nodes, first = seg[own], ids[own], nodes[own], first[own]
-            many = windows[seg]
+        own = np.flatnonzero(~whole)  # the first document that has the segment: window by window
+        for i, j in _cuts(windows[seg[own]]):
+            some = own[i:j]
+            many = windows[seg[some]]
             ends = np.cumsum(many)
-            of = np.repeat(np.arange(len(seg)), many)
+            of = np.repeat(some, many)
             offset = np.arange(ends[-1]) - np.repeat(ends - many, many)
-            gone = low[starts[seg][of] + offset] < ids[of]
+            gone = low[starts[seg[of]] + offset] < ids[of]
             begins, stops = gone.copy(), gone.copy()
             begins[1:] &= ~gone[:-1] | (of[1:] != of[:-1])
             stops[:-1] &= ~gone[1:] | (of[1:] != of[:-1])
@@ -279,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     # both joins take the same columns of the texts, so one shuffle of them serves both
     first = base.join(reps.join(shared, "node"), "node").withColumn("id", ident)
     segments = _segments(first.select("node", "id", "rep", "doc_id", "text", "anchors"), length, gram)
-    removed = segments.repartition("anchor").mapInArrow(_decide(length, memory), "node bigint, at bigint, many bigint")
+    removed = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decide(length, memory), "node bigint, at bigint, many bigint")
     removed = removed.groupBy("node").agg(F.collect_list(F.struct("at", "many")).alias("gone"))
     joined = base.join(reps.join(removed, "node", "left"), "node").withColumn("id", ident).select("doc_id", "text", "id", "rep", "gone")
     out = [("n_bytes", "bigint", pa.int64()), ("n_removed", "bigint", pa.int64()), ("n_spans", "bigint", pa.int64()), ("kept_sha256", "string", pa.string())]

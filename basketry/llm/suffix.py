@@ -2,7 +2,8 @@
 
 The strings stand in one text, each ended by a separator 0 (smaller than any
 byte); suffixes are compared up to their separator and common prefixes are
-counted up to a cap.  Everything works on blocks:
+counted up to a cap.  The text, its marks and the seeds' names are held at once (tens of
+bytes for each of its bytes), so the caller bounds the text; queues work on blocks:
 
 - ``Scratch`` keeps arrays and queue blocks in memory up to a budget and in
   task-private files beyond it (removed when the task ends, also on failure; like
@@ -50,6 +51,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_):
+        self.close()
+
+    def close(self) -> None:
         if self._folder:
             shutil.rmtree(self._folder, ignore_errors=True)
 
