@@ -182,8 +182,13 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """Terms, exceptions and model from a bounded sample of labelled rows; what comes to the driver is bounded by it too."""
     rows = labelled(documents, labels, label, fold_of, held, max_rows, doc_id, text)
 
+    totals = {r.bad: r.n for r in rows.groupBy((F.col("y") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, other = totals.get(True, 0), totals.get(False, 0)
+    if not toxic or not other:
+        return Lexicon()
+
     def count(batches):
-        many, docs = (Counter(), Counter()), [0, 0]
+        many = Counter(), Counter()
 
         def counts():
             terms = list(many[0].keys() | many[1].keys())
@@ -195,25 +200,16 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         for b in batches:
             for t, y in zip(b.column("text"), b.column("y").to_pylist()):
                 many[int(y > 0)].update(_terms(set(fold(t.as_py() or "").split())))
-                docs[int(y > 0)] += 1
                 if len(many[0]) + len(many[1]) > 100_000:  # partial counts: a task holds a bounded number of terms
                     yield counts()
         yield counts()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([docs[1]], pa.int64()), pa.array([docs[0]], pa.int64())], ["term", "toxic", "other"])
 
     counted = rows.mapInArrow(count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    totals = Counter()
-    found = []
-    # a term must be several times as common among toxic documents; the rest is not worth sending
-    for r in counted.where(f"term is null or (toxic >= {_MIN_DOCS} and toxic > other)").toLocalIterator():
-        if r.term is None:
-            totals.update(toxic=r.toxic, other=r.other)
-        else:
-            found.append((r.term, r.toxic, r.other))
-    if not totals["toxic"] or not totals["other"]:
-        return Lexicon()
-    found = [x for x in found if _evidence(*x[1:], totals["toxic"], totals["other"]) >= _MIN_EVIDENCE]
-    weigh = lambda a, b: math.log((a + 0.5) / (totals["toxic"] + 1)) - math.log((b + 0.5) / (totals["other"] + 1))
+    weigh = lambda a, b: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (other + 1))
+    # only terms that pass the tests below are sent (their logarithms may differ in the last digits)
+    some = counted.where(F.col("toxic") >= _MIN_DOCS).where(_weight_column(toxic, other) >= _MIN_WEIGHT - 1e-6).where(_evidence_column(toxic, other) >= _MIN_EVIDENCE - 1e-6)
+    found = [(r.term, r.toxic, r.other) for r in some.toLocalIterator()]
+    found = [x for x in found if _evidence(*x[1:], toxic, other) >= _MIN_EVIDENCE]
     weighed = sorted(((t, weigh(a, b), a) for t, a, b in found), key=lambda x: (-x[1] * math.sqrt(x[2]), x[0]))
     lexicon = Lexicon({t: w for t, w, _ in weighed[:max_terms] if w >= _MIN_WEIGHT})
     lexicon.exceptions = _exceptions(rows, lexicon)
@@ -228,6 +224,19 @@ def _evidence(a: int, b: int, toxic: int, other: int) -> float:
     return 2 * sum(x * math.log(x / e) for x, e in cells if x > 0 and e > 0)
 
 
+def _weight_column(toxic: int, other: int):
+    """A term's weight from its columns ``toxic`` and ``other``."""
+    return F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
+
+
+def _evidence_column(toxic: int, other: int):
+    """``_evidence`` from the columns ``toxic`` and ``other``."""
+    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
+    p = (a + b) / float(toxic + other)
+    cells = ((a, toxic * p), (b, other * p), (toxic - a, toxic * (1 - p)), (other - b, other * (1 - p)))
+    return 2 * sum((F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+
+
 def _exceptions(rows: DataFrame, lexicon: Lexicon) -> set[str]:
     """Two-word phrases around a term found in at least three harmless labelled documents and no toxic one."""
 

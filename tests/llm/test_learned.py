@@ -76,3 +76,16 @@ def test_without_labels(spark):
         assert {r.score for r in quality.rate(docs, quality.learn(docs, lab)).collect()} == {0.5}
     empty = frame(spark, [])
     assert quality.rate(empty, None).count() == toxicity.rate(empty, toxicity.learn(empty, none)).count() == 0
+
+
+def test_toxicity_of_rare_labels(spark):
+    """One label in fifty is toxic: a term of 20 toxic and 78 other documents weighs 2.5, though fewer toxic ones have it."""
+    docs, labels = [], []
+    for i in range(20_000):
+        toxic = i < 400
+        word = "vilewort" if i < 20 or 400 <= i < 478 else "scumfoo" if i < 120 or 500 <= i < 650 else "plain"
+        docs.append((i, f"some {word} text"))
+        labels.append((i, 1, int(toxic)))
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    weights = toxicity.learn(frame(spark, docs), lab, fold_of=1, held=1).weights
+    assert 2.5 <= weights[" vilewort "] < weights[" scumfoo "] and " plain " not in weights
