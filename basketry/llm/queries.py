@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontaminate, embeddings, jaccard, licenses, lines, quality, repeats, sharding, toxicity
+from basketry.llm import bpe, chat, decontaminate, embeddings, fim, jaccard, licenses, lines, merkle, quality, repeats, sharding, toxicity
 from basketry.llm.store import package_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,5 +33,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         "op8_toxicity": (toxicity.digest, None),
         "op9_decontaminate": (decontaminate.digest, decontaminate.SQL),
         "op10_epsilon_grid": (embeddings.digest, embeddings.SQL),
+        "op11_fill_in_middle": (fim.digest, fim.SQL),
+        "op12_chat_format": (chat.digest, chat.SQL),
+        "op13_merkle_manifest": (merkle.digest, merkle.SQL),
     }.items()
 }
