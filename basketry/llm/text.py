@@ -8,6 +8,7 @@ point >= U+0080, so the byte classes below are exact.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,14 +103,21 @@ def word_spans(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Words of more bytes are hashed by a digest: modulo 2 ** 64 any two Thue-Morse words of 1,024 letters and more are equal.
+POLYNOMIAL_BYTES = 32
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial over fixed byte values, from prefix sums."""
+    """64-bit hash of every word: a polynomial over fixed byte values, from prefix sums; of long words a digest."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE_VALUE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_UNBASE, len(data) + 1)[starts])
+    out = mix((sums[ends] - sums[starts]) * _powers(_UNBASE, len(data) + 1)[starts])
+    for k in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
