@@ -6,16 +6,19 @@ is one window.  Every window hash of a text is looked up in the set, each hit
 is verified word by word, and a text word inside any verified occurrence is
 hit.  One scan of the texts, no shuffle of them.
 
-The set is broadcast in parts of at most ``max_windows`` windows, a
-documented bound: a larger benchmark is handled by one scan for each part and
-a merge of the hit word ranges by row, so no benchmark size makes the
-broadcast grow.
-
-Defined cases: null or empty text: no words, no hit, clean.  Null or empty
-items have no window.  Equal windows of several items count for each of them;
-repeated item ids count once.  Rows with a repeated or null doc_id are rated
-each on their own.  Empty tables give empty results or clean documents.
-Columns of other names are carried untouched by ``remove_contaminated``.
+The set is broadcast while the benchmark has at most ``max_windows`` distinct windows, a
+documented bound.  Beyond it nothing that grows is broadcast (``_joined``): texts look their
+windows up in a bitmap of fixed size (16 MB), the places that pass are shuffled by window hash to the
+benchmark's windows, verified word by word in the join, and the hits of each distinct text are
+joined back by its sha256.
+
+Defined cases: null or empty text: no words, no hit, clean; very long texts are scanned
+whole.  Items of null or empty text have no window.  An item with a null id has its
+windows like any other; all such items together count as one in ``n_items`` and add nothing to ``items_sha256``.
+Equal windows of several items count for each of them; repeated item ids count once.
+Rows with a repeated or null doc_id are rated each on their own.  Empty
+tables give empty results or clean documents.  Columns of other names are
+carried untouched by ``remove_contaminated``.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import text as tx
+from basketry.llm.store import written
 
 BITS = 20
+JOIN_BITS = 27  # of the bitmap beyond the broadcast's bound
 
 
 class _Windows:
-    """The windows of one part of the benchmark: words -> item ids, with hash tables by length."""
+    """The windows of a benchmark: words -> item ids, with hash tables by length."""
 
     def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
         self.items = windows
@@ -91,23 +96,99 @@ def item_windows(benchmark: DataFrame, n: int = 10, item: str = "item_id", text:
             ids, wins = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = _item_words(t)
-                for k in range(max(1, len(w) - n + 1) if w and i is not None else 0):
+                for k in range(max(1, len(w) - n + 1) if w else 0):
                     ids.append(i)
                     wins.append(w[k:k + n])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(wins, pa.list_(pa.binary()))], ["item", "window"])
 
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     rows = rows.mapInArrow(cut, "item string, window array<binary>")
-    return rows.groupBy("window").agg(F.collect_set("item").alias("items"))
+    held = rows.groupBy("window").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("nameless"))
+    return held.select("window", F.when(F.col("nameless"), F.concat("items", F.array(F.lit(None).cast("string")))).otherwise(F.col("items")).alias("items"))
 
 
-def _parts(windows: DataFrame, max_windows: int) -> Iterator[dict]:
-    """The benchmark in bounded parts; a part is one broadcast."""
-    total = windows.count()
-    parts = max(1, -(-total // max_windows))
-    for k in range(parts):
-        some = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k) if parts > 1 else windows
-        yield {tuple(bytes(x) for x in r.window): sorted(r["items"]) for r in some.toLocalIterator()}
+def _digest_of(ids: set) -> str:
+    return hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest()
+
+
+def _covered(spans: list[tuple[int, int]], words: int) -> int:
+    """Words inside any of the ranges."""
+    edges = np.zeros(words + 1, np.int64)
+    for a, z in spans:
+        edges[a] += 1
+        edges[z] -= 1
+    return int((np.cumsum(edges) > 0).sum())
+
+
+def _joined(base: DataFrame, windows: DataFrame, fields: list, ddl: str) -> DataFrame:
+    """``rate`` for a benchmark of any size: places that pass a fixed bitmap meet the windows in a shuffle."""
+    spark = base.sparkSession
+    lengths = sorted(r[0] for r in windows.select(F.size("window")).distinct().toLocalIterator())  # at most n numbers
+
+    def window_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1 << 12):
+                some = b.slice(k, 1 << 12)
+                flat = [b" ".join(w) for w in some.column("window").to_pylist()]
+                data = np.frombuffer(b" ".join(flat), np.uint8)
+                off = np.cumsum([0, *(len(w) + 1 for w in flat[:-1]), len(flat[-1])]) if flat else np.zeros(1, np.int64)
+                starts, ends, firsts = tx.word_spans(data, off, tx.ALNUM)
+                words = tx.word_hashes(data, starts, ends)
+                h = [int(tx.window_hashes(words[a:z], z - a)[0]) for a, z in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(flat, pa.binary()), some.column("items")], ["h", "window", "items"])
+
+    held = written(windows.mapInArrow(window_hash, "h bigint, window binary, items array<string>"), "windows")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - JOIN_BITS)).astype(np.int64))], ["bit"])
+
+    words_of = held.select("h").mapInArrow(bits, "bit bigint").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
+    bitmap = np.zeros(1 << JOIN_BITS >> 6, np.uint64)
+    for r in words_of.toLocalIterator():  # at most 2 ** 21 words
+        bitmap[r.word] = np.uint64(r.mask & (1 << 64) - 1)
+    quick = spark.sparkContext.broadcast(bitmap)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = quick.value
+        for b in batches:
+            for rows, data, off in tx.slices(b, "__text"):
+                data = tx.lower(data)
+                starts, ends, firsts = tx.word_spans(data, off, tx.ALNUM)
+                words, raw = tx.word_hashes(data, starts, ends), data.tobytes()
+                for n in lengths:
+                    h = tx.window_hashes(words, n)
+                    bit = h >> np.uint64(64 - JOIN_BITS)
+                    at = np.flatnonzero((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                    row = np.searchsorted(firsts, at, "right") - 1
+                    at = at[at + n <= firsts[row + 1]]
+                    row = np.searchsorted(firsts, at, "right") - 1
+                    for k in range(0, len(at), 1 << 14):
+                        some, of = at[k:k + (1 << 14)], row[k:k + (1 << 14)]
+                        flat = [b" ".join(raw[x:y] for x, y in zip(starts[i:i + n].tolist(), ends[i:i + n].tolist())) for i in some.tolist()]
+                        yield pa.RecordBatch.from_arrays([rows.column("__sha").take(pa.array(of)), pa.array(h[some].view(np.int64)), pa.array(some - firsts[of]), pa.array(np.full(len(some), n)), pa.array(flat, pa.binary())], ["sha", "h", "first", "n", "seen"])
+
+    texts = base.withColumn("__sha", F.sha2(F.coalesce("__text", F.lit("")), 256))
+    found = texts.select("__sha", "__text").mapInArrow(places, "sha string, h bigint, first bigint, n bigint, seen binary")
+    found = found.distinct().join(held, "h").where("seen = window").select("sha", "first", "n", "items")
+    found = found.groupBy("sha").agg(F.collect_set(F.struct("first", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
+    both = texts.join(found, texts["__sha"] == found["sha"], "left").drop("__sha", "sha")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, data, off in tx.slices(b, "__text"):
+                counts = np.diff(tx.word_spans(tx.lower(data), off, tx.ALNUM)[2])
+                spans, ids = rows.column("spans").to_pylist(), rows.column("ids").to_pylist()
+                hit = [_covered([(s["first"], s["first"] + s["n"]) for s in x], c) if x else 0 for x, c in zip(spans, counts.tolist())]
+                yield _rated(rows, fields, counts, np.array(hit, np.int64), [set(x or ()) for x in ids])
+
+    return both.mapInArrow(finish, ddl)
+
+
+def _rated(rows: pa.RecordBatch, fields: list, counts: np.ndarray, hit: np.ndarray, ids: list[set]) -> pa.RecordBatch:
+    arrays = [rows.column(f.name) for f in fields]
+    arrays += [pa.array(counts), pa.array(hit), pa.array([len(x) for x in ids], pa.int64()), pa.array([_digest_of(x) if x else _EMPTY for x in ids], pa.string()), pa.array(hit > 0)]
+    return pa.RecordBatch.from_arrays(arrays, [*(f.name for f in fields), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def rate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", max_windows: int = 200_000, clean: bool = False) -> DataFrame:
@@ -117,57 +198,36 @@ def rate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    windows = item_windows(benchmark, n, item)
+    windows = written(item_windows(benchmark, n, item), "benchmark")
     keep = [c for c in docs.columns if clean or c != text]
     base = docs.select(*[F.col(c).alias(f"d_{c}") for c in keep], F.col(text).alias("__text"))
-    parts = list(map(lambda w: sc.broadcast(w), _parts(windows, max_windows)))
     fields = [f for f in base.schema.fields if f.name != "__text"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     ddl += (", " if ddl else "") + "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
+    if windows.count() > max_windows:
+        return _joined(base, windows, fields, ddl)
+    table = sc.broadcast({tuple(bytes(x) for x in r.window): r["items"] for r in windows.toLocalIterator()})
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(table.value)
         for b in batches:
             for rows, data, off in tx.slices(b, "__text"):
-                data = tx.lower(data)
                 spans: dict[int, list[tuple[int, int]]] = {}
-                items: dict[int, set[str]] = {}
-                counts = None
-                for p in parts:  # one part after another: a worker holds one table at a time
-                    table = _table(p)
-                    counts, found = table.hits(data, off)
-                    for r, at, m, ids in found:
-                        spans.setdefault(r, []).append((at, at + m))
-                        items.setdefault(r, set()).update(ids)
+                ids: list[set] = [set() for _ in range(len(rows))]
+                counts, found = windows.hits(tx.lower(data), off)
+                for r, at, m, some in found:
+                    spans.setdefault(r, []).append((at, at + m))
+                    ids[r].update(some)
                 hit = np.zeros(len(rows), np.int64)
-                many = np.zeros(len(rows), np.int64)
-                sha = [_EMPTY] * len(rows)
-                for r, found in spans.items():
-                    covered = np.zeros(int(counts[r]) + 1, np.int64)
-                    for a, z in found:
-                        covered[a] += 1
-                        covered[z] -= 1
-                    hit[r] = int((np.cumsum(covered) > 0).sum())
-                    many[r] = len(items[r])
-                    sha[r] = hashlib.sha256(",".join(sorted(items[r])).encode()).hexdigest()
-                arrays = [rows.column(f.name) for f in fields]
-                arrays += [pa.array(counts), pa.array(hit), pa.array(many), pa.array(sha), pa.array(hit > 0)]
-                yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in fields), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                for r, some in spans.items():
+                    hit[r] = _covered(some, int(counts[r]))
+                yield _rated(rows, fields, counts, hit, ids)
 
     return base.mapInArrow(scan, ddl)
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
-_LAST: dict[int, _Windows] = {}
-
-
-def _table(part) -> _Windows:
-    """The lookup tables of a broadcast part, built once in a worker; the last one is kept."""
-    if part.id not in _LAST if hasattr(part, "id") else id(part) not in _LAST:
-        _LAST.clear()
-    key = part.id if hasattr(part, "id") else id(part)
-    if key not in _LAST:
-        _LAST[key] = _Windows(part.value)
-    return _LAST[key]
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
