@@ -89,15 +89,15 @@ def links(rows, n, percent):
     return sets, [find(x) for x in range(len(rows))]
 
 
-@pytest.mark.parametrize("n,percent,block", [(4, 85, 20_000), (5, 80, 3)])
-def test_jaccard_components(docs, rows, n, percent, block):
+@pytest.mark.parametrize("n,percent,group_bytes", [(4, 85, 64 << 20), (5, 80, 64 << 20), (5, 80, 2_000)])
+def test_jaccard_components(docs, rows, n, percent, group_bytes):
     sets, comp = links(rows, n, percent)
     ids = defaultdict(list)
     for (i, _), c in zip(rows, comp):
         ids[c].append(i)
     smallest = {c: min((i for i in some if i is not None), default=None) for c, some in ids.items()}
     want = Counter((i, len(s), smallest[c]) for (i, _), s, c in zip(rows, sets, comp))
-    assert got(jaccard.link_components(docs, n, percent, block=block), "doc_id", "n_shingles", "component_id") == want
+    assert got(jaccard.link_components(docs, n, percent, group_bytes=group_bytes), "doc_id", "n_shingles", "component_id") == want
     assert max(Counter(comp).values()) >= 3
 
 
@@ -109,15 +109,73 @@ def test_jaccard_keeps_one_of_each(docs, rows):
     assert set(kept) == set(comp) and set(kept.values()) == {1}
 
 
-def test_decontamination(spark, docs, rows):
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_jaccard_long_words(spark):
+    """Words of which any polynomial hash modulo a power of two is equal."""
+    rows = []
+    for bits in (3, 5, 8, 10, 11, 12):
+        w = thue_morse(bits)
+        rows += [(len(rows), w), (len(rows) + 1, w.translate(str.maketrans("ab", "ba")))]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(frame(spark, rows)).collect()}
+    assert out == {i: (1, i) for i, _ in rows}
+    together = frame(spark, [(1, " x y z ".join(w for _, w in rows))])
+    assert jaccard.link_components(together, n=1).collect()[0].n_shingles == len(rows) + 3
+
+
+def chained(rng):
+    """Long chains of near copies, each linked to its neighbours only, in one coarse component with bystanders."""
+    rows, base = [], prose(rng, 130).split(" ")
+    for chain in range(3):
+        words = list(base[:30]) + prose(rng, 100).split(" ")
+        for step in range(25):
+            words[35 + 3 * step % 90] = f"new{chain}x{step}"
+            rows.append((1000 * chain + step, " ".join(words)))
+    rows += [(5000 + k, " ".join(base[:30] + prose(rng, 90).split(" "))) for k in range(25)]
+    return rows
+
+
+@pytest.mark.parametrize("group_bytes", [64 << 20, 20_000, 3_000])
+def test_jaccard_chains_in_large_components(spark, group_bytes):
+    import random
+
+    rows = chained(random.Random(12))
+    sets, comp = links(rows, 4, 85)
+    smallest = defaultdict(lambda: 1 << 60)
+    for (i, _), c in zip(rows, comp):
+        smallest[c] = min(smallest[c], i)
+    want = Counter((i, len(s), smallest[c]) for (i, _), s, c in zip(rows, sets, comp))
+    docs = frame(spark, rows + rows[:40])
+    assert got(jaccard.link_components(docs, group_bytes=group_bytes), "doc_id", "n_shingles", "component_id") == want + Counter({k: 1 for k in list(want)[:40]})
+    assert max(Counter(comp).values()) == 25
+
+
+def test_jaccard_repeated_rows(spark):
+    """A third of all rows are one row, or have no id."""
+    import random
+
+    rng = random.Random(4)
+    same, near = prose(rng, 60), prose(rng, 60)
+    rows = [(7, same)] * 200 + [(None, near)] * 100 + [(k, near + f" {k}") for k in range(20, 50)] + [(100 + k, prose(rng, 50)) for k in range(200)]
+    out = Counter((r.doc_id, r.component_id) for r in jaccard.link_components(frame(spark, rows)).collect())
+    assert out[7, 7] == 200 and out[None, 20] == 100 and all(out[k, 20] == 1 for k in range(20, 50)) and all(out[100 + k, 100 + k] == 1 for k in range(200))
+
+
+@pytest.mark.parametrize("max_windows", [200_000, 5])
+def test_decontamination(spark, docs, rows, max_windows):
     texts = [t for _, t in rows if t and len(t.split()) > 30]
-    items = [(1, " ".join(texts[0].split()[3:18])), (2, texts[1]), (3, "Changed a"), (4, None), (5, " ,. "), (10, texts[0].upper()), (3, "Changed a"), (7, "no such words " * 5), (None, texts[2])]
+    items = [(1, " ".join(texts[0].split()[3:18])), (2, texts[1]), (3, "Changed a"), (4, None), (5, " ,. "), (10, texts[0].upper()), (3, "Changed a"), (7, "no such words " * 5), (None, texts[2]), (None, texts[4])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     windows = defaultdict(set)
     for i, t in items:
         w = ALNUM.findall(low(t))
-        for k in range(max(1, len(w) - 9) if w and i is not None else 0):
-            windows[tuple(w[k:k + 10])].add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k:k + 10])].add(i)
     want = Counter()
     for i, t in rows:
         w, hit, found = ALNUM.findall(low(t)), set(), set()
@@ -126,9 +184,10 @@ def test_decontamination(spark, docs, rows):
                 if s := windows.get(tuple(w[k:k + n])):
                     hit |= set(range(k, k + n))
                     found |= s
-        want[i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)] += 1
+        want[i, len(w), len(hit), len(found), sha(",".join(sorted(str(x) for x in found if x is not None))), bool(hit)] += 1
     cols = ("d_doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got(decontaminate.rate(docs.drop("n_words"), bench), *cols) == want
+    assert got(decontaminate.rate(docs.drop("n_words"), bench, max_windows=max_windows), *cols) == want
+    assert any(k[3] == 1 and k[2] and k[4] == sha("") for k in want)  # hit by an item without an id only
     assert got(decontaminate.rate(docs.drop("n_words"), bench, max_windows=20), *cols) == want  # the benchmark in many parts
     clean = decontaminate.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[-1]) < len(rows)
