@@ -173,6 +173,7 @@ def _rounds(nodes: DataFrame, name: str) -> tuple[list[DataFrame], list[DataFram
 
 def build(leaves: DataFrame, group: str, order: list[str], name: str = "merkle") -> Manifest:
     """The manifest of ``leaves``, which has the column ``leaf`` (hex); in a group they ascend by ``order``, then leaf."""
+    leaves = written(leaves, f"{name}-hashed")  # the range sort samples its input: texts are read and hashed once
     keyed = leaves.withColumn("g", F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group))))
     keyed = keyed.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
     numbered = keyed_row_number(keyed, ["g"], [*((c, False) for c in order), ("leaf", False), ("spread", False)], "pos")
