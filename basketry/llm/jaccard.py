@@ -340,7 +340,8 @@ def _links(sets: list[np.ndarray], percent: int) -> list[int]:
     return root
 
 
-GROUP_BYTES = 64 << 20
+#: A task needs less than twice this for a group, so two tasks at the bound fit beside a heap of 1,800 MB in 3,000.
+GROUP_BYTES = 192 << 20
 _SET_BYTES = 512  # what a set costs in a task besides its keys
 _HUBS = 4  # sets of a cluster that stand for it
 
@@ -410,7 +411,7 @@ def _large(built: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFr
 
     # exact: sets with enough prefix keys that sets of another cluster have too
     of = written(clusters("met").join(sets.select("sig", "node", "size"), "sig"), "clusters")
-    prefixes = _prefix_rows(sets.join(of.select("sig"), "sig", "left_semi")).join(of.select("node", "cluster"), "node")
+    prefixes = written(_prefix_rows(sets.join(of.select("sig"), "sig", "left_semi")).join(of.select("node", "cluster"), "node"), "prefixes")
     shared = prefixes.groupBy("key").agg(F.min("cluster").alias("one"), F.max("cluster").alias("two")).where("one <> two").select("key")
     live = prefixes.join(shared, "key", "left_semi").groupBy("node", "size").count().where(F.col("count") >= _fewest(percent)).select("node")
     left = written(rows.join(of.join(live, "node", "left_semi").select("sig"), "sig", "left_semi"), "left")
