@@ -2,7 +2,8 @@
 
 Each job writes into a fresh folder below the shared root and returns the
 rows it reads back (or its audit); the reference SQL is the plain select of
-the same input.  No timestamps or paths are returned.
+the same input.  Landing files hold their columns in two orders, as files of two exports
+would.  No timestamps or paths are returned.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from basketry import oracle as O
 from basketry.catalog.core import QUERIES, from_query, register, wh
 from basketry.session import shared_root
 from basketry.sources import loaders as L
-from basketry.sources.binding import RAW_TABLES
+from basketry.sources import published
+from basketry.sources.binding import RAW_TABLES, SIDE_TABLES
+from basketry.sources.schemas import MULTI_LINE
 from basketry.streaming.chunked_load import load_in_chunks, read_loaded
 
 
@@ -31,7 +34,10 @@ def _csv_extract(spark: SparkSession, sf_dir: str, table: str, files: int | None
     if table == "category_name_translation":
         raw = raw.withColumnsRenamed({v: k for k, v in L.TRANSLATION_COLUMNS.items()})
     path = scratch(spark, f"landing-{table}")
-    L.write_csv(raw.repartition(files) if files else raw, path)
+    rows = raw.repartition(files) if files else raw
+    swap = F.pmod(F.xxhash64(raw.columns[0]), F.lit(2)) == 0
+    L.write_csv(rows.where(~swap), f"{path}/first")
+    L.write_csv(rows.where(swap).select(*reversed(raw.columns)), f"{path}/second")
     return path, raw
 
 
@@ -48,7 +54,7 @@ def _load_raw_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = ",".join(raw.columns)
     # Malformed lines appended to the landing folder (text in numeric columns).
     junk = [header] + [f"{i},not-a-number,1,1,1997-01-01T00:00:00.000,x{i},0.5" for i in range(7)]
-    spark.createDataFrame([(line,) for line in junk], "value string").coalesce(1).write.mode("append").text(path)
+    spark.createDataFrame([(line,) for line in junk], "value string").coalesce(1).write.text(f"{path}/junk")
     good, bad = L.read_csv_tolerant(spark, path, raw.schema)
     if bad != 7:
         raise AssertionError(f"expected 7 malformed rows, found {bad}")
@@ -60,6 +66,21 @@ SELECT order_id, order_item_id, product_id, seller_id, shipping_limit_date, CAST
   CAST(freight_value AS DOUBLE) AS freight_value FROM raw_order_items"""))(_load_raw_bad_rows)
 
 
+def _load_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews: messages with line breaks and quotes, 50 malformed records among them, read by many tasks."""
+    path, raw = _csv_extract(spark, sf_dir, "order_reviews")
+    # Malformed records with quoted line breaks (text in a numeric column).
+    junk = [",".join(raw.columns)] + [f'bad{i},1,5,t,"a ""quoted""\nline, and {i}",2017-01-01T00:00:00.000,' for i in range(50)]
+    spark.createDataFrame([(line,) for line in junk], "value string").coalesce(1).write.text(f"{path}/junk")
+    good, bad = L.read_csv_tolerant(spark, path, raw.schema, multi_line=True)
+    if bad != 50:
+        raise AssertionError(f"expected 50 malformed rows, found {bad}")
+    return good
+
+
+register("load_reviews_bad_rows", O.with_models("SELECT * FROM raw_order_reviews", O.SIDE))(_load_reviews)
+
+
 def _load_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, raw = _csv_extract(spark, sf_dir, "category_name_translation")
     return L.rename_translation(L.read_csv(spark, path, raw.schema))
@@ -71,9 +92,9 @@ register("load_rename", O.with_models("SELECT * FROM raw_category_name_translati
 def _sink_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     sellers = wh(spark, sf_dir).raw("sellers")
     target = scratch(spark, "sellers")
-    L.write_full_refresh(sellers, target)
-    L.write_full_refresh(sellers, target)  # a second run replaces, never doubles
-    return spark.read.parquet(target)
+    published.replace(sellers, target)
+    published.replace(sellers, target)  # a second run replaces, never doubles
+    return published.read(spark, target)
 
 
 register("sink_full_refresh", O.with_models("SELECT * FROM raw_sellers"))(_sink_full_refresh)
@@ -89,42 +110,43 @@ def _sink_truncate_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("sink_truncate_append", O.with_models("SELECT * FROM raw_orders"))(_sink_truncate_append)
 
 
-def _specs(spark: SparkSession, sf_dir: str, tables) -> list[L.LoadSpec]:
+def _specs(spark: SparkSession, sf_dir: str, tables, absent) -> list[L.LoadSpec]:
     specs = []
     for t in tables:
-        if t in RAW_TABLES:
+        if t in absent:
+            path, schema = scratch(spark, f"absent-{t}"), wh(spark, sf_dir).raw("orders").schema
+        else:
             path, raw = _csv_extract(spark, sf_dir, t)
             schema = raw.schema
-        else:
-            path, schema = scratch(spark, f"absent-{t}"), wh(spark, sf_dir).raw("orders").schema
-        specs.append(L.LoadSpec(t, path, schema))
+        specs.append(L.LoadSpec(t, path, schema, t in MULTI_LINE))
     return specs
 
 
-def _audit_sql(tables) -> str:
+def _audit_sql(tables, absent=()) -> str:
     parts = []
     for t in tables:
-        if t in RAW_TABLES:
-            ncols = {"orders": 8, "order_items": 7, "customers": 5, "products": 9, "order_payments": 5,
+        if t not in absent:
+            ncols = {"order_reviews": 7, "geolocation": 5, "orders": 8, "order_items": 7, "customers": 5, "products": 9, "order_payments": 5,
                      "sellers": 4, "category_name_translation": 2}[t]
             parts.append(f"SELECT '{t}' AS \"table\", 'loaded' AS status, count(*) AS rows, "
                          f"CAST({ncols} AS BIGINT) AS columns, CAST(NULL AS VARCHAR) AS message FROM raw_{t}")
         else:
             parts.append(f"SELECT '{t}' AS \"table\", 'missing' AS status, CAST(NULL AS BIGINT) AS rows, "
                          f"CAST(NULL AS BIGINT) AS columns, 'file not found: ' || '{t}' AS message")
-    return O.with_models(" UNION ALL ".join(parts))
+    return O.with_models(" UNION ALL ".join(parts), O.SIDE)
 
 
-def _load_audit(spark: SparkSession, sf_dir: str, tables) -> DataFrame:
-    audit = L.load_tables(spark, _specs(spark, sf_dir, tables), scratch(spark, "raw-layer"))
+def _load_audit(spark: SparkSession, sf_dir: str, tables, absent=()) -> DataFrame:
+    audit = L.load_tables(spark, _specs(spark, sf_dir, tables, absent), scratch(spark, "raw-layer"))
     # the message of a missing file names the table, not the scratch path
     return audit.withColumn("message", F.when(F.col("status") == "missing",
                                               F.concat(F.lit("file not found: "), F.col("table"))))
 
 
-register("load_audit", _audit_sql(RAW_TABLES))(lambda s, d: _load_audit(s, d, RAW_TABLES))
+_ALL = (*RAW_TABLES, *SIDE_TABLES)
+register("load_audit", _audit_sql(_ALL))(lambda s, d: _load_audit(s, d, _ALL))
 _ISOLATION = ("orders", "order_reviews", "sellers", "geolocation", "category_name_translation")
-register("load_isolation", _audit_sql(_ISOLATION))(lambda s, d: _load_audit(s, d, _ISOLATION))
+register("load_isolation", _audit_sql(_ISOLATION, SIDE_TABLES))(lambda s, d: _load_audit(s, d, _ISOLATION, SIDE_TABLES))
 
 
 def _materialize(spark: SparkSession, sf_dir: str) -> DataFrame:

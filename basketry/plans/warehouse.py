@@ -2,9 +2,13 @@
 
 Staging and intermediate models stay lazy (views); marts are written as
 Parquet below the shared folder named by ``spark.checkpoint.dir`` and read
-back, which cuts lineage the way the source's table models do.  Each
-``Warehouse`` writes into its own run folder, so concurrent jobs never share
-half-written output; a mart is built at most once per warehouse.
+back, which cuts lineage the way the source's table models do.
+
+Every table is published whole (``sources.published``) with a fingerprint of
+its definition (the code of the plans) and of the input files it derives from.  A
+process that finds a table with the fingerprint it wants reads it and builds nothing; after a change
+it builds again just the tables whose inputs or code changed, and readers of the old ones go on
+undisturbed.  A mart is built at most once per warehouse.
 
 The raw layer is written once on first use (the source's load step), so the
 binding from the test tables is derived once, not by every model and check.
@@ -21,19 +25,21 @@ Beyond the source's marts, two query-side tables are materialised:
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.plans import models as M
 from basketry.profile import TEST_PROFILE, Profile
 from basketry.session import shared_root
+from basketry.sources import files, published
 from basketry.sources.binding import (
     RAW_TABLES,
     SOURCE_TABLES,
@@ -42,6 +48,7 @@ from basketry.sources.binding import (
     order_payments_from,
     raw_table,
 )
+from basketry.sources.files import file_system
 
 MARTS = (
     "dim_time",
@@ -61,17 +68,37 @@ _OPEN: dict[tuple, "Warehouse"] = {}
 _OPEN_LOCK = threading.Lock()
 
 
-def _file_system(spark: SparkSession, path: str):
-    """Hadoop path and file system of ``path``: the cluster's view, whatever the scheme."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Digest of the input's files as the cluster lists them: names, sizes, times."""
-    h = hashlib.sha1(sf_dir.rstrip("/").encode())
-    for t in SOURCE_TABLES:
-        p, fs = _file_system(spark, f"{sf_dir}/{t}.parquet")
+# Which test tables each raw table derives from, and which raw tables each mart does.
+RAW_INPUTS = {
+    "orders": ("orders",),
+    "_items_numbered": ("lineitem",),
+    "customers": ("orders", "customer", "nation"),
+    "products": ("part",),
+    "category_name_translation": ("part",),
+    "sellers": ("supplier", "nation"),
+    "order_reviews": ("documents",),
+    "geolocation": ("supplier", "nation"),
+}
+_FACT = ("orders", "_items_numbered", "customers")
+MART_INPUTS = {
+    "dim_time": ("orders",),
+    "dim_customers": ("customers", "orders"),
+    "dim_products": ("products", "category_name_translation"),
+    "dim_sellers": ("sellers",),
+    "dim_payments": ("_items_numbered",),
+    "fct_order_items_sales": _FACT,
+    "_rfm_metrics": _FACT,
+    "fct_customer_rfm": _FACT,
+    "fct_sales_wide": tuple(t for t in RAW_INPUTS if t not in ("order_reviews", "geolocation")),
+    "rfm_customers": (*_FACT, "products", "category_name_translation"),
+}
+
+
+def _files_digest(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> str:
+    """Digest of the files of some input tables as the cluster lists them: names, sizes, times."""
+    h = hashlib.sha1()
+    for t in sorted(set(tables)):
+        p, fs = file_system(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
         files = fs.listFiles(p, True) if fs.exists(p) else None
         found = []
         while files is not None and files.hasNext():
@@ -81,35 +108,61 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:12]
 
 
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    return _files_digest(spark, sf_dir, SOURCE_TABLES)
+
+
+@functools.cache
+def _code_digest() -> str:
+    """Digest of the code that defines raw tables and marts."""
+    h = hashlib.sha1()
+    root = Path(__file__).resolve().parent.parent
+    for part in ("plans/models.py", "plans/warehouse.py", "functions", "operators", "sources/binding.py"):
+        at = root / part
+        for f in sorted(at.glob("*.py")) if at.is_dir() else [at]:
+            h.update(f.read_bytes())
+    return h.hexdigest()[:12]
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE, root: str | None = None,
-                 raw: dict[str, DataFrame] | None = None, written: dict[str, str] | None = None):
+                 raw: dict[str, DataFrame] | None = None):
+        """``root``: where the tables are; by default a new folder.  ``open_warehouse`` gives the folder
+        that all processes over an input share."""
         self.spark = spark
         self.sf_dir = sf_dir
         self.profile = profile
         if root is None:
-            tag = _fingerprint(spark, sf_dir) if raw is None else "custom"
-            root = f"{shared_root(spark)}/basketry-marts/{tag}-{uuid.uuid4().hex[:8]}"
+            root = f"{shared_root(spark)}/basketry-marts/own-{uuid.uuid4().hex[:8]}"
         self.root = root
         self._raw_override = raw or {}
-        # tables already written below ``root`` (shared by warehouses over the
-        # same input in this process, so a new session reads, not rebuilds)
-        self._written: dict[str, str] = written if written is not None else {}
+        self.made: list[str] = []  # tables that this warehouse has built, not found
         self._built: dict[str, DataFrame] = {}
         self._lock = threading.Lock()  # guards the two dicts below
         self._building: dict[str, threading.Lock] = {}  # one lock per table: built once, by whoever asks first
+        self._digests: dict[tuple[str, ...], str] = {}
 
     @classmethod
     def from_tables(cls, spark: SparkSession, root: str, profile: Profile, marts: str | None = None) -> "Warehouse":
-        """A warehouse over tables that ``load_tables`` wrote below ``root``; tables that were not loaded are left out."""
+        """A warehouse over tables that ``load_tables`` published below ``root``; tables that were not loaded are left out."""
         raw = {}
         for name in RAW_TABLES:
             try:
-                raw[name] = spark.read.parquet(f"{root}/{name}")
-            except AnalysisException:
+                raw[name] = published.read(spark, f"{root}/{name}")
+            except published.NotPublished:
                 continue
         return cls(spark, root, profile, root=marts, raw=raw)
 
+    def fingerprint(self, name: str) -> str | None:
+        """Of a table's definition and inputs; none over given raw tables."""
+        if self._raw_override:
+            return None
+        raw = (name.removeprefix("raw/"),) if name.startswith("raw/") else MART_INPUTS[name]
+        tables = tuple(sorted({t for r in raw for t in RAW_INPUTS[r]}))
+        if tables not in self._digests:
+            self._digests[tables] = _files_digest(self.spark, self.sf_dir, tables)
+        return hashlib.sha1(f"{name} {self.profile!r} {_code_digest()} {self._digests[tables]}".encode()).hexdigest()
+
     # ------------------------------------------------------------ raw/views
     def raw(self, name: str) -> DataFrame:
         """Raw-layer table, loaded (written) once like the source's load step,
@@ -146,13 +199,21 @@ class Warehouse:
         return f"{self.root}/{name}"
 
     def _write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        out = self.spark.read.parquet(self.path(name))
+        now = published.replace(df, self.path(name), {"fingerprint": self.fingerprint(name)})
+        out = published.read(self.spark, self.path(name), now)
         with self._lock:
             self._built[name] = out
-            self._written[name] = self.path(name)
+            self.made.append(name)
         return out
 
+    def _found(self, name: str) -> DataFrame | None:
+        """The table as some process has published it, if it is of the wanted definition and inputs."""
+        want = self.fingerprint(name)
+        now = published.current(self.spark, self.path(name)) if want else None
+        if now is None or now.info.get("fingerprint") != want:
+            return None
+        return published.read(self.spark, self.path(name), now)
+
     def save_result(self, name: str, df: DataFrame) -> DataFrame:
         """Write a (small) job result below this warehouse and read it back."""
         path = self.path(f"results/{name}-{uuid.uuid4().hex[:8]}")
@@ -168,13 +229,12 @@ class Warehouse:
             with self._lock:
                 if name in self._built:
                     return self._built[name]
-                done = self._written.get(name)
-            if done is not None:  # written earlier by a warehouse over the same input
-                out = self.spark.read.parquet(done)
-                with self._lock:
-                    self._built[name] = out
-                return out
-            return self._write(name, plan())
+            out = self._found(name)
+            if out is None:
+                return self._write(name, plan())
+            with self._lock:
+                self._built[name] = out
+            return out
 
     def table(self, name: str) -> DataFrame:
         return self._once(name, lambda: self._plan(name))
@@ -214,7 +274,7 @@ class Warehouse:
             # The fact is deliberately not written bucketed by order_id: that
             # would save the order join's shuffle, but a bucket cannot be split,
             # so a hot order would run as one task; shuffled, AQE splits it.
-            n = self._partitions_for(self.path("fct_order_items_sales"))
+            n = self._partitions_for("fct_order_items_sales")
             return wide.repartitionByRange(n, "order_date_key", "order_id", "order_item_id") \
                 .sortWithinPartitions("order_date_key")
         if name == "rfm_customers":
@@ -226,29 +286,26 @@ class Warehouse:
             return out.sortWithinPartitions("customer_state")
         raise KeyError(name)
 
-    def stored_bytes(self, path: str) -> int:
-        """Bytes of the files below ``path``, from the file listing only (the
-        binary-file source reads no content when ``content`` is not selected)."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet") \
-            .option("recursiveFileLookup", "true").load(path)
-        return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0])
+    def stored_bytes(self, name: str) -> int:
+        """Bytes of a table's files, from the file listing."""
+        self.table(name)
+        now = published.current(self.spark, self.path(name))
+        return sum(n for _, n in files.data_files(self.spark, published.paths(self.path(name), now)))
 
-    def _partitions_for(self, path: str) -> int:
+    def _partitions_for(self, name: str) -> int:
         floor = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return max(floor, -(-self.stored_bytes(path) // TARGET_PARTITION_BYTES))
+        return max(floor, -(-self.stored_bytes(name) // TARGET_PARTITION_BYTES))
 
     def _plan_rfm(self) -> DataFrame:
         fact = self.table("fct_order_items_sales")
-        metrics = self._write("_rfm_metrics", M.rfm_metrics(M.rfm_customer_orders(fact)))
+        metrics = self._once("_rfm_metrics", lambda: M.rfm_metrics(M.rfm_customer_orders(fact)))
         return M.rfm_segmented(M.rfm_scores(M.rfm_recency(metrics)))
 
     def drop(self) -> None:
-        """Remove everything this warehouse has written; the next use builds it again."""
-        p, fs = _file_system(self.spark, self.root)
-        fs.delete(p, True)
+        """Remove everything in this warehouse's folder; the next use builds it again."""
+        files.remove(self.spark, self.root)
         with self._lock:
             self._built.clear()
-            self._written.clear()
 
     def build_all(self, threads: int = 4) -> dict[str, DataFrame]:
         """Build every mart, up to ``threads`` at once (the source's dbt runs
@@ -259,22 +316,11 @@ class Warehouse:
         return {m: self.table(m) for m in MARTS}
 
 
-_SHARED: dict[tuple, tuple[str, dict[str, str]]] = {}
-
-
 def open_warehouse(spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE) -> Warehouse:
-    """One warehouse per (session, input folder) in this process; warehouses
-    over the same input share one run folder and the tables written in it."""
-    data_key = (sf_dir.rstrip("/"), _fingerprint(spark, sf_dir), profile)
-    key = (id(spark), spark.sparkContext.applicationId) + data_key
+    """One warehouse per (session, input folder and its files) in this process, over the tables that any process has published for the folder."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir), profile)
     with _OPEN_LOCK:
-        wh = _OPEN.get(key)
-        if wh is None:
-            shared = _SHARED.get(data_key)
-            if shared is None:
-                wh = Warehouse(spark, sf_dir, profile)
-                _SHARED[data_key] = (wh.root, wh._written)
-            else:
-                wh = Warehouse(spark, sf_dir, profile, root=shared[0], written=shared[1])
-            _OPEN[key] = wh
-    return wh
+        if key not in _OPEN:
+            tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+            _OPEN[key] = Warehouse(spark, sf_dir, profile, root=f"{shared_root(spark)}/basketry-marts/{tag}")
+        return _OPEN[key]

@@ -23,6 +23,9 @@ RAW_TABLES = (
     "category_name_translation",
 )
 
+#: Raw tables that are loaded and audited but feed no mart.
+SIDE_TABLES = ("order_reviews", "geolocation")
+
 SOURCE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -173,7 +176,37 @@ def raw_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose message is a document's whole text, with its line breaks, quotes and commas; empty ones are null, as in CSV."""
+    d = _read(spark, sf_dir, "documents")
+    days = (F.col("doc_id") % 700).cast("int")
+    base = F.lit("2017-01-01 00:00:00").cast("timestamp_ntz")
+    return d.select(
+        F.col("doc_id").alias("review_id"),
+        (F.col("doc_id") * 4 + 1).alias("order_id"),
+        (F.col("doc_id") % 5 + 1).alias("review_score"),
+        F.col("source").alias("review_comment_title"),
+        F.nullif("text", F.lit("")).alias("review_comment_message"),
+        F.timestamp_add("DAY", days, base).alias("review_creation_date"),
+        F.when(F.col("doc_id") % 7 != 0, F.timestamp_add("DAY", days + 2, base)).alias("review_answer_timestamp"),
+    )
+
+
+def raw_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier")
+    n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
+        (F.col("s_suppkey") % 90000).alias("geolocation_zip_code_prefix"),
+        ((F.col("s_suppkey") % 180 - 90).cast("double") / 2).alias("geolocation_lat"),
+        ((F.col("s_suppkey") % 360 - 180).cast("double") / 2).alias("geolocation_lng"),
+        F.lower(F.col("s_name")).alias("geolocation_city"),
+        F.col("n_name").alias("geolocation_state"),
+    )
+
+
 _BUILDERS = {
+    "order_reviews": raw_order_reviews,
+    "geolocation": raw_geolocation,
     "orders": raw_orders,
     "order_items": raw_order_items,
     "customers": raw_customers,
@@ -186,7 +219,7 @@ _BUILDERS = {
 
 def bind_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All raw tables as lazy DataFrames over ``sf_dir``."""
-    return {name: build(spark, sf_dir) for name, build in _BUILDERS.items()}
+    return {name: _BUILDERS[name](spark, sf_dir) for name in RAW_TABLES}
 
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Declared schemas (DDL) of the nine raw tables, as their CSV files have them.
 
-Ids are text.  Reviews hold free text with quoted line breaks, so their file
-is read in one piece (``MULTI_LINE``); all others can be split between tasks.
+Ids are text.  Reviews hold free text with quoted line breaks (``MULTI_LINE``):
+their files are scanned twice, to find where records start in each split.
 """
 
 from __future__ import annotations
