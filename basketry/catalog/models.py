@@ -75,9 +75,7 @@ SELECT customer_unique_id, recency_days, frequency_orders, CAST(monetary_value A
     lambda s, d: M.rfm_recency(M.rfm_metrics(M.rfm_customer_orders(wh(s, d).table("fct_order_items_sales")))))
 register("rfm_ntile_scores", O.with_models("""
 SELECT customer_unique_id, CAST(r_score AS BIGINT) AS r_score, CAST(m_score AS BIGINT) AS m_score FROM rfm_scoring"""))(
-    lambda s, d: M.rfm_scores(
-        M.rfm_recency(M.rfm_metrics(M.rfm_customer_orders(wh(s, d).table("fct_order_items_sales")))),
-        ranges=8).select("customer_unique_id", F.col("r_score").cast("bigint").alias("r_score"),
+    lambda s, d: M.rfm_scores(wh(s, d).rfm_recency()).select("customer_unique_id", F.col("r_score").cast("bigint").alias("r_score"),
                                    F.col("m_score").cast("bigint").alias("m_score")))
 register("rfm_f_score", O.with_models("""
 SELECT customer_unique_id, frequency_orders, CAST(f_score AS BIGINT) AS f_score FROM rfm_scoring"""))(

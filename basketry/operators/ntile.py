@@ -1,40 +1,40 @@
 """Exact, distributed NTILE over a whole table.
 
 ``ntile(k) OVER (ORDER BY key, id)`` without ``PARTITION BY`` is planned by Spark
-as a window in one task.  Here each row gets its zero-based position from
-``placed`` (range-partitioned sort), and the position maps to the tile: with ``n``
-rows, ``q = n div tiles`` and ``r = n mod tiles``, the first ``r`` tiles hold
-``q + 1`` rows and the rest ``q``.
+as a window in one task.  A tile is decided by k - 1 rows, the last of each tile but
+the last one: with ``n`` rows, ``q = n div tiles`` and ``r = n mod tiles``, tile i
+ends at rank ``i * q + min(i, r)``.  These rows are found by counting
+(``selection.rows_at``); every row's tile is then a comparison with them, a projection
+that stays in the caller's stage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import int_div
-from basketry.operators.placed import placed
-from basketry.operators.scalar import attach_scalar
+from basketry.operators.selection import SAMPLE, Order, before, rows_at
 
 
-def _tile_of(i: Column, n: Column, tiles: int) -> Column:
-    q = int_div(n, F.lit(tiles))
-    r = n - q * tiles
-    big = r * (q + 1)
-    first = int_div(i, q + 1) + 1
-    second = F.when(q > 0, int_div(i - big, q) + r + 1)
-    return F.when(i < big, first).otherwise(second).cast("int")
+def global_ntiles(df: DataFrame, tiles: int, orders: Mapping[str, Order], sample: int = SAMPLE) -> DataFrame:
+    """Add a column NTILE(tiles) over the whole frame for each entry of ``orders`` (column name -> order).
 
-
-def global_ntile(df: DataFrame, tiles: int, order_by: Sequence[tuple[str, bool]], out: str, ranges: int | None = None) -> DataFrame:
-    """Add column ``out`` = NTILE(tiles) over the whole frame.
-
-    ``order_by`` is a list of ``(column, descending)``; it must be a total
-    order (end with a unique id) for the result to be deterministic, exactly
-    as with SQL ``ntile``.
+    An order must be total (end with a unique id) for the result to be
+    deterministic, exactly as with SQL ``ntile``.  The frame is read a few times: give a stored one.
     """
-    rows, total = placed(df, order_by, ranges)
-    counted = attach_scalar(rows, total.withColumnRenamed("n", "__n"))
-    return counted.withColumn(out, _tile_of(F.col("__pos"), F.col("__n"), tiles)).select(*df.columns, out)
+    n = df.count()
+    ends = sorted({e for i in range(1, tiles) if 1 <= (e := i * (n // tiles) + min(i, n % tiles)) < n})
+    cuts = rows_at(df, {name: (order, ends) for name, order in orders.items()}, n, sample) if ends else {}
+    out = {}
+    for name, order in orders.items():
+        # the first tiles of a frame with fewer rows than tiles hold one row each, so ranks and tiles still agree
+        passed = [F.when(before(df, order, key, or_at=True), 0).otherwise(1) for key in cuts.get(name, [])]
+        out[name] = sum(passed, F.lit(1)).cast("int")
+    return df.select("*", *[c.alias(name) for name, c in out.items()])
+
+
+def global_ntile(df: DataFrame, tiles: int, order_by: Order, out: str, sample: int | None = None) -> DataFrame:
+    """Add column ``out`` = NTILE(tiles) over the whole frame in one order."""
+    return global_ntiles(df, tiles, {out: order_by}, sample or SAMPLE)

@@ -8,13 +8,15 @@ combine; marts are the tables the queries read (materialised by
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
 from basketry.functions.columns import date_key, f_score, is_churn, segment, valid_order
 from basketry.operators.latest import latest_per_key
-from basketry.operators.ntile import global_ntile
+from basketry.operators.ntile import global_ntiles
 from basketry.operators.scalar import attach_scalar
 
 MONEY = "decimal(18,4)"
@@ -190,15 +192,26 @@ def dim_payments(agg: DataFrame) -> DataFrame:
     )
 
 
-def calendar_days(orders: DataFrame) -> DataFrame:
-    """Every day of the whole calendar years spanned by the order purchase
+#: Purchase dates outside are taken for errors: they widen no calendar (and stay out of the calendar's joins).
+PLAUSIBLE = (date(1970, 1, 1), date(2099, 12, 31))
+
+
+def calendar_days(orders: DataFrame, plausible: tuple[date, date] = PLAUSIBLE) -> DataFrame:
+    """Every day of the whole calendar years spanned by the plausible order purchase
     dates (the source's fixed 2016-2018 calendar is exactly that for its
-    data).  A lazy aggregate plus ``explode(sequence)``: nothing is collected."""
-    ts = F.col("order_purchase_timestamp")
-    span = orders.agg(F.year(F.min(ts)).alias("y0"), F.year(F.max(ts)).alias("y1"))
-    return span.select(F.explode(F.sequence(F.make_date(F.col("y0"), F.lit(1), F.lit(1)),
-                                            F.make_date(F.col("y1"), F.lit(12), F.lit(31)),
-                                            F.expr("interval 1 day"))).alias("full_date"))
+    data).  At most one row for each year of ``plausible`` is made before the days, which
+    spread over the tasks by year; ``implausible_dates`` counts what is left out."""
+    day = F.to_date("order_purchase_timestamp")
+    span = orders.where(day.between(*map(F.lit, plausible))).agg(F.year(F.min(day)).alias("y0"), F.year(F.max(day)).alias("y1"))
+    years = span.select(F.explode(F.sequence("y0", "y1")).alias("y")).repartition("y")
+    first, last = F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(31))
+    return years.select(F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("full_date"))
+
+
+def implausible_dates(orders: DataFrame, plausible: tuple[date, date] = PLAUSIBLE) -> DataFrame:
+    """One row: orders without a purchase date, and with one outside ``plausible``."""
+    day = F.to_date("order_purchase_timestamp")
+    return orders.agg(F.count_if(day.isNull()).alias("missing"), F.count_if(~day.between(*map(F.lit, plausible))).alias("implausible"))
 
 
 def dim_time(days: DataFrame) -> DataFrame:
@@ -219,13 +232,19 @@ def dim_time(days: DataFrame) -> DataFrame:
     )
 
 
-def fct_order_items_sales(items: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+def orders_with_buyer(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders with their customer's unique id (order grain)."""
+    return orders.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+
+
+def fct_order_items_sales(items: DataFrame, orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """Item-grain sales fact.
 
     Orders and customers (both order grain) are joined first so the item
-    table, the largest input, is shuffled once, on order_id.
+    table, the largest input, is shuffled once, on order_id.  Without ``customers``,
+    ``orders`` is ``orders_with_buyer`` already.
     """
-    oc = orders.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+    oc = orders if customers is None else orders_with_buyer(orders, customers)
     f = items.join(oc, "order_id")
     return f.select(
         "order_id",
@@ -280,16 +299,14 @@ def rfm_recency(metrics: DataFrame) -> DataFrame:
     )
 
 
-def rfm_scores(recency: DataFrame, ranges: int | None = None) -> DataFrame:
+def rfm_scores(recency: DataFrame) -> DataFrame:
     """R: ntile(5) by recency desc, id; M: ntile(5) by money asc, id; F: fixed map.
 
-    Each ranking moves only the id and its own measure; both start from ``recency``.
+    Both rankings are comparisons with their four cut rows: no row moves.
     """
-    ident = "customer_unique_id"
-    r = global_ntile(recency.select(ident, "recency_days"), 5, [("recency_days", True), (ident, False)], "r_score", ranges)
-    m = global_ntile(recency.select(ident, "monetary_value"), 5, [("monetary_value", False), (ident, False)], "m_score", ranges)
-    scored = recency.join(r.select(ident, "r_score"), ident).join(m.select(ident, "m_score"), ident)
-    return scored.withColumn("f_score", f_score().cast("int"))
+    ident = ("customer_unique_id", False)
+    orders = {"r_score": [("recency_days", True), ident], "m_score": [("monetary_value", False), ident]}
+    return global_ntiles(recency, 5, orders).withColumn("f_score", f_score().cast("int"))
 
 
 def rfm_segmented(scored: DataFrame) -> DataFrame:
@@ -313,7 +330,7 @@ def rfm_segmented(scored: DataFrame) -> DataFrame:
 
 
 def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, products: DataFrame,
-                    sellers: DataFrame, payments: DataFrame) -> DataFrame:
+                    sellers: DataFrame, payments: DataFrame, buyers: DataFrame | None = None) -> DataFrame:
     """The six-table star join every sales question starts from (no filters).
 
     Inner joins drop rows outside the calendar or without a dimension row;
@@ -321,8 +338,8 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
 
     Customer and payment attributes belong to the order, so they are joined
     to a one-row-per-order table first (order grain is several times smaller
-    than item grain, and the per-order reduction combines items map-side);
-    the item-grain fact is then shuffled once, by ``order_id``.  Calendar,
+    than item grain); ``buyers`` (order_id, customer_unique_id) is that table where the caller
+    has it, else it is reduced from the fact.  The item-grain fact is then shuffled once, by ``order_id``.  Calendar,
     products and sellers are left to the planner's and AQE's size checks.
     """
     t = time.select("date_key", "full_date", "year", "quarter", "month", "day_of_week", "day_name")
@@ -330,8 +347,9 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
     p = products.select("product_id", F.col("product_category_name_english").alias("category"))
     s = sellers.select("seller_id", "seller_state")
     pay = payments.select("order_id", "payment_type_primary")
+    of_order = (fact if buyers is None else buyers).select("order_id", "customer_unique_id")
     per_order = (
-        fact.select("order_id", "customer_unique_id").distinct()  # one customer per order; hash aggregate
+        (of_order.distinct() if buyers is None else of_order)  # one customer per order
         .join(c, "customer_unique_id")
         .join(pay, "order_id", "left")
         .select("order_id", "customer_state", "customer_city",

@@ -87,6 +87,7 @@ MART_INPUTS = {
     "dim_sellers": ("sellers",),
     "dim_payments": ("_items_numbered",),
     "fct_order_items_sales": _FACT,
+    "_order_buyers": ("orders", "customers"),
     "_rfm_metrics": _FACT,
     "fct_customer_rfm": _FACT,
     "fct_sales_wide": tuple(t for t in RAW_INPUTS if t not in ("order_reviews", "geolocation")),
@@ -252,7 +253,7 @@ class Warehouse:
         if name == "dim_payments":
             return M.dim_payments(self.view("int_order_payments_aggregated"))
         if name == "fct_order_items_sales":
-            return M.fct_order_items_sales(self.stg("order_items"), self.stg("orders"), self.stg("customers"))
+            return M.fct_order_items_sales(self.stg("order_items"), self._buyers())
         if name == "fct_customer_rfm":
             return self._plan_rfm()
         if name == "fct_sales_wide":
@@ -263,6 +264,7 @@ class Warehouse:
                 self.table("dim_products"),
                 self.table("dim_sellers"),
                 self.table("dim_payments"),
+                self._buyers(),
             )
             # Range partitioning by date: files and row groups carry tight
             # min/max statistics on order_date_key for filter pushdown.  The
@@ -296,10 +298,17 @@ class Warehouse:
         floor = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return max(floor, -(-self.stored_bytes(name) // TARGET_PARTITION_BYTES))
 
-    def _plan_rfm(self) -> DataFrame:
+    def rfm_recency(self) -> DataFrame:
+        """Recency, frequency and money of every buyer, written once: the cut rows of the scores are found by reading it a few times."""
         fact = self.table("fct_order_items_sales")
-        metrics = self._once("_rfm_metrics", lambda: M.rfm_metrics(M.rfm_customer_orders(fact)))
-        return M.rfm_segmented(M.rfm_scores(M.rfm_recency(metrics)))
+        return self._once("_rfm_metrics", lambda: M.rfm_recency(M.rfm_metrics(M.rfm_customer_orders(fact))))
+
+    def _plan_rfm(self) -> DataFrame:
+        return M.rfm_segmented(M.rfm_scores(self.rfm_recency()))
+
+    def _buyers(self) -> DataFrame:
+        """Orders with their buyer, written once for the fact and the wide table."""
+        return self._once("_order_buyers", lambda: M.orders_with_buyer(self.stg("orders"), self.stg("customers")))
 
     def drop(self) -> None:
         """Remove everything in this warehouse's folder; the next use builds it again."""

@@ -46,3 +46,35 @@ def test_null_keys(spark):
 def test_property_equals_sql_ntile(spark, keys, tiles, desc, ranges):
     rows = [(k, i) for i, k in enumerate(keys)]
     _compare(spark, rows, tiles, desc, ranges)
+
+
+def test_refinement_over_many_rounds(spark):
+    """A sample far smaller than the table: brackets shrink by counting until one holds the row."""
+    n = 20_000
+    df = spark.range(n, numPartitions=8).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("k"), "id")
+    for key, desc in (("k", True),):
+        order = [(key, desc), ("id", False)]
+        ref = df.withColumn("t", F.ntile(5).over(Window.orderBy(F.col(key).desc() if desc else F.col(key).asc(), "id")))
+        mine = global_ntile(df, 5, order, "u", sample=128)
+        assert ref.join(mine, ["k", "id"]).where("t <> u").count() == 0 and mine.count() == n
+
+
+def test_no_sort_no_shuffle(spark):
+    from basketry.operators.ntile import global_ntiles
+
+    df = spark.range(5_000).select(F.lit(3).alias("k"), F.col("id").cast("string").alias("id"))
+    out = global_ntiles(df, 5, {"a": [("k", True), ("id", False)], "b": [("id", True)]}, sample=300)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Window" not in plan
+    ref = df.withColumn("x", F.ntile(5).over(Window.orderBy(F.col("k").desc(), "id"))).withColumn("y", F.ntile(5).over(Window.orderBy(F.col("id").desc())))
+    assert out.join(ref, "id").where("a <> x or b <> y").count() == 0
+
+
+def test_hot_key_and_extreme_values(spark):
+    rows = [(0, i) for i in range(900)] + [(None, 1000 + i) for i in range(300)] + [(-5, 2000), (9, 2001), (10**12, 2002)]
+    for desc in (False, True):
+        _compare(spark, rows, 5, desc, 30)
+
+
+def test_empty_frame(spark):
+    assert global_ntile(spark.createDataFrame([], "k long, id long"), 5, [("k", False), ("id", False)], "t").count() == 0
