@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from basketry import oracle as O
-from basketry.catalog.core import DEF, QUERIES, from_query, register
+from basketry.catalog.core import DEF, QUERIES, from_query, register, wh
 from basketry.functions.columns import SEGMENT_ORDER
 from basketry.operators.scalar import attach_scalar
 from basketry.plans import campaign as K
@@ -15,6 +17,11 @@ def _run(name: str, s, d):
     return QUERIES[name][0](s, d)
 
 
+def _stored(name: str, s, d):
+    """A registered query's result, written once for all figures that start from it."""
+    return wh(s, d).result(name, lambda: _run(name, s, d))
+
+
 def _case_map(mapping: dict, col: str) -> str:
     whens = " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"CASE {whens} END"
@@ -46,7 +53,7 @@ FROM (
       coalesce(prev_revenue, 0) AS prev_revenue, coalesce(prev_freight, 0) AS prev_freight,
       coalesce(prev_customers, 0) AS prev_customers
     FROM {from_query('kpi_compare')}) k
-) k2""")(lambda s, d: Fn.kpi_derived(_run("kpi_compare", s, d)))
+) k2""")(lambda s, d: Fn.kpi_derived(_stored("kpi_compare", s, d)))
 
 _PARTIAL = (f"(CAST(month AS DATE) < {O._d(DEF.start)}) "
             f"OR (CAST(month AS DATE) + INTERVAL 1 MONTH - INTERVAL 1 DAY > {O._d(DEF.end)})")
@@ -79,7 +86,7 @@ SELECT p.products, p.top_revenue, k.revenue AS period_revenue,
 FROM (SELECT CAST(sum(CAST(revenue AS DECIMAL(38,4))) AS DOUBLE) AS top_revenue, count(*) AS products
       FROM {from_query('top_products')}) p,
   {from_query('kpi_compare', 'k')}""")(
-    lambda s, d: Fn.top_products_share(_run("top_products", s, d), _run("kpi_compare", s, d)))
+    lambda s, d: Fn.top_products_share(_run("top_products", s, d), _stored("kpi_compare", s, d)))
 
 # --------------------------------------------------------------- trends page
 
@@ -88,7 +95,7 @@ register("yoy_pivot", f"""
 SELECT month, sum(CASE WHEN year = {_Y1} THEN revenue END) AS "{_Y1}",
   sum(CASE WHEN year = {_Y2} THEN revenue END) AS "{_Y2}"
 FROM {from_query('same_months_by_year')} GROUP BY month ORDER BY month""")(
-    lambda s, d: Fn.yoy_pivot(_run("same_months_by_year", s, d), "revenue", TEST_PROFILE.compare_years))
+    lambda s, d: Fn.yoy_pivot(_stored("same_months_by_year", s, d), "revenue", TEST_PROFILE.compare_years))
 register("yoy_growth", " UNION ALL ".join(f"""
 SELECT '{m}' AS measure, s1 AS first_year_total, s2 AS second_year_total,
   CASE WHEN s1 IS NOT NULL AND s2 IS NOT NULL AND s1 <> 0 THEN s2 / s1 - 1 END AS growth
@@ -97,44 +104,44 @@ FROM (SELECT CAST(sum(CASE WHEN year = {_Y1} THEN CAST({m} AS {'DECIMAL(38,4)' i
         CAST(sum(CASE WHEN year = {_Y2} THEN CAST({m} AS {'DECIMAL(38,4)' if m == 'revenue' else 'BIGINT'}) END)
           AS DOUBLE) AS s2
       FROM {from_query('same_months_by_year')}) t""" for m in ("revenue", "orders")))(
-    lambda s, d: Fn.yoy_growth(_run("same_months_by_year", s, d), TEST_PROFILE.compare_years))
+    lambda s, d: Fn.yoy_growth(_stored("same_months_by_year", s, d), TEST_PROFILE.compare_years))
 
 register("weekday_hour_grid", f"""
 SELECT c.day_of_week, c.hour, CAST(coalesce(g.orders, 0) AS BIGINT) AS orders
 FROM (SELECT CAST(i // 24 + 1 AS BIGINT) AS day_of_week, CAST(i % 24 AS BIGINT) AS hour FROM range(168) t(i)) c
 LEFT JOIN {from_query('orders_by_weekday_hour', 'g')} ON c.day_of_week = g.day_of_week AND c.hour = g.hour""")(
-    lambda s, d: Fn.weekday_hour_grid(s, _run("orders_by_weekday_hour", s, d)))
+    lambda s, d: Fn.weekday_hour_grid(s, _stored("orders_by_weekday_hour", s, d)))
 register("peak_slot", f"""
 SELECT day_of_week, hour, orders FROM {from_query('orders_by_weekday_hour')}
-ORDER BY orders DESC, day_of_week, hour LIMIT 3""")(lambda s, d: Fn.peak_slots(_run("orders_by_weekday_hour", s, d)))
+ORDER BY orders DESC, day_of_week, hour LIMIT 3""")(lambda s, d: Fn.peak_slots(_stored("orders_by_weekday_hour", s, d)))
 register("weekday_share", f"""
 SELECT day_of_week, orders, CAST(orders AS DOUBLE) / sum(orders) OVER () AS share,
   day_of_week = first(day_of_week ORDER BY orders DESC, day_of_week) OVER () AS is_busiest
 FROM (SELECT day_of_week, CAST(sum(orders) AS BIGINT) AS orders FROM {from_query('orders_by_weekday_hour')}
       GROUP BY day_of_week) w""")(
-    lambda s, d: Fn.weekday_share(_run("orders_by_weekday_hour", s, d)))
+    lambda s, d: Fn.weekday_share(_stored("orders_by_weekday_hour", s, d)))
 register("hour_band_share", f"""
 SELECT CAST(sum(CASE WHEN hour BETWEEN 10 AND 21 THEN orders END) AS DOUBLE) / NULLIF(CAST(sum(orders) AS DOUBLE), 0)
     AS share_10_21,
   CAST(sum(CASE WHEN hour BETWEEN 0 AND 5 THEN orders END) AS DOUBLE) / NULLIF(CAST(sum(orders) AS DOUBLE), 0)
     AS share_0_5
-FROM {from_query('orders_by_weekday_hour')}""")(lambda s, d: Fn.hour_band_share(_run("orders_by_weekday_hour", s, d)))
+FROM {from_query('orders_by_weekday_hour')}""")(lambda s, d: Fn.hour_band_share(_stored("orders_by_weekday_hour", s, d)))
 
 _STATE_COLS = "state, orders, revenue, aov, freight_ratio, delivered_orders, late_rate, delivery_days"
 register("state_share", f"""
 SELECT {_STATE_COLS}, revenue / CAST(sum(CAST(revenue AS DECIMAL(38,4))) OVER () AS DOUBLE) AS share_revenue,
   CAST(orders AS DOUBLE) / sum(orders) OVER () AS share_orders
-FROM {from_query('state_summary')}""")(lambda s, d: Fn.state_share(_run("state_summary", s, d)))
+FROM {from_query('state_summary')}""")(lambda s, d: Fn.state_share(_stored("state_summary", s, d)))
 register("state_rank", f"""
 SELECT state, revenue, revenue / CAST(sum(CAST(revenue AS DECIMAL(38,4))) OVER () AS DOUBLE) AS share,
   state = first(state ORDER BY revenue DESC, state) OVER () AS is_leader
 FROM {from_query('state_summary')} WHERE revenue IS NOT NULL""")(
-    lambda s, d: Fn.state_rank(_run("state_summary", s, d), "revenue"))
+    lambda s, d: Fn.state_rank(_stored("state_summary", s, d), "revenue"))
 register("state_rank_late_rate", f"""
 SELECT state, late_rate, CAST(NULL AS DOUBLE) AS share,
   state = first(state ORDER BY late_rate DESC, state) OVER () AS is_leader
 FROM {from_query('state_summary')} WHERE late_rate IS NOT NULL""")(
-    lambda s, d: Fn.state_rank(_run("state_summary", s, d), "late_rate"))
+    lambda s, d: Fn.state_rank(_stored("state_summary", s, d), "late_rate"))
 
 def _osum(x: str) -> str:
     """Doubles added in ascending order (matches ``ordered_sum``)."""
@@ -154,7 +161,7 @@ FROM (
     delivery_days * CAST(delivered_orders AS DOUBLE) AS dd_num,
     CASE WHEN delivery_days IS NOT NULL THEN CAST(delivered_orders AS DOUBLE) END AS dd_den,
     revenue, orders
-  FROM {from_query('state_summary')}) t""")(lambda s, d: Fn.state_overall(_run("state_summary", s, d)))
+  FROM {from_query('state_summary')}) t""")(lambda s, d: Fn.state_overall(_stored("state_summary", s, d)))
 
 # ------------------------------------------------------------------ RFM page
 
@@ -178,12 +185,12 @@ FROM (
   FROM (SELECT CAST(v AS BIGINT) AS r_score FROM (VALUES (5), (4), (3), (2), (1)) x(v)) r
   JOIN (SELECT CAST(v AS BIGINT) AS f_score FROM (VALUES (1), (3), (4), (5)) y(v)) f ON TRUE
   LEFT JOIN {from_query('rfm_matrix', 'm')} ON m.r_score = r.r_score AND m.f_score = f.f_score
-) g""")(lambda s, d: Fn.rfm_grid(s, _run("rfm_matrix", s, d)))
+) g""")(lambda s, d: Fn.rfm_grid(s, _stored("rfm_matrix", s, d)))
 
 register("f_score_share", f"""
 SELECT f_score, customers, CAST(customers AS DOUBLE) / sum(customers) OVER () AS share
 FROM (SELECT f_score, CAST(sum(customers) AS BIGINT) AS customers FROM {from_query('rfm_matrix')} GROUP BY f_score) x""")(
-    lambda s, d: Fn.f_score_share(_run("rfm_matrix", s, d)))
+    lambda s, d: Fn.f_score_share(_stored("rfm_matrix", s, d)))
 
 # ---------------------------------------------------------------- churn page
 
@@ -201,7 +208,7 @@ ov AS (SELECT list_reduce(list_sort(list(churn_rate * customers) FILTER (WHERE c
 shown AS (SELECT st.*, ov.overall_churn_rate FROM st, ov WHERE ov.q = 0 OR st.customers >= 300)
 SELECT state, customers, churn_rate, overall_churn_rate,
   state = first(state ORDER BY churn_rate DESC, state) OVER () AS is_worst
-FROM shown""")(lambda s, d: Fn.churn_ranked_states(_run("churn_by_state", s, d), 300))
+FROM shown""")(lambda s, d: Fn.churn_ranked_states(_stored("churn_by_state", s, d), 300))
 register("churn_ranked_states_min_50", f"""
 WITH st AS (SELECT * FROM {from_query('churn_by_state')}),
 ov AS (SELECT list_reduce(list_sort(list(churn_rate * customers) FILTER (WHERE churn_rate * customers IS NOT NULL)),
@@ -210,7 +217,7 @@ ov AS (SELECT list_reduce(list_sort(list(churn_rate * customers) FILTER (WHERE c
 shown AS (SELECT st.*, ov.overall_churn_rate FROM st, ov WHERE ov.q = 0 OR st.customers >= 50)
 SELECT state, customers, churn_rate, overall_churn_rate,
   state = first(state ORDER BY churn_rate DESC, state) OVER () AS is_worst
-FROM shown""")(lambda s, d: Fn.churn_ranked_states(_run("churn_by_state", s, d), 50))
+FROM shown""")(lambda s, d: Fn.churn_ranked_states(_stored("churn_by_state", s, d), 50))
 register("churn_ranked_categories", f"""
 SELECT category, customers, churn_rate,
   category = first(category ORDER BY churn_rate DESC, category) OVER () AS is_worst
@@ -225,7 +232,7 @@ SELECT CAST(sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN customers ELSE 0 END) A
   coalesce(CAST(sum(CASE WHEN bucket BETWEEN 91 AND 151 THEN CAST(monetary AS DECIMAL(38,4)) END) AS DOUBLE), 0.0)
     AS cooling_monetary,
   CAST(sum(repeaters) AS DOUBLE) / NULLIF(sum(customers), 0) AS repeat_rate
-FROM {from_query('campaign_pool')}""")(lambda s, d: Fn.pool_kpis(_run("campaign_pool", s, d)))
+FROM {from_query('campaign_pool')}""")(lambda s, d: Fn.pool_kpis(_stored("campaign_pool", s, d)))
 
 register("pool_by_segment", f"""
 SELECT segment, CAST({_order_case(SEGMENT_ORDER, 'segment')} AS BIGINT) AS display_order, customers, monetary,
@@ -235,38 +242,39 @@ SELECT segment, CAST({_order_case(SEGMENT_ORDER, 'segment')} AS BIGINT) AS displ
 FROM (SELECT segment, CAST(sum(customers) AS BIGINT) AS customers,
         CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
       FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY segment) x""")(
-    lambda s, d: Fn.pool_by_segment(_run("campaign_pool", s, d)))
+    lambda s, d: Fn.pool_by_segment(_stored("campaign_pool", s, d)))
 register("pool_by_state", f"""
 SELECT state, customers, monetary, CASE WHEN customers <> 0 THEN monetary / customers END AS mean_monetary
 FROM (SELECT state, CAST(sum(customers) AS BIGINT) AS customers,
         CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
       FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY state) x
-ORDER BY customers DESC, state LIMIT 10""")(lambda s, d: Fn.pool_by_state(_run("campaign_pool", s, d), 10))
+ORDER BY customers DESC, state LIMIT 10""")(lambda s, d: Fn.pool_by_state(_stored("campaign_pool", s, d), 10))
 
 register("default_bucket_range", f"""
 SELECT CAST(CASE WHEN count_if(bucket = 91) > 0 AND count_if(bucket = 151) > 0 THEN 91 ELSE min(bucket) END AS BIGINT)
     AS bucket_from,
   CAST(CASE WHEN count_if(bucket = 91) > 0 AND count_if(bucket = 151) > 0 THEN 151 ELSE max(bucket) END AS BIGINT)
     AS bucket_to
-FROM {from_query('campaign_pool')}""")(lambda s, d: Fn.default_bucket_range(_run("campaign_pool", s, d)))
+FROM {from_query('campaign_pool')}""")(lambda s, d: Fn.default_bucket_range(_stored("campaign_pool", s, d)))
 
+_IN_RANGE = f"""bucket BETWEEN (SELECT bucket_from FROM {from_query('default_bucket_range')}) AND (SELECT bucket_to FROM {from_query('default_bucket_range')})"""
 _TARGET_SQL = f"""
 SELECT customers, orders, monetary, CASE WHEN orders <> 0 THEN monetary / orders ELSE 0.0 END AS aov
 FROM (SELECT CAST(coalesce(sum(customers), 0) AS DOUBLE) AS customers,
         CAST(coalesce(sum(orders), 0) AS DOUBLE) AS orders,
         coalesce(CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE), 0.0) AS monetary
       FROM {from_query('campaign_pool')}
-      WHERE bucket BETWEEN 91 AND 151 AND {O._in('segment', SEGMENT_ORDER)}) x"""
+      WHERE {_IN_RANGE} AND {O._in('segment', SEGMENT_ORDER)}) x"""
 register("target_cohort", _TARGET_SQL)(
-    lambda s, d: Fn.target_cohort(_run("campaign_pool", s, d), 91, 151, SEGMENT_ORDER))
+    lambda s, d: Fn.target_cohort(_stored("campaign_pool", s, d), SEGMENT_ORDER))
 
 # ------------------------------------------------------------ campaign model
 
 
 def _cohort(s, d):
-    pool = _run("campaign_pool", s, d)
+    pool = _stored("campaign_pool", s, d)
     organic = Fn.pool_kpis(pool).select("repeat_rate")
-    return attach_scalar(Fn.target_cohort(pool, 91, 151, SEGMENT_ORDER), organic)
+    return attach_scalar(Fn.target_cohort(pool, SEGMENT_ORDER), organic)
 
 
 def _scen_sql() -> str:
@@ -321,7 +329,8 @@ FROM ev ORDER BY profit DESC, scenario_index LIMIT 1""")(lambda s, d: K.best_sce
 
 
 def _budget(s, d):
-    best = attach_scalar(K.best_scenario(_ev(s, d)), _cohort(s, d).select("customers"))
+    ev = _ev(s, d)
+    best = attach_scalar(K.best_scenario(ev), ev.agg(F.max("customers").alias("customers")))  # one cohort
     return K.budget_cap(best, "customers", 1000.0).drop("customers")
 
 
@@ -347,14 +356,14 @@ FROM (SELECT ev.*, CAST(p AS INTEGER) AS point,
 register("campaign_defaults", f"""
 SELECT d.*, CAST(0.3 AS DOUBLE) AS margin, k.repeat_rate AS organic
 FROM {_scen_sql()} d, {from_query('pool_kpis', 'k')}""")(
-    lambda s, d: K.default_assumptions(Fn.pool_kpis(_run("campaign_pool", s, d))))
+    lambda s, d: K.default_assumptions(Fn.pool_kpis(_stored("campaign_pool", s, d))))
 
 
 
 def _segment_cohorts(s, d):
-    pool = _run("campaign_pool", s, d)
+    pool = _stored("campaign_pool", s, d)
     organic = Fn.pool_kpis(pool).select("repeat_rate")
-    return attach_scalar(Fn.cohorts_by(pool, "segment", 91, 151), organic)
+    return attach_scalar(Fn.cohorts_by(pool, "segment"), organic)
 
 
 register("campaign_evaluate_by_segment", f"""
@@ -362,7 +371,7 @@ WITH seg AS (
   SELECT segment, customers, orders, monetary, CASE WHEN orders <> 0 THEN monetary / orders ELSE 0.0 END AS aov
   FROM (SELECT segment, CAST(sum(customers) AS DOUBLE) AS customers, CAST(sum(orders) AS DOUBLE) AS orders,
           CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary
-        FROM {from_query('campaign_pool')} WHERE bucket BETWEEN 91 AND 151 GROUP BY segment) x),
+        FROM {from_query('campaign_pool')} WHERE {_IN_RANGE} GROUP BY segment) x),
 k AS (SELECT CAST(sum(repeaters) AS DOUBLE) / NULLIF(sum(customers), 0) AS repeat_rate
       FROM {from_query('campaign_pool')}),
 scen AS {_scen_sql()}

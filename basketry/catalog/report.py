@@ -68,4 +68,7 @@ _parts += [_f("rfm", f"last_purchase_{k}", f"{k}(last_purchase)", from_query("rf
 _parts += _rows("rfm", "'f_score_' || f_score", {"customers": "customers", "share": "share"}, from_query("f_score_share"))
 _parts += _rows("decision", "'scenario_' || scenario_index", {k: k for k in R.SCENARIO_FIGURES}, from_query("campaign_evaluate"))
 
+_parts += _rows("trends", "'month_' || year || '_' || month", {"revenue": "revenue", "orders": "orders"}, from_query("same_months_by_year"))
+_parts += _rows("trends", "'busy_slot_' || day_of_week || '_' || hour", {"orders": "orders"}, from_query("peak_slot"))
+
 register("report_numbers", " UNION ALL ".join(_parts))(lambda s, d: R.report_figures(wh(s, d), DEF))

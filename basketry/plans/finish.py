@@ -154,20 +154,12 @@ def yoy_growth(yoy: DataFrame, years: tuple[int, int]) -> DataFrame:
     """Sum over the compared months per year and growth second/first - 1,
     only when both years are present."""
     y1, y2 = years
-    rows = []
-    for field in ("revenue", "orders"):
-        total = money_sum if field == "revenue" else (lambda c: F.sum(c).cast("double"))
-        s1 = total(F.when(F.col("year") == y1, F.col(field)))
-        s2 = total(F.when(F.col("year") == y2, F.col(field)))
-        rows.append(
-            yoy.agg(
-                F.lit(field).alias("measure"),
-                s1.alias("first_year_total"),
-                s2.alias("second_year_total"),
-                F.when(s1.isNotNull() & s2.isNotNull() & (s1 != 0), s2 / s1 - 1).alias("growth"),
-            )
-        )
-    return rows[0].unionByName(rows[1])
+    totals = {"revenue": money_sum, "orders": lambda c: F.sum(c).cast("double")}
+    sums = [total(F.when(F.col("year") == y, F.col(field))).alias(f"{field}_{k}") for field, total in totals.items() for k, y in enumerate((y1, y2))]
+    first, second = F.col("x.first_year_total"), F.col("x.second_year_total")
+    rows = F.array(*[F.struct(F.lit(f).alias("measure"), F.col(f"{f}_0").alias("first_year_total"), F.col(f"{f}_1").alias("second_year_total")) for f in totals])
+    one = yoy.agg(*sums).select(F.explode(rows).alias("x"))
+    return one.select("x.*", F.when(first.isNotNull() & second.isNotNull() & (first != 0), second / first - 1).alias("growth"))
 
 
 def weekday_hour_grid(spark: SparkSession, grid: DataFrame) -> DataFrame:
@@ -379,9 +371,17 @@ def default_bucket_range(pool: DataFrame) -> DataFrame:
     )
 
 
-def target_cohort(pool: DataFrame, bucket_from: int, bucket_to: int, segments: Sequence[str]) -> DataFrame:
-    """Cohort size and AOV (= money / orders, 0 when no orders)."""
-    t = pool.filter(F.col("bucket").between(bucket_from, bucket_to) & F.col("segment").isin(*segments))
+def _in_range(pool: DataFrame, buckets: tuple[int, int] | None) -> DataFrame:
+    """Pool rows of the given buckets; by default those of ``default_bucket_range``."""
+    b = F.col("bucket")
+    if buckets is not None:
+        return pool.filter(b.between(*buckets))
+    return attach_scalar(pool, default_bucket_range(pool)).filter(b.between(F.col("bucket_from"), F.col("bucket_to"))).drop("bucket_from", "bucket_to")
+
+
+def target_cohort(pool: DataFrame, segments: Sequence[str], buckets: tuple[int, int] | None = None) -> DataFrame:
+    """Cohort size and AOV (= money / orders, 0 when no orders); the default range of buckets unless one is given."""
+    t = _in_range(pool, buckets).filter(F.col("segment").isin(*segments))
     return t.agg(
         F.coalesce(F.sum("customers"), F.lit(0)).cast("double").alias("customers"),
         F.coalesce(F.sum("orders"), F.lit(0)).cast("double").alias("orders"),
@@ -389,9 +389,9 @@ def target_cohort(pool: DataFrame, bucket_from: int, bucket_to: int, segments: S
     ).withColumn("aov", F.when(F.col("orders") != 0, F.col("monetary") / F.col("orders")).otherwise(F.lit(0.0)))
 
 
-def cohorts_by(pool: DataFrame, key: str, bucket_from: int, bucket_to: int) -> DataFrame:
-    """Cooling cohorts per ``key`` (segment, state, ...) with size and AOV."""
-    t = pool.filter(F.col("bucket").between(bucket_from, bucket_to)).groupBy(key).agg(
+def cohorts_by(pool: DataFrame, key: str, buckets: tuple[int, int] | None = None) -> DataFrame:
+    """Cohorts per ``key`` (segment, state, ...) with size and AOV; the default range of buckets unless one is given."""
+    t = _in_range(pool, buckets).groupBy(key).agg(
         F.sum("customers").cast("double").alias("customers"),
         F.sum("orders").cast("double").alias("orders"),
         money_sum("monetary").alias("monetary"),

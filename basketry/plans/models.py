@@ -388,6 +388,18 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
     )
 
 
+#: Of the wide table: constant within an order, and so grouping keys of its rollup (next to the category).
+ROLLUP_KEYS = ("order_id", "category", "order_date_key", "order_status", "order_purchase_timestamp", "order_delivered_customer_date",
+               "order_estimated_delivery_date", "payment_type", "full_date", "year", "quarter", "month", "day_of_week", "day_name",
+               "customer_unique_id", "customer_state", "customer_city")
+
+
+def order_rollup(wide: DataFrame) -> DataFrame:
+    """The wide table by order and category with its money summed exactly; items are counted, their own columns go."""
+    sums = [F.sum(c).alias(c) for c in ("price", "freight_value", "item_total_amount")]
+    return wide.groupBy(*ROLLUP_KEYS).agg(*sums, F.count(F.lit(1)).alias("items"))
+
+
 def last_item_category(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Category of each customer's last valid item.
 

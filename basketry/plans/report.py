@@ -66,7 +66,10 @@ def report_figures(wh: Warehouse, f: Filters | None = None) -> DataFrame:
     share = Fn.top_products_share(S.top_products(wh, f, 10), kpi)
     out.append(_fig(share, "overview", {"top10_products_share": c("share")}))
 
-    yoy = Fn.yoy_growth(S.same_months_by_year(wh, f), wh.profile.compare_years)
+    same = wh.save_result("report/same_months", S.same_months_by_year(wh, f))
+    month = F.concat(F.lit("month_"), c("year").cast("string"), F.lit("_"), c("month").cast("string"))
+    out.append(_each(same, "trends", month, {"revenue": c("revenue"), "orders": c("orders")}))
+    yoy = Fn.yoy_growth(same, wh.profile.compare_years)
     growth = yoy.agg(F.max(F.when(c("measure") == "revenue", c("growth"))).alias("r"),
                      F.max(F.when(c("measure") == "orders", c("growth"))).alias("o"))
     out.append(_fig(growth, "trends", {"same_months_revenue_growth": c("r"), "same_months_orders_growth": c("o")}))
@@ -74,6 +77,8 @@ def report_figures(wh: Warehouse, f: Filters | None = None) -> DataFrame:
     out.append(_fig(Fn.hour_band_share(grid), "trends", {"orders_share_10_21": c("share_10_21"), "orders_share_0_5": c("share_0_5")}))
     day = F.concat(F.lit("weekday_"), c("day_of_week").cast("string"))
     out.append(_each(Fn.weekday_share(grid), "trends", day, {"orders": c("orders"), "share": c("share")}))
+    slot = F.concat(F.lit("busy_slot_"), c("day_of_week").cast("string"), F.lit("_"), c("hour").cast("string"))
+    out.append(_each(Fn.peak_slots(grid, 3), "trends", slot, {"orders": c("orders")}))
     nat = Fn.state_overall(S.state_summary(wh, f))
     out.append(_fig(nat, "trends", {"national_freight_ratio": c("freight_ratio"), "national_late_rate": c("late_rate"),
                                     "national_delivery_days": c("delivery_days"), "national_aov": c("aov")}))
@@ -104,8 +109,7 @@ def report_figures(wh: Warehouse, f: Filters | None = None) -> DataFrame:
     out.append(_fig(cool, "churn", {"cooling_list_size": c("n"), "cooling_list_min": c("lo"), "cooling_list_max": c("hi")}))
 
     pool = wh.save_result("report/pool", C.campaign_pool(wh, f))
-    lo, hi = Fn.default_bucket_range(pool).first()  # the page's default: the cooling buckets, else the pool's own range
-    cohort = attach_scalar(Fn.target_cohort(pool, lo, hi, SEGMENT_ORDER), Fn.pool_kpis(pool).select("repeat_rate"))
+    cohort = attach_scalar(Fn.target_cohort(pool, SEGMENT_ORDER), Fn.pool_kpis(pool).select("repeat_rate"))
     out.append(_fig(cohort, "decision", {"target_customers": c("customers"), "target_aov": c("aov"),
                                          "organic_rate": c("repeat_rate")}))
     cases = wh.save_result("report/scenarios", K.evaluate(cohort, K.DEFAULT_SCENARIOS, organic="repeat_rate"))
@@ -118,6 +122,7 @@ def report_figures(wh: Warehouse, f: Filters | None = None) -> DataFrame:
 def write_report(wh: Warehouse, out_dir: str, f: Filters | None = None) -> None:
     """The figures plus the detail tables, one folder each (CSV with header)."""
     f = f or default_filters(wh.profile)
+    pool = wh.save_result("report/pool", C.campaign_pool(wh, f))
     tables = {
         "figures": report_figures(wh, f),
         "revenue_by_month": S.revenue_by_month(wh, f),
@@ -131,8 +136,8 @@ def write_report(wh: Warehouse, out_dir: str, f: Filters | None = None) -> None:
         "recency": Fn.recency_status(C.recency_histogram(wh, f)),
         "churn_states": Fn.churn_ranked_states(C.churn_by_state(wh, f)),
         "churn_categories": Fn.churn_ranked_categories(C.churn_by_last_category(wh, f)),
-        "pool_by_segment": Fn.pool_by_segment(C.campaign_pool(wh, f)),
-        "pool_by_state": Fn.pool_by_state(C.campaign_pool(wh, f), 5),
+        "pool_by_segment": Fn.pool_by_segment(pool),
+        "pool_by_state": Fn.pool_by_state(pool, 5),
     }
     for name, df in tables.items():
         df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}")

@@ -80,6 +80,7 @@ RAW_INPUTS = {
     "geolocation": ("supplier", "nation"),
 }
 _FACT = ("orders", "_items_numbered", "customers")
+_ALL_MARTS = tuple(t for t in RAW_INPUTS if t not in ("order_reviews", "geolocation"))
 MART_INPUTS = {
     "dim_time": ("orders",),
     "dim_customers": ("customers", "orders"),
@@ -90,7 +91,8 @@ MART_INPUTS = {
     "_order_buyers": ("orders", "customers"),
     "_rfm_metrics": _FACT,
     "fct_customer_rfm": _FACT,
-    "fct_sales_wide": tuple(t for t in RAW_INPUTS if t not in ("order_reviews", "geolocation")),
+    "fct_sales_wide": _ALL_MARTS,
+    "_order_rollup": _ALL_MARTS,
     "rfm_customers": (*_FACT, "products", "category_name_translation"),
 }
 
@@ -115,10 +117,10 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 @functools.cache
 def _code_digest() -> str:
-    """Digest of the code that defines raw tables and marts."""
+    """Digest of the code that defines raw tables, marts and results."""
     h = hashlib.sha1()
     root = Path(__file__).resolve().parent.parent
-    for part in ("plans/models.py", "plans/warehouse.py", "functions", "operators", "sources/binding.py"):
+    for part in ("plans", "catalog", "functions", "operators", "profile.py", "sources/binding.py"):
         at = root / part
         for f in sorted(at.glob("*.py")) if at.is_dir() else [at]:
             h.update(f.read_bytes())
@@ -158,7 +160,7 @@ class Warehouse:
         """Of a table's definition and inputs; none over given raw tables."""
         if self._raw_override:
             return None
-        raw = (name.removeprefix("raw/"),) if name.startswith("raw/") else MART_INPUTS[name]
+        raw = (name.removeprefix("raw/"),) if name.startswith("raw/") else _ALL_MARTS if name.startswith("results/") else MART_INPUTS[name]
         tables = tuple(sorted({t for r in raw for t in RAW_INPUTS[r]}))
         if tables not in self._digests:
             self._digests[tables] = _files_digest(self.spark, self.sf_dir, tables)
@@ -306,6 +308,14 @@ class Warehouse:
     def _plan_rfm(self) -> DataFrame:
         return M.rfm_segmented(M.rfm_scores(self.rfm_recency()))
 
+    def order_rollup(self) -> DataFrame:
+        """The wide table reduced to (order, category), written once: see ``models.order_rollup``."""
+        return self._once("_order_rollup", lambda: M.order_rollup(self.table("fct_sales_wide")))
+
+    def result(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+        """A (small) query result that several figures start from: written once, found again by its fingerprint."""
+        return self._once(f"results/{name}", plan)
+
     def _buyers(self) -> DataFrame:
         """Orders with their buyer, written once for the fact and the wide table."""
         return self._once("_order_buyers", lambda: M.orders_with_buyer(self.stg("orders"), self.stg("customers")))
@@ -325,6 +335,20 @@ class Warehouse:
         return {m: self.table(m) for m in MARTS}
 
 
+class RolledUp:
+    """A warehouse whose wide table is its rollup by order and category: the same answers for sums of money and for
+    distinct orders, customers and categories, so page queries of those kinds run on it unchanged."""
+
+    def __init__(self, wh: Warehouse):
+        self._wh = wh
+
+    def __getattr__(self, name: str):
+        return getattr(self._wh, name)
+
+    def table(self, name: str) -> DataFrame:
+        return self._wh.order_rollup() if name == "fct_sales_wide" else self._wh.table(name)
+
+
 def open_warehouse(spark: SparkSession, sf_dir: str, profile: Profile = TEST_PROFILE) -> Warehouse:
     """One warehouse per (session, input folder and its files) in this process, over the tables that any process has published for the folder."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir), profile)
