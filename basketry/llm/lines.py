@@ -54,7 +54,7 @@ def _long_lines(data: np.ndarray, off: np.ndarray, min_chars: int):
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     enough = points[e] - points[s] >= min_chars
     s, e = s[enough], e[enough]
-    return np.searchsorted(off, s, "right") - 1, s, e, tx.word_hashes(data, s, e)
+    return np.searchsorted(off, s, "right") - 1, s, e, tx.word_hashes(data, s, e, polynomial=len(data))  # a collision is one more suspect
 
 
 def _probes(hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import text as tx
+from basketry.llm.store import written
 from basketry.llm.suffix import BLOCK, Scratch, Suffixes
 
 LENGTH = 50
@@ -411,14 +412,30 @@ def _intervals(at: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarra
     return a[first], reach[np.append(first[1:], len(a)) - 1]
 
 
+def _nodes(base: DataFrame, ident) -> tuple[DataFrame, DataFrame]:
+    """``base`` with ``node``, a number for each distinct text, and (node, rep): the first document of each.
+
+    Numbers are 64-bit hashes of the text's sha256; the aggregate that finds the first documents also finds
+    numbers of two different texts, and then all are numbered anew with another seed.
+    """
+    seed = 0
+    while True:
+        numbered = base.withColumn("node", F.xxhash64(F.lit(seed), F.sha2("text", 256)))
+        sha = F.unhex(F.sha2("text", 256))
+        one = numbered.groupBy("node").agg(F.min(ident).alias("rep"), F.min(sha).alias("lo"), F.max(sha).alias("hi"))
+        reps = written(one.select("node", "rep", (F.col("lo") != F.col("hi")).alias("clash")), "reps")
+        if reps.where("clash").isEmpty():
+            return numbered, reps.drop("clash")
+        seed += 1
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", memory: int = 256 << 20, with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row; kept are the remaining bytes."""
     gram = min(GRAM, length)
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("node", F.xxhash64(F.sha2("text", 256)))
     ident = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST))
-    reps = base.groupBy("node").agg(F.min(ident).alias("rep"))
+    base, reps = _nodes(base, ident)
     shared = _shared(base, length, gram)
 
     # both joins take the same columns of the texts, so one shuffle of them serves both

@@ -107,15 +107,15 @@ def word_spans(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.
 POLYNOMIAL_BYTES = 32
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial over fixed byte values, from prefix sums; of long words a digest."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, polynomial: int = POLYNOMIAL_BYTES) -> np.ndarray:
+    """64-bit hash of every word: a polynomial over fixed byte values, from prefix sums; of words over ``polynomial`` bytes a digest."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE_VALUE[data] * _powers(_BASE, len(data)), out=sums[1:])
     out = mix((sums[ends] - sums[starts]) * _powers(_UNBASE, len(data) + 1)[starts])
-    for k in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+    for k in np.flatnonzero(ends - starts > polynomial).tolist():
         out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]], digest_size=8).digest(), "little")
     return out
 
