@@ -50,6 +50,7 @@ _LOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8")])
 _WINDOW = np.dtype(_LOW.descr + [("node", "<i8"), ("at", "<i8")])
 _PER_BYTE = 64  # of memory for each byte of a group
 _FAN, _LEVELS = 16, 15  # digits of 64 bits of a window's digest
+_ANCHOR = np.uint64((1 << 64) - (1 << 16))  # anchors have 48 bits: a chance match is one more segment, and zeros shuffle for nothing
 
 
 def _anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -65,7 +66,7 @@ def _anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
         step = min(span, width - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    return low
+    return low & _ANCHOR
 
 
 def _runs(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
