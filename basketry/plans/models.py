@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
 from basketry.functions.columns import date_key, f_score, is_churn, segment, valid_order
+from basketry.operators.hotkeys import split_join
 from basketry.operators.latest import latest_per_key
 from basketry.operators.ntile import global_ntiles
 from basketry.operators.scalar import attach_scalar
@@ -237,7 +238,12 @@ def orders_with_buyer(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return orders.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
 
 
-def fct_order_items_sales(items: DataFrame, orders: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+def _items_with_order(items: DataFrame, per_order: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Join by order; an order among ``hot`` (``hot_keys``) is dealt over several tasks by its item numbers."""
+    return items.join(per_order, "order_id") if hot is None else split_join(items, per_order, "order_id", ["order_item_id"], hot)
+
+
+def fct_order_items_sales(items: DataFrame, orders: DataFrame, customers: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Item-grain sales fact.
 
     Orders and customers (both order grain) are joined first so the item
@@ -245,7 +251,7 @@ def fct_order_items_sales(items: DataFrame, orders: DataFrame, customers: DataFr
     ``orders`` is ``orders_with_buyer`` already.
     """
     oc = orders if customers is None else orders_with_buyer(orders, customers)
-    f = items.join(oc, "order_id")
+    f = _items_with_order(items, oc, hot)
     return f.select(
         "order_id",
         "order_item_id",
@@ -330,7 +336,7 @@ def rfm_segmented(scored: DataFrame) -> DataFrame:
 
 
 def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, products: DataFrame,
-                    sellers: DataFrame, payments: DataFrame, buyers: DataFrame | None = None) -> DataFrame:
+                    sellers: DataFrame, payments: DataFrame, buyers: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """The six-table star join every sales question starts from (no filters).
 
     Inner joins drop rows outside the calendar or without a dimension row;
@@ -356,8 +362,7 @@ def sales_star_join(fact: DataFrame, time: DataFrame, customers: DataFrame, prod
                 F.coalesce(F.col("payment_type_primary"), F.lit("unknown")).alias("payment_type"))
     )
     j = (
-        fact.join(t, fact.order_date_key == t.date_key)
-        .join(per_order, "order_id")
+        _items_with_order(fact.join(t, fact.order_date_key == t.date_key), per_order, hot)
         .join(p, "product_id")
         .join(s, "seller_id")
     )

@@ -36,6 +36,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.operators.hotkeys import hot_keys
 from basketry.plans import models as M
 from basketry.profile import TEST_PROFILE, Profile
 from basketry.session import shared_root
@@ -89,6 +90,7 @@ MART_INPUTS = {
     "dim_payments": ("_items_numbered",),
     "fct_order_items_sales": _FACT,
     "_order_buyers": ("orders", "customers"),
+    "_hot_orders": ("_items_numbered",),
     "_rfm_metrics": _FACT,
     "fct_customer_rfm": _FACT,
     "fct_sales_wide": _ALL_MARTS,
@@ -255,7 +257,7 @@ class Warehouse:
         if name == "dim_payments":
             return M.dim_payments(self.view("int_order_payments_aggregated"))
         if name == "fct_order_items_sales":
-            return M.fct_order_items_sales(self.stg("order_items"), self._buyers())
+            return M.fct_order_items_sales(self.stg("order_items"), self._buyers(), hot=self.hot_orders())
         if name == "fct_customer_rfm":
             return self._plan_rfm()
         if name == "fct_sales_wide":
@@ -267,6 +269,7 @@ class Warehouse:
                 self.table("dim_sellers"),
                 self.table("dim_payments"),
                 self._buyers(),
+                self.hot_orders(),
             )
             # Range partitioning by date: files and row groups carry tight
             # min/max statistics on order_date_key for filter pushdown.  The
@@ -320,6 +323,11 @@ class Warehouse:
         """Orders with their buyer, written once for the fact and the wide table."""
         return self._once("_order_buyers", lambda: M.orders_with_buyer(self.stg("orders"), self.stg("customers")))
 
+    def hot_orders(self) -> DataFrame | None:
+        """Orders with more items than an even share of a task (fewer than there are tasks), written once; none: no split."""
+        hot = self._once("_hot_orders", lambda: hot_keys(self.stg("order_items"), "order_id"))
+        return None if hot.isEmpty() else hot
+
     def drop(self) -> None:
         """Remove everything in this warehouse's folder; the next use builds it again."""
         files.remove(self.spark, self.root)
