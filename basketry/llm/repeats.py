@@ -353,13 +353,15 @@ def _removed(scratch: Scratch, pieces: list, sizes: np.ndarray, lows: np.ndarray
         at += len(block)
     x[flat] += 1
     del flat, keep
-    # smallest doc_id of the class of equal windows at each position
+    # at each position the smallest doc_id of its segment, and once its class of equal windows is closed, of the class
     low = scratch.array(len(x), np.int64)
+    for k in range(0, len(sizes), 1 << 12):
+        some = sizes[k:k + (1 << 12)]
+        low[starts[k]:starts[k + len(some)]] = np.repeat(lows[k:k + len(some)], some + 1)
     open_pos: list[np.ndarray] = []  # the class that the last block left open
 
     def close(pos: np.ndarray, classes: np.ndarray) -> None:
-        own = lows[np.searchsorted(starts, pos, "right") - 1]
-        least = np.minimum.reduceat(own, np.flatnonzero(np.diff(classes, prepend=-1)))
+        least = np.minimum.reduceat(low[pos], np.flatnonzero(np.diff(classes, prepend=-1)))
         low[pos] = least[classes]
 
     for pos, lcp in Suffixes(x, length, scratch).descending():
