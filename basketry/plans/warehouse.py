@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.hotkeys import hot_keys
 from basketry.plans import models as M
+from basketry.plans.declared import measures
 from basketry.profile import TEST_PROFILE, Profile
 from basketry.session import shared_root
 from basketry.sources import files, published
@@ -143,7 +144,8 @@ class Warehouse:
         self._raw_override = raw or {}
         self.made: list[str] = []  # tables that this warehouse has built, not found
         self._built: dict[str, DataFrame] = {}
-        self._lock = threading.Lock()  # guards the two dicts below
+        self._manifests: dict[str, tuple[DataFrame, published.Manifest]] = {}  # of the tables in _built that were published
+        self._lock = threading.Lock()  # guards the dicts
         self._building: dict[str, threading.Lock] = {}  # one lock per table: built once, by whoever asks first
         self._digests: dict[tuple[str, ...], str] = {}
 
@@ -204,10 +206,11 @@ class Warehouse:
         return f"{self.root}/{name}"
 
     def _write(self, name: str, df: DataFrame) -> DataFrame:
-        now = published.replace(df, self.path(name), {"fingerprint": self.fingerprint(name)})
+        now = published.replace(df, self.path(name), {"fingerprint": self.fingerprint(name)}, measures(name))
         out = published.read(self.spark, self.path(name), now)
         with self._lock:
             self._built[name] = out
+            self._manifests[name] = (out, now)
             self.made.append(name)
         return out
 
@@ -217,7 +220,26 @@ class Warehouse:
         now = published.current(self.spark, self.path(name)) if want else None
         if now is None or now.info.get("fingerprint") != want:
             return None
-        return published.read(self.spark, self.path(name), now)
+        out = published.read(self.spark, self.path(name), now)
+        with self._lock:
+            self._manifests[name] = (out, now)
+        return out
+
+    def _manifest(self, name: str) -> published.Manifest | None:
+        """The manifest of a table as this warehouse serves it; none for one that was put in its place."""
+        df = self.table(name)
+        with self._lock:
+            kept, now = self._manifests.get(name, (None, None))
+        return now if kept is df else None
+
+    def measured(self, name: str) -> DataFrame | None:
+        """What the table's write measured (one row), if that is known: see ``declared.measures``."""
+        now = self._manifest(name)
+        return None if now is None else published.measured(self.spark, self.path(name), now)
+
+    def measure(self, name: str, what: str) -> str | None:
+        now = self._manifest(name)
+        return None if now is None else now.info.get("measures", {}).get(what)
 
     def save_result(self, name: str, df: DataFrame) -> DataFrame:
         """Write a (small) job result below this warehouse and read it back."""

@@ -22,7 +22,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,12 +87,27 @@ def publish(spark: SparkSession, target: str, folders: Sequence[str], schema: St
     return _load(spark, target, number)
 
 
-def replace(df: DataFrame, target: str, info: dict | None = None) -> Manifest:
-    """Full refresh: one job writes ``df`` aside and counts it; then the table is the new rows and nothing else."""
+def replace(df: DataFrame, target: str, info: dict | None = None, measures: dict[str, Column] | None = None) -> Manifest:
+    """Full refresh: one job writes ``df`` aside and counts it; then the table is the new rows and nothing else.
+
+    ``measures`` are aggregates that the same job observes; the manifest keeps their values, as text.
+    """
     spark = df.sparkSession
     folder, seen = stage(target), Observation(f"rows-{uuid.uuid4().hex[:8]}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{target}/{folder}")
-    return publish(spark, target, [folder], df.schema, int(seen.get["rows"]), info)
+    asked = [m.cast("string").alias(name) for name, m in (measures or {}).items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *asked).write.parquet(f"{target}/{folder}")
+    got = seen.get
+    info = {**(info or {}), "measures": {name: got[name] for name in measures or {}}}
+    return publish(spark, target, [folder], df.schema, int(got["rows"]), info)
+
+
+def measured(spark: SparkSession, target: str, manifest: Manifest) -> DataFrame | None:
+    """One row, read from the manifest: ``rows`` and what the write observed, as text; none if it observed nothing."""
+    names = manifest.info.get("measures")
+    if not names:
+        return None
+    fields = ", ".join(f"`{n}`: string" for n in names)
+    return spark.read.schema(f"rows bigint, info struct<measures: struct<{fields}>>").json(_path(target, manifest.number)).select("rows", "info.measures.*")
 
 
 def paths(target: str, manifest: Manifest) -> list[str]:
