@@ -10,8 +10,10 @@ never lengthens a distance.
    the leading principal directions; a vector's cell is floor(projection / eps) in
    each of them.
 3. Epsilon grid order: a range sort by (label, cell, ...) cut into blocks of
-   at most ``block`` vectors.  Blocks whose cells lie more than one apart in any
-   direction are never paired; pairs are found by an equi-join on the first cell.
+   at most ``block`` vectors.  A block's vectors with equal cells in the first three
+   directions are a part; parts meet by an equi-join on these cells and their neighbours,
+   and those more than one cell apart in another direction never do.  A pair
+   of blocks gets only the parts that meet one of the other block.
 4. Each pair of blocks is joined recursively: the longer interval is halved,
    intervals provably distant are skipped, and small ones are multiplied.  Only
    link counts and a spanning set of links leave a pair, never all its pairs.
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 from basketry.llm.store import components, written
 
 GRID_DIMS = 6
+_KEY_DIMS = 3  # leading directions whose cells are the key of the blocks' equi-join
 _LEAF = 256
 
 
@@ -153,6 +156,31 @@ class _Join:
         self.parent = _hook(self.parent, a + i, c + j)
 
 
+def _near_cells(blocked: DataFrame, cs: list[str]) -> DataFrame:
+    """(i, j, block, leading cells): the parts of blocks i <= j, by their leading cells, that the join of this pair needs.
+
+    A block's part is a row with its leading cells and the ranges of its other cells.  Parts meet
+    by an equi-join on the leading cells, one side repeated for the cells around it; two parts more
+    than one cell apart in another direction are dropped.  Vectors that link always lie in parts that meet,
+    and every part meets itself.
+    """
+    lead, rest = cs[:_KEY_DIMS], cs[_KEY_DIMS:]
+    ends = [f(c).alias(f"{n}{c}") for c in rest for n, f in (("lo", F.min), ("hi", F.max))]
+    parts = written(blocked.groupBy("block", "label", "dim", *lead).agg(F.count(F.lit(1)).alias("size"), *ends), "parts")
+    around = parts
+    for c in lead:
+        around = around.withColumn(f"at_{c}", F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    other = parts.select(*[F.col(c).alias(f"r_{c}") for c in parts.columns])
+    near = (F.col("label") == F.col("r_label")) & (F.col("dim") == F.col("r_dim")) & (F.col("block") <= F.col("r_block"))
+    for c in lead:
+        near &= F.col(f"at_{c}") == F.col(f"r_{c}")
+    for c in rest:
+        near &= (F.col(f"lo{c}") <= F.col(f"r_hi{c}") + 1) & (F.col(f"r_lo{c}") <= F.col(f"hi{c}") + 1)
+    sides = F.array(*[F.struct(F.col(f"{r}block").alias("block"), *[F.col(f"{r}{c}").alias(c) for c in lead]) for r in ("", "r_")])
+    met = around.join(other, near).select(F.col("block").alias("i"), F.col("r_block").alias("j"), F.explode(sides).alias("part"))
+    return met.select("i", "j", "part.*").distinct()
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 2048, dims: int = GRID_DIMS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
@@ -192,16 +220,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, vec_id: str = "vec
     order = ["label", "dim", *cs, "cid"]
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     blocked = written(ordered.mapInArrow(number, ddl + "".join(f", {c} bigint" for c in cs) + ", block bigint"), "blocks")
-    bounds = blocked.groupBy("block", "label", "dim").agg(*[f(c).alias(f"{n}{c}") for c in cs for n, f in (("lo", F.min), ("hi", F.max))])
-    bounds = written(bounds, "bounds")
-    left = bounds.withColumn("at", F.explode(F.expr("sequence(loc0, hic0 + 1)")))
-    right = bounds.select(*[F.col(c).alias(f"r_{c}") for c in bounds.columns]).withColumn("r_at", F.explode(F.expr("sequence(r_loc0, r_hic0 + 1)")))
-    near = (F.col("label") == F.col("r_label")) & (F.col("dim") == F.col("r_dim")) & (F.col("at") == F.col("r_at")) & (F.col("block") <= F.col("r_block"))
-    for c in cs:
-        near &= (F.col(f"lo{c}") <= F.col(f"r_hi{c}") + 1) & (F.col(f"r_lo{c}") <= F.col(f"hi{c}") + 1)
-    pairs = left.join(right, near).select(F.col("block").alias("i"), F.col("r_block").alias("j")).distinct()
-    members = pairs.select("i", "j", F.explode(F.expr("array_distinct(array(i, j))")).alias("block"))
-    dealt = blocked.select("block", "cid", "many", "dim", "vec", *cs).join(members, "block")
+    pairs = _near_cells(blocked, cs)
+    dealt = blocked.select("block", "cid", "many", "dim", "vec", *cs).join(pairs, ["block", *cs[:_KEY_DIMS]])
 
     def join_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", *cs, "cid"]).reset_index(drop=True)

@@ -58,3 +58,38 @@ def test_empty(spark):
     assert embeddings.near_duplicates(none).count() == 0
     only = spark.createDataFrame([(1, None, 1), (2, [1.0], None)], "vec_id bigint, embedding array<float>, label int")
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(only).collect()) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_work_follows_the_rows_at_fixed_density(spark, monkeypatch):
+    """Clusters apart from each other: twice the clusters, about twice the vectors dealt to pairs of blocks, and far fewer than whole blocks whose cells overlap in bounds."""
+    from pyspark.sql import functions as F
+
+    dealt, whole = [], []
+    near = embeddings._near_cells
+
+    def watched(blocked, cs):
+        out = near(blocked, cs)
+        dealt.append(blocked.join(out, ["block", *cs[:3]]).count())
+        boxes = [r for r in blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{c}") for c in cs for k, f in (("lo", F.min), ("hi", F.max))]).collect()]
+        touch = [(a, b) for a in boxes for b in boxes if a.block <= b.block and all(a[f"lo{c}"] <= b[f"hi{c}"] + 1 and b[f"lo{c}"] <= a[f"hi{c}"] + 1 for c in cs)]
+        whole.append(sum(a.n + (b.n if a.block < b.block else 0) for a, b in touch))
+        return out
+
+    monkeypatch.setattr(embeddings, "_near_cells", watched)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(64, 6))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    for clusters in (32, 64):
+        rows = [(k, (centres[k % clusters] + 0.01 * rng.normal(size=6)).tolist(), 1) for k in range(40 * clusters)]
+        out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=40)
+        assert out.agg(F.min("n_links")).first()[0] >= 39
+    assert dealt[1] < 3 * dealt[0] and dealt[1] < whole[1] / 2, (dealt, whole)
+
+
+def test_fewer_directions_than_key_cells(spark):
+    rows = [(k, [math.cos(k / 9), math.sin(k / 9)], 1) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    want = brute(rows, 0.98)
+    for dims in (1, 2, 3):
+        out = embeddings.near_duplicates(df, 0.98, block=7, dims=dims).collect()
+        assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
