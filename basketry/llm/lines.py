@@ -6,26 +6,34 @@ least ``min_chars`` code points found in at least ``min_docs`` documents loses i
 lines in all of them but the one with the largest doc_id.
 
 1. Each task puts the key hashes of its rows into a "seen once" and a "seen
-   twice" filter (by document) and sends them as sparse blocks of 65,536 bits.
+   twice" filter (by row) and sends them as sparse blocks of 65,536 bits.
    Blocks merge as twice = A.twice | B.twice | (A.once & B.once),
-   once = A.once | B.once, so a key of two documents is always in "twice".
-   The filter has a fixed number of bits (16 MB, the bound of its broadcast).
-   With more lines than it holds well it only names more suspects.
-2. Only lines in the "twice" filter shuffle, as (128-bit digest, doc_id): an
-   exact count of distinct documents and the largest doc_id.
-3. The digests that a document loses are joined to it by doc_id.  Their table is
+   once = A.once | B.once, as a stream in block order, so a key of two rows is always in "twice".
+   A filter has 2**27 to 2**30 bits (16 to 128 MB, the bound of its broadcast),
+   5.6 for each key; the keys are bounded by the counted lines and bytes of the
+   input.  More keys than one filter of 2**30 bits takes are dealt by hash over several
+   filters, each built and used in a scan of its own.  A key that is in one
+   row only is suspected with a probability of at most (1 - exp(-3 / 5.6)) ** 3,
+   7 %, at every size.
+2. Only lines in the "twice" filter shuffle, as (128-bit digest, doc_id, hash of the
+   text): an exact count of distinct documents and the largest doc_id.
+3. The digests that a document loses are joined to each of its rows by doc_id and hash
+   of the text, so the rows of one doc_id, or without any, don't share one list.  Their table is
    written first, so Spark's planner knows its size: it broadcasts a small one
    and otherwise shuffles.
 
 Defined cases: rows with one doc_id are one document (a line kept there is kept in
 all its rows); rows with a null doc_id are one document smaller than any other.
-Null texts keep being null.  Empty tables give empty results.  Other columns are
+Very long texts are read whole, in slices of whole rows.  Null texts keep being null.  Empty tables give empty results.  Other columns are
 carried unchanged (``n_chars`` follows the new text), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +43,8 @@ from pyspark.sql import functions as F
 from basketry.llm import text as tx
 from basketry.llm.store import written
 
-FILTER_BITS = 27
+MIN_FILTER_BITS, MAX_FILTER_BITS = 27, 30
+BITS_A_KEY = 5.6
 _BLOCK_BITS = 16
 _PROBES = 3
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -57,19 +66,45 @@ def _long_lines(data: np.ndarray, off: np.ndarray, min_chars: int):
     return np.searchsorted(off, s, "right") - 1, s, e, tx.word_hashes(data, s, e, polynomial=len(data))  # a collision is one more suspect
 
 
-def _probes(hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The block of each hash, and its bits inside the block."""
-    block = (hashes >> np.uint64(64 - (FILTER_BITS - _BLOCK_BITS))).astype(np.int64)
-    return block, [((hashes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in range(_PROBES)]
+@dataclass(frozen=True)
+class Share:
+    """One filter of ``of``: which keys it is for, and its size."""
 
+    part: int
+    of: int
+    bits: int
 
-def _bit_positions(hashes: np.ndarray) -> np.ndarray:
-    block, bits = _probes(hashes)
-    return np.unique(np.concatenate([(block << _BLOCK_BITS) | b for b in bits])) if len(hashes) else np.zeros(0, np.int64)
+    def takes(self, hashes: np.ndarray) -> np.ndarray:
+        if self.of == 1:
+            return np.ones(len(hashes), bool)
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(self.of) == self.part
 
+    def probes(self, hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The block of each hash, and its bits inside the block."""
+        block = (hashes >> np.uint64(64 - (self.bits - _BLOCK_BITS))).astype(np.int64)
+        return block, [((hashes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in range(_PROBES)]
 
-def twice_filter(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> np.ndarray:
-    """The "seen in two documents" filter over all documents, as packed bits."""
+    def positions(self, hashes: np.ndarray) -> np.ndarray:
+        block, bits = self.probes(hashes)
+        return np.unique(np.concatenate([(block << _BLOCK_BITS) | b for b in bits])) if len(hashes) else np.zeros(0, np.int64)
+
+
+def shares(docs: DataFrame, min_chars: int, text: str) -> list[Share]:
+    """Filters for all keys: at most one for each line, and for each ``min_chars`` bytes with a line break."""
+    size, breaks = F.octet_length(text), F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    got = docs.where(F.col(text).isNotNull()).agg(F.sum(F.least(breaks + 1, F.floor((size + 1) / (min_chars + 1)))).alias("n")).first()
+    return filters_for(int(got.n or 0))
+
+
+def filters_for(keys: int) -> list[Share]:
+    want = max(1, math.ceil(keys * BITS_A_KEY))
+    bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, (want - 1).bit_length()))
+    of = -(-want // (1 << bits))
+    return [Share(k, of, bits) for k in range(of)]
+
+
+def twice_filter(docs: DataFrame, min_chars: int, text: str, share: Share) -> np.ndarray:
+    """The "seen in two rows" filter over all documents, as packed bits."""
 
     def local(batches):
         """Sparse blocks of both filters for a bounded number of lines at a time; the merge adds them up."""
@@ -77,7 +112,7 @@ def twice_filter(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> np.
 
         def blocks():
             seen, times = np.unique(np.concatenate(held), return_counts=True)
-            once, twice = _bit_positions(seen), _bit_positions(seen[times > 1])
+            once, twice = share.positions(seen), share.positions(seen[times > 1])
             ids, at = np.unique(once >> _BLOCK_BITS, return_index=True)
             cut = np.searchsorted(twice >> _BLOCK_BITS, np.append(ids, 1 << 62))
             at = np.append(at, len(once))
@@ -89,6 +124,8 @@ def twice_filter(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> np.
         for b in batches:
             for rows, data, off in tx.slices(b, text):
                 row, _, _, h = _long_lines(tx.lower(data), off, min_chars)
+                mine = share.takes(h)
+                row, h = row[mine], h[mine]
                 if len(h):
                     order = np.lexsort((h, row))
                     row, h = row[order], h[order]
@@ -102,27 +139,37 @@ def twice_filter(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> np.
         if held:
             yield blocks()
 
-    def merge(key, table):
-        once, twice = np.zeros(1 << _BLOCK_BITS, bool), np.zeros(1 << _BLOCK_BITS, bool)
-        for o, t in zip(table.column("once"), table.column("twice")):
-            o, t = np.frombuffer(o.as_buffer(), np.uint16), np.frombuffer(t.as_buffer(), np.uint16)
-            twice[o[once[o]]] = True
-            twice[t] = True
-            once[o] = True
-        return pa.table({"block": pa.array([key[0].as_py()]), "bits": pa.array([np.packbits(twice).tobytes()])})
+    def merge(batches):
+        """Rows come in block order: one block's bits are held at a time."""
+        at, once, twice = None, None, None
+        for b in batches:
+            for block, o, t in zip(b.column("block").to_pylist(), b.column("once"), b.column("twice")):
+                if block != at:
+                    if at is not None:
+                        yield packed(at, twice)
+                    at, once, twice = block, np.zeros(1 << _BLOCK_BITS, bool), np.zeros(1 << _BLOCK_BITS, bool)
+                o, t = np.frombuffer(o.as_buffer(), np.uint16), np.frombuffer(t.as_buffer(), np.uint16)
+                twice[o[once[o]]] = True
+                twice[t] = True
+                once[o] = True
+        if at is not None:
+            yield packed(at, twice)
+
+    def packed(block, twice):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["block", "bits"])
 
     found = docs.select(text).mapInArrow(local, "block bigint, once binary, twice binary")
-    merged = found.groupBy("block").applyInArrow(merge, "block bigint, bits binary")
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    merged = found.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block bigint, bits binary")
+    out = np.zeros(1 << (share.bits - 3), np.uint8)
     width = 1 << (_BLOCK_BITS - 3)
-    for r in merged.toLocalIterator():  # at most 2,048 rows of 8 KB
+    for r in merged.toLocalIterator():  # at most 16,384 rows of 8 KB
         out[r.block * width:(r.block + 1) * width] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _suspected(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    block, probes = _probes(hashes)
-    yes = np.ones(len(hashes), bool)
+def _suspected(bits: np.ndarray, share: Share, hashes: np.ndarray) -> np.ndarray:
+    block, probes = share.probes(hashes)
+    yes = share.takes(hashes)
     for p in probes:
         at = (block << _BLOCK_BITS) | p
         yes &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -133,34 +180,37 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def suspects(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
-    """(key, doc_id): each suspected key once for each row that holds it."""
-    bits = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, doc_id, text))
+def suspects(docs: DataFrame, min_chars: int, share: Share) -> DataFrame:
+    """(key, doc_id, same): each suspected key of a share once for each row that holds it; ``docs`` has doc_id, text, same."""
+    bits = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, "text", share))
 
     def scan(batches):
         for b in batches:
-            for rows, data, off in tx.slices(b, text):
+            for rows, data, off in tx.slices(b, "text"):
                 data = tx.lower(data)
                 row, s, e, h = _long_lines(data, off, min_chars)
-                yes = _suspected(bits.value, h)
+                yes = _suspected(bits.value, share, h)
                 if not yes.any():
                     continue
                 raw = data.tobytes()
                 pairs = sorted({(r, _digest(raw[i:j])) for r, i, j in zip(row[yes].tolist(), s[yes].tolist(), e[yes].tolist())})
-                ids = rows.column(doc_id).take(pa.array([r for r, _ in pairs], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([k for _, k in pairs], pa.binary()), ids], ["key", "doc_id"])
+                at = pa.array([r for r, _ in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([k for _, k in pairs], pa.binary()), rows.column("doc_id").take(at), rows.column("same").take(at)], ["key", "doc_id", "same"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(scan, f"key binary, doc_id {kind}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = written(docs.mapInArrow(scan, f"key binary, doc_id {kind}, same bigint"), "suspects")
+    bits.destroy()
+    return found
 
 
 def losses(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, keys): the digests of the keys whose lines a document loses."""
-    pairs = written(suspects(docs.select(doc_id, text), min_chars, doc_id, text), "suspects")
-    pairs = pairs.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).select("key", "doc_id")
-    confirmed = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep")
+    """(doc_id, same, keys): the digests of the keys whose lines a document loses, for each of its texts (``same``: their xxhash64)."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
+    pairs = reduce(DataFrame.unionByName, [suspects(docs, min_chars, share) for share in shares(docs, min_chars, "text")])
+    held = pairs.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    confirmed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep")
     lost = pairs.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    return written(lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "losses")
+    return written(lost.groupBy("doc_id", "same").agg(F.collect_set("key").alias("keys")), "losses")
 
 
 def _kept(text: str | None, keys: list[bytes], min_chars: int) -> tuple[list[str], int]:
@@ -177,9 +227,10 @@ def _kept(text: str | None, keys: list[bytes], min_chars: int) -> tuple[list[str
 
 def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """All columns of ``docs`` as ``d_<name>`` (the text without its lost lines, if ``with_text``), n_lines, n_dropped, kept_sha256."""
-    lost = losses(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
+    lost = losses(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), F.col("keys").alias("__keys"))
     base = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns])
-    base = base.join(lost, F.col(f"d_{doc_id}").eqNullSafe(F.col("__id")), "left").drop("__id")
+    mine = F.col(f"d_{doc_id}").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"d_{text}")) == F.col("__same"))
+    base = base.join(lost, mine, "left").drop("__id", "__same")
     fields = [f for f in base.schema.fields if f.name != "__keys" and (with_text or f.name != f"d_{text}")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines bigint, n_dropped bigint, kept_sha256 string"
     col = f"d_{text}"

@@ -231,6 +231,42 @@ def test_sharding_moves_little(spark):
     assert sum(a[i] != more[i] for i in a) < 200
 
 
+def test_line_dedup_with_several_small_filters(spark, docs, rows, monkeypatch):
+    """Keys dealt by hash over three filters of 2**18 bits: the same result."""
+    whole = got(lines.dedup(docs, with_text=False), "d_doc_id", "n_lines", "n_dropped", "kept_sha256")
+    monkeypatch.setattr(lines, "filters_for", lambda n: [lines.Share(k, 3, 18) for k in range(3)])
+    assert got(lines.dedup(docs, with_text=False), "d_doc_id", "n_lines", "n_dropped", "kept_sha256") == whole
+
+
+def test_filters_follow_the_keys(spark, monkeypatch):
+    assert lines.filters_for(0) == [lines.Share(0, 1, 27)] and lines.filters_for(100_000_000) == [lines.Share(0, 1, 30)]
+    many = lines.filters_for(1_400_000_000)  # the bound of 30 GB
+    assert len(many) == 8 and {s.bits for s in many} == {30} and [s.part for s in many] == list(range(8))
+    # as many unique lines as a filter is made for: few are suspected
+    monkeypatch.setattr(lines, "MIN_FILTER_BITS", 18)
+    monkeypatch.setattr(lines, "MAX_FILTER_BITS", 18)
+    n = int(2 ** 18 / lines.BITS_A_KEY) * 2
+    one = [(k, "\n".join(f"unique line number {k * 100 + j:08d}" for j in range(100))) for k in range(n // 100)]
+    docs = spark.createDataFrame(one, "doc_id bigint, text string").repartition(6).selectExpr("*", "1L as same")
+    made = lines.shares(docs, 20, "text")
+    assert [(s.of, s.bits) for s in made] in ([(2, 18)] * 2, [(3, 18)] * 3)
+    found = sum(lines.suspects(docs, 20, s).count() for s in made)
+    assert 0 < found < 0.1 * n
+
+
+def test_rows_without_an_id_get_their_own_keys(spark):
+    """A third of the rows has no id, another third one id: no list of keys is longer than a text has lines."""
+    line = [f"a line of over twenty characters {k}" for k in range(90)]
+    more = [(None, line[k]) for k in range(30)] + [(5, line[k]) for k in range(30)] + [(10 + k % 3, line[k // 3]) for k in range(90)] + [(None, line[0])] * 40
+    docs = frame(spark, more)
+    assert lines.losses(docs, 20, 3).selectExpr("max(size(keys)) as n").first().n == 1
+    want = Counter()
+    for i, t in more:
+        ls, kept = kept_lines(more, i, t)
+        want[i, len(ls), len(ls) - len(kept)] += 1
+    assert got(lines.dedup(docs), "d_doc_id", "n_lines", "n_dropped") == want
+
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 
