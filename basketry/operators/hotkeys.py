@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 TRACKED = 10_000  # keys that a sketch holds
 FINER = 4  # pieces of a hot key for each even share of a task: chance puts several into one task, small ones even out
-_PIECES, _PIECE = "__pieces", "__piece"
+PIECES, _PIECE = "__pieces", "__piece"
 
 
 def hot_keys(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def hot_keys(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
     sketch = rows.agg(F.expr(f"approx_top_k(k, {tasks}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
     each = sketch.select("n", F.explode("top").alias("t")).select("n", F.col("t.item").alias(key), F.col("t.count").alias("c"))
-    return each.where(F.col("c") * tasks > F.col("n")).select(key, F.ceil(F.col("c") * (FINER * tasks) / F.col("n")).cast("int").alias(_PIECES))
+    return each.where(F.col("c") * tasks > F.col("n")).select(key, F.ceil(F.col("c") * (FINER * tasks) / F.col("n")).cast("int").alias(PIECES))
 
 
 def split_join(many: DataFrame, one: DataFrame, key: str, apart: Sequence[str], hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -48,7 +48,7 @@ def split_join(many: DataFrame, one: DataFrame, key: str, apart: Sequence[str],
     if how not in ("inner", "left"):
         raise ValueError(f"not a join of one side's rows: {how}")
     hot = F.broadcast(hot)
-    piece = F.coalesce(F.pmod(F.xxhash64(*apart), F.col(_PIECES)), F.lit(0)).cast("int")
-    dealt = many.join(hot, key, "left").withColumn(_PIECE, piece).drop(_PIECES)
-    copies = one.join(hot, key, "left").withColumn(_PIECE, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_PIECES), F.lit(1)) - 1))).drop(_PIECES)
+    piece = F.coalesce(F.pmod(F.xxhash64(*apart), F.col(PIECES)), F.lit(0)).cast("int")
+    dealt = many.join(hot, key, "left").withColumn(_PIECE, piece).drop(PIECES)
+    copies = one.join(hot, key, "left").withColumn(_PIECE, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(PIECES), F.lit(1)) - 1))).drop(PIECES)
     return dealt.join(copies, [key, _PIECE], how).drop(_PIECE)
