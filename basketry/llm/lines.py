@@ -17,6 +17,7 @@ lines in all of them but the one with the largest doc_id.
    7 %, at every size.
 2. Only lines in the "twice" filter shuffle, as (128-bit digest, doc_id, hash of the
    text): an exact count of distinct documents and the largest doc_id.
+   A key in more documents than an even share of a task is dealt in pieces.
 3. The digests that a document loses are joined to each of its rows by doc_id and hash
    of the text, so the rows of one doc_id, or without any, don't share one list.  Their table is
    written first, so Spark's planner knows its size: it broadcasts a small one
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import text as tx
 from basketry.llm.store import written
+from basketry.operators.hotkeys import FINER, PIECES, split_join
 
 MIN_FILTER_BITS, MAX_FILTER_BITS = 27, 30
 BITS_A_KEY = 5.6
@@ -203,13 +205,22 @@ def suspects(docs: DataFrame, min_chars: int, share: Share) -> DataFrame:
     return found
 
 
+def _hot(confirmed: DataFrame) -> DataFrame:
+    """(key, pieces) of the keys in more documents than an even share of a task: fewer keys than tasks."""
+    tasks = int(confirmed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = confirmed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    return confirmed.where(F.col("n") * tasks > total).select("key", F.ceil(F.col("n") * (FINER * tasks) / total).cast("int").alias(PIECES))
+
+
 def losses(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, same, keys): the digests of the keys whose lines a document loses, for each of its texts (``same``: their xxhash64)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
     pairs = reduce(DataFrame.unionByName, [suspects(docs, min_chars, share) for share in shares(docs, min_chars, "text")])
     held = pairs.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-    confirmed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep")
-    lost = pairs.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    confirmed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
+    confirmed = written(confirmed, "confirmed")
+    lost = split_join(pairs, confirmed.select("key", "keep"), "key", ["doc_id", "same"], _hot(confirmed))
+    lost = lost.where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return written(lost.groupBy("doc_id", "same").agg(F.collect_set("key").alias("keys")), "losses")
 
 

@@ -260,6 +260,9 @@ def test_rows_without_an_id_get_their_own_keys(spark):
     more = [(None, line[k]) for k in range(30)] + [(5, line[k]) for k in range(30)] + [(10 + k % 3, line[k // 3]) for k in range(90)] + [(None, line[0])] * 40
     docs = frame(spark, more)
     assert lines.losses(docs, 20, 3).selectExpr("max(size(keys)) as n").first().n == 1
+    confirmed = spark.createDataFrame([(b"common", 1000)] + [(b"%d" % k, 3) for k in range(300)], "key binary, n bigint")
+    hot = lines._hot(confirmed).collect()
+    assert [bytes(r[0]) for r in hot] == [b"common"] and hot[0][1] > 4
     want = Counter()
     for i, t in more:
         ls, kept = kept_lines(more, i, t)
