@@ -9,9 +9,12 @@ ridge, by Newton's method.  The raw score's quantile at the share of label 0
 among the learning rows is the threshold, and the score is the
 logistic function of the distance to it.
 
-Learning uses at most ``max_rows`` labelled rows (by hash of doc_id; the documented
-bound) and ``max_pairs`` pairs drawn with a fixed seed; each row takes part in
-pairs equally often.  Scoring is one scan, no shuffle.
+Learning takes every labelled row.  Their features are cut into bins at quantiles that one sketch aggregate over
+all of them finds (rank error 1 / 1,000; any edges are exact to score by), and stored as one byte a feature.  The rows are
+dealt into blocks of about 4,096 by their place in the order (label, hash of doc_id), which gives every block its
+share of both labels; pairs are drawn inside a block with its number as seed, each row of either label as often as the others
+and at least once.  A Newton step is one pass over the blocks whose sums (some 330 x 330 numbers) are added up on
+the executors; only the total comes to the driver.  Scoring is one scan, no shuffle.
 
 Defined cases: null and empty texts have all-zero features and are scored like any text.  A null doc_id
 is never held out and never learned from.  Of several labels of a doc_id the largest
@@ -21,6 +24,7 @@ Repeated rows are scored each on their own; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import text as tx
+from basketry.operators.placed import placed
+from basketry.session import shared_root
 
-MAX_ROWS = 20_000
-MAX_PAIRS = 60_000
+BLOCK = 4096  # learning rows that meet in pairs
+PAIRS = 8192  # pairs of a block, if its rows are fewer (at most 20 for a row)
 BINS = 12
 
 
@@ -98,53 +104,123 @@ def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([(x[:, [j]] > e[None, :]) for j, e in enumerate(edges)], axis=1).astype(float) if len(x) else np.zeros((0, sum(map(len, edges))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = 3.0) -> Ranking:
-    """Bradley-Terry: P(a over b) = logistic(w . (a - b)), for pairs of a (label 1) and b (label 0)."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+def _codes(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers of every feature: how many edges lie below the number."""
+    return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+
+
+def _indicators(codes: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """``_binned`` from the bin numbers."""
+    return np.concatenate([codes[:, [j]] > np.arange(len(e))[None, :] for j, e in enumerate(edges)], axis=1).astype(float)
+
+
+def _differences(block: dict, edges: list[np.ndarray]) -> np.ndarray:
+    """Feature differences of the pairs of a block, the better text first."""
+    good, bad = (np.frombuffer(block[k], np.uint8).reshape(-1, len(edges)) for k in ("good", "bad"))
+    if not len(good) or not len(bad):
+        return np.zeros((0, sum(map(len, edges))))
+    rng, most = np.random.default_rng([7, block["block"]]), max(len(good), len(bad))
+    pairs = most * min(20, max(1, PAIRS // most))
+    a = np.concatenate([rng.permutation(len(good)) for _ in range(-(-pairs // len(good)))])[:pairs]
+    b = np.concatenate([rng.permutation(len(bad)) for _ in range(-(-pairs // len(bad)))])[:pairs]
+    return _indicators(good, edges)[a] - _indicators(bad, edges)[b]
+
+
+def _newton_sums(blocks: DataFrame, edges: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the logistic loss over the pairs of all blocks."""
+    k = len(w)
+
+    def part(batches):
+        total = np.zeros((k + 1, k))
+        for batch in batches:
+            for block in batch.to_pylist():
+                d = _differences(block, edges)
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # the chance given to the wrong order
+                total[:k] += (d.T * (p * (1 - p))) @ d
+                total[k] += d.T @ p
+        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
+
+    def add(table):
+        v = table.column("v").combine_chunks()
+        total = v.flatten().to_numpy().reshape(-1, k).sum(axis=0)
+        return pa.table({"i": table.column("i")[:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+    sums = blocks.mapInArrow(part, "i int, v array<double>").groupBy("i").applyInArrow(add, "i int, v array<double>").collect()
+    by = {r["i"]: np.array(r["v"]) for r in sums}
+    return by[k], np.array([by[i] for i in range(k)])
+
+
+def fit(rows: DataFrame, ridge: float = 3.0) -> Ranking | None:
+    """Bradley-Terry: P(a over b) = logistic(w . (a - b)), for pairs of a (label 1) and b (label 0).
+
+    ``rows`` (doc_id, x, y): every labelled row with its features, none left out.
+    """
+    spark = rows.sparkSession
+    h = F.xxhash64("doc_id", "x")
+    spread, _ = placed(rows.select("x", F.col("y").cast("int").alias("y"), h.alias("h")), [("y", True), ("h", False)])
+    n, m = spread.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < m < n:
+        return None
+    rare = F.col("y") == (1 if 2 * m < n else 0)
+    width, cuts = len(FEATURES), [k / BINS for k in range(1, BINS)]
+    asked = [F.percentile_approx(F.get("x", F.lit(j)), cuts, 1000) for j in range(width)]
     # the rarer label has its own quantiles too: what sets it apart may lie in one tail
-    rare = y == (1 if y.mean() < 0.5 else 0)
-    edges = [np.union1d(e, np.quantile(x[rare, j], [0.1, 0.5, 0.9])) for j, e in enumerate(edges)]
-    z = _binned(x, edges)
-    rng = np.random.default_rng(7)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    pairs = min(max_pairs, 20 * max(len(good), len(bad)))
-    # every row of either side equally often
-    a = np.concatenate([rng.permutation(good) for _ in range(-(-pairs // len(good)))])[:pairs]
-    b = np.concatenate([rng.permutation(bad) for _ in range(-(-pairs // len(bad)))])[:pairs]
-    d = z[a] - z[b]
-    w = np.zeros(z.shape[1])
+    asked += [F.percentile_approx(F.when(rare, F.get("x", F.lit(j))), [0.1, 0.5, 0.9], 1000) for j in range(width)]
+    got = spread.agg(*asked).first()
+    edges = [np.union1d(got[j], got[width + j]) for j in range(width)]
+    count = max(1, min(m, n - m, -(-n // BLOCK)))
+
+    def code(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("y"), pa.array([c.tobytes() for c in _codes(x, edges)], pa.binary())], ["block", "y", "c"])
+
+    def gather(table):
+        y, c = table.column("y").to_numpy(), table.column("c").to_pylist()
+        c = sorted(zip(y.tolist(), c))  # the same pairs in whichever order the rows arrive
+        return pa.table({"block": table.column("block")[:1], "good": [b"".join(v for k, v in c if k)], "bad": [b"".join(v for k, v in c if not k)]})
+
+    coded = spread.select(F.pmod("__pos", F.lit(count)).alias("block"), "y", "x").mapInArrow(code, "block bigint, y int, c binary")
+    kept = f"{shared_root(spark)}/basketry-quality/{uuid.uuid4().hex}"
+    coded.groupBy("block").applyInArrow(gather, "block bigint, good binary, bad binary").write.parquet(kept)
+    blocks = spark.read.schema("block bigint, good binary, bad binary").parquet(kept)
+
+    w = np.zeros(sum(map(len, edges)))
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # the chance given to the wrong order
-        step = np.linalg.solve((d.T * (p * (1 - p))) @ d + ridge * np.eye(len(w)), d.T @ p - ridge * w)
+        slope, curve = _newton_sums(blocks, edges, w)
+        step = np.linalg.solve(curve + ridge * np.eye(len(w)), slope - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
-    raw = z @ w
-    share = len(bad) / len(y)
-    low, high = np.quantile(raw, share, method="lower"), np.quantile(raw, share, method="higher")
+
+    def raw(batches):
+        for b in batches:
+            for block in b.to_pylist():
+                codes = np.frombuffer(block["good"] + block["bad"], np.uint8).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([pa.array(_indicators(codes, edges) @ w)], ["raw"])
+
+    share = (n - m) / n
+    low, high = blocks.mapInArrow(raw, "raw double").agg(F.percentile_approx("raw", [share, min(1.0, share + 1 / n)], 100_000)).first()[0]
     return Ranking(edges, w, float((low + high) / 2))
 
 
-def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fold_of: int = 3, held: int = 1, max_rows: int = MAX_ROWS) -> Ranking | None:
-    """Fits on a bounded sample of labelled rows; its features (26 numbers a row) come to the driver."""
+def learn(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fold_of: int = 3, held: int = 1) -> Ranking | None:
+    """Fits on every labelled row outside the held-out fold; features (26 numbers a row) are measured before the join, so no text is shuffled."""
+    def taught(c):
+        return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(fold_of)) != held
+
     one = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("double").alias("y"))
-    part = F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(fold_of))
-    some = one.where(part != held).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & taught("doc_id"))
 
     def measure(batches):
         for b in batches:
             for part, data, off in tx.slices(b, "text"):
                 x = features(data, off)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), part.column("y")], ["doc_id", "x", "y"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    # a doc_id that is repeated in documents counts once for each distinct row, up to the bound
-    got = rows.mapInArrow(measure, f"doc_id {kind}, x array<double>, y double").orderBy("doc_id", "x").limit(max_rows).toPandas()
-    y = got["y"].to_numpy() > 0 if len(got) else np.zeros(0, bool)
-    if not y.any() or y.all():
-        return None
-    return fit(np.array(got["x"].tolist()), y.astype(int))
+    measured = rows.mapInArrow(measure, f"doc_id {kind}, x array<double>").join(one.where(taught("__id")), F.col("doc_id") == F.col("__id"))
+    return fit(measured.select("doc_id", "x", (F.col("y") > 0).cast("int").alias("y")))
 
 
 def rate(docs: DataFrame, ranking: Ranking | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -89,3 +89,20 @@ def test_toxicity_of_rare_labels(spark):
     lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     weights = toxicity.learn(frame(spark, docs), lab, fold_of=1, held=1).weights
     assert 2.5 <= weights[" vilewort "] < weights[" scumfoo "] and " plain " not in weights
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """25,000 rows, all in the blocks of the fit, with both labels (a sample stopped at 20,000)."""
+    rows = [(i, "one | two | three" if i % 200 == 0 else f"plain words of text {i % 7}") for i in range(25_000)]
+    lab = spark.createDataFrame([(i, int(i % 200 != 0)) for i, _ in rows], "doc_id bigint, quality int")
+    seen = []
+    kept = quality._newton_sums
+    quality._newton_sums = lambda blocks, edges, w: (seen or seen.append(blocks.selectExpr(
+        "sum(length(good)) g", "sum(length(bad)) b", "count(*) n").first())) and None or kept(blocks, edges, w)
+    try:
+        out = quality.rate(frame(spark, rows), quality.learn(frame(spark, rows), lab, fold_of=1, held=1))
+    finally:
+        quality._newton_sums = kept
+    width = len(quality.FEATURES)
+    assert (seen[0].g, seen[0].b, seen[0].n) == ((25_000 - 125) * width, 125 * width, 7)
+    assert {r.predicted for r in out.where("doc_id % 200 = 0").selectExpr("int(score >= 0.5) predicted").collect()} == {0}
