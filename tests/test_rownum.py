@@ -69,3 +69,14 @@ def test_empty_and_one_path(spark):
     """No size switch: one row and no row go through the same steps."""
     for rows in ([], [(1, 2, 3)]):
         _compare(spark, rows, False)
+
+
+def test_ordinary_keys_by_window_hot_and_null_keys_by_range(spark):
+    from basketry.operators.rownum import split_row_number
+
+    rows = [(None if i % 11 == 0 else 1 if i % 3 else i % 40, i % 7, i) for i in range(1200)]
+    for some in (rows, [(i % 400, i % 7, i) for i in range(1200)]):
+        df = spark.createDataFrame(some, "k long, v long, id long")
+        mine = split_row_number(df, "k", [("v", True), ("id", False)], "rn")
+        ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), "id")))
+        assert sorted((r.id, r.rn) for r in mine.collect()) == sorted((r.id, r.rn) for r in ref.collect())

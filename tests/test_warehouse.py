@@ -81,3 +81,18 @@ def test_changed_input_is_seen_and_drop_removes(spark, tmp_path):
     second.drop()
     assert not os.path.exists(second.root)
     assert second.raw("sellers").count() == 3  # built again
+
+
+def test_wide_table_is_the_star_join_and_leaves_the_fact_unwritten(spark):
+    """Orders and customers that come twice included: joined at order grain, the wide table has each row as often as the joins of the marts."""
+    from basketry.plans import models as M
+    from basketry.sources.binding import raw_customers, raw_orders
+
+    twice = {n: f(spark, SF).unionAll(f(spark, SF).where("customer_id % 7 = 0")) for n, f in (("orders", raw_orders), ("customers", raw_customers))}
+    for raw in (None, twice):
+        wh = Warehouse(spark, SF, raw=raw)
+        wide = wh.table("fct_sales_wide")
+        assert "fct_order_items_sales" not in wh.made
+        star = M.sales_star_join(*[wh.table(t) for t in ("fct_order_items_sales", "dim_time", "dim_customers", "dim_products", "dim_sellers", "dim_payments")], wh._buyers())
+        assert wide.schema.simpleString() == star.schema.simpleString()
+        assert wide.count() == star.count() and wide.exceptAll(star).isEmpty()
