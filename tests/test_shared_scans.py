@@ -61,3 +61,20 @@ def test_bad_dates_do_not_widen_the_calendar(spark):
     assert tuple(got) == (730, "2017-01-01", "2018-12-31", 730)
     assert tuple(M.implausible_dates(orders).first()) == (1, 2)
     assert M.calendar_days(orders.where("false")).count() == 0
+
+
+def test_rollup_deals_items_by_order_and_combines_hot_ones(spark, wh):
+    wide = wh.table("fct_sales_wide")
+    sums = [F.sum(c).alias(c) for c in ("price", "freight_value", "item_total_amount")]
+    want = wide.groupBy(*M.ROLLUP_KEYS).agg(*sums, F.count(F.lit(1)).alias("items"))
+    hot = wide.groupBy("order_id").count().orderBy(F.desc("count"), "order_id").limit(2).select("order_id", F.lit(3).alias("__pieces"))
+    for one in (None, hot):
+        got = M.order_rollup(wide, wh.table("dim_time"), 3, one)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert rows(got) == rows(want)
+    plan = M.order_rollup(wide, wh.table("dim_time"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(order_id" in plan
+
+
+def test_buyers_are_written_without_unused_dates(wh):
+    assert not {"order_approved_at", "order_delivered_carrier_date"} & set(wh._buyers().columns)
