@@ -3,7 +3,8 @@
 Each job writes into a fresh folder below the shared root and returns the
 rows it reads back (or its audit); the reference SQL is the plain select of
 the same input.  Landing files hold their columns in two orders, as files of two exports
-would.  No timestamps or paths are returned.
+would; those without quoted line breaks are gzipped, each with a bounded number of records, as one task
+reads each.  No timestamps or paths are returned.
 """
 
 from __future__ import annotations
@@ -19,25 +20,32 @@ from basketry.catalog.core import QUERIES, from_query, register, wh
 from basketry.session import shared_root
 from basketry.sources import loaders as L
 from basketry.sources import published
-from basketry.sources.binding import RAW_TABLES, SIDE_TABLES
+from basketry.sources.binding import RAW_TABLES, SIDE_TABLES, raw_table
 from basketry.sources.schemas import MULTI_LINE
 from basketry.streaming.chunked_load import load_in_chunks, read_loaded
 
+LANDING_RECORDS = 1_000_000  # in a gzipped landing file, about 70 MB of text
+
 
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/basketry-io/{what}-{uuid.uuid4().hex[:10]}"
 
 
 def _csv_extract(spark: SparkSession, sf_dir: str, table: str, files: int | None = None) -> tuple[str, DataFrame]:
-    """Write a raw table as CSV files (the landing copy) and return its folder."""
-    raw = wh(spark, sf_dir).raw(table)
+    """Write a raw table as CSV files (the landing copy) and return its folder.
+
+    Plain files where their splits matter: with quoted line breaks, and where a chunk of the load is one of ``files``.
+    """
+    # no mart reads the side tables: the landing copy is the first that is written of them
+    raw = raw_table(spark, sf_dir, table) if table in SIDE_TABLES else wh(spark, sf_dir).raw(table)
     if table == "category_name_translation":
         raw = raw.withColumnsRenamed({v: k for k, v in L.TRANSLATION_COLUMNS.items()})
     path = scratch(spark, f"landing-{table}")
     rows = raw.repartition(files) if files else raw
     swap = F.pmod(F.xxhash64(raw.columns[0]), F.lit(2)) == 0
-    L.write_csv(rows.where(~swap), f"{path}/first")
-    L.write_csv(rows.where(swap).select(*reversed(raw.columns)), f"{path}/second")
+    records = None if files or table in MULTI_LINE else LANDING_RECORDS
+    L.write_csv(rows.where(~swap), f"{path}/first", records)
+    L.write_csv(rows.where(swap).select(*reversed(raw.columns)), f"{path}/second", records)
     return path, raw
 
 

@@ -120,9 +120,14 @@ def write_full_refresh(df: DataFrame, path: str, fmt: str = "parquet", partition
     files.remove(spark, old)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header (export of a result or a raw extract); texts keep their outer blanks."""
+def write_csv(df: DataFrame, path: str, gzip_records: int | None = None) -> None:
+    """CSV with header (export of a result or a raw extract); texts keep their outer blanks.
+
+    ``gzip_records``: gzipped files of at most so many records, as a gzipped file has no splits.
+    """
     options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if gzip_records:
+        options |= {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": gzip_records}
     df.write.mode("overwrite").options(**options).csv(path)
 
 

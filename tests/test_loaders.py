@@ -2,10 +2,12 @@
 
 import os
 import tempfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from basketry.sources import files
 from basketry.sources import loaders as L
 from basketry.sources.loaders import LoadSpec
 
@@ -125,3 +127,55 @@ def test_batch_count_beyond_the_progress_history(spark):
         assert read_loaded(spark, target).count() == 8
     finally:
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+
+
+LINE_ITEMS = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+              "l_tax double, l_returnflag string, l_shipdate timestamp_ntz")
+
+
+def _line_items(spark, folder):
+    rows = [(i // 3, i, i % 5, i % 3, 2.0, 10.0 + i, 0.05, "ARN"[i % 3], datetime(1997, 1, 1)) for i in range(90)]
+    rows.append((None, 7, 7, 1, 1.0, 1.0, 0.0, None, None))
+    spark.createDataFrame(rows, LINE_ITEMS).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return len(rows)
+
+
+def test_landing_files_are_gzipped_and_hold_few_records(spark, tmp_path, monkeypatch):
+    from basketry.catalog import loading
+
+    n = _line_items(spark, tmp_path)
+    monkeypatch.setattr(loading, "LANDING_RECORDS", 10)
+    for table in ("order_items", "order_payments"):
+        path, raw = loading._csv_extract(spark, str(tmp_path), table)
+        found = [p for p, _ in files.data_files(spark, path)]
+        assert found and all(p.endswith(".csv.gz") for p in found)
+        assert max(r["count"] for r in spark.read.option("header", True).csv(found).groupBy("_metadata.file_path").count().collect()) <= 10
+        got = L.read_csv(spark, path, raw.schema)
+        assert sorted(map(str, got.collect())) == sorted(map(str, raw.collect()))
+        assert table == "order_payments" or got.count() == n
+
+
+def test_reviews_land_plain_and_without_a_raw_copy(spark, tmp_path):
+    from basketry.catalog import loading
+
+    texts = ['a\n"b", c', "", None, "plain", 'x\n\ny ""']
+    rows = [(i, t, "en", f"s{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    path, raw = loading._csv_extract(spark, str(tmp_path), "order_reviews")
+    assert all(p.endswith(".csv") for p, _ in files.data_files(spark, path))  # split by many tasks
+    assert all("raw/order_reviews" not in f for f in raw.inputFiles())
+    got = L.read_csv(spark, path, raw.schema, multi_line=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, raw.collect()))
+
+
+def test_items_are_numbered_by_tasks_in_proportion_to_their_files(spark, tmp_path, monkeypatch):
+    from basketry.sources import binding
+
+    n = _line_items(spark, tmp_path)
+    size = sum(b for _, b in files.data_files(spark, f"{tmp_path}/lineitem.parquet"))
+    assert binding._item_tasks(spark, str(tmp_path)) is None
+    monkeypatch.setattr(binding, "ITEM_TASK_BYTES", size // 12)
+    assert binding._item_tasks(spark, str(tmp_path)) >= 12
+    got = binding.raw_order_items(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 12
+    assert sorted((r.order_id, r.order_item_id) for r in got.where("order_id is not null").collect()) == [(i // 3, i % 3 + 1) for i in range(n - 1)]

@@ -80,3 +80,13 @@ def test_ordinary_keys_by_window_hot_and_null_keys_by_range(spark):
         mine = split_row_number(df, "k", [("v", True), ("id", False)], "rn")
         ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), "id")))
         assert sorted((r.id, r.rn) for r in mine.collect()) == sorted((r.id, r.rn) for r in ref.collect())
+
+
+def test_ordinary_keys_are_numbered_by_as_many_tasks_as_asked(spark):
+    from basketry.operators.rownum import split_row_number
+
+    df = spark.createDataFrame([(i % 400, i % 7, i) for i in range(1200)], "k long, v long, id long")
+    mine = split_row_number(df, "k", [("v", True), ("id", False)], "rn", 11)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), "id")))
+    assert mine.rdd.getNumPartitions() == 11
+    assert sorted((r.id, r.rn) for r in mine.collect()) == sorted((r.id, r.rn) for r in ref.collect())
