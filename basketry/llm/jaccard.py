@@ -59,12 +59,14 @@ from basketry.llm.store import components, written
 SKETCH_BITS = 22
 _HASH_BITS = 58
 _COUNT_BLOCK = 1 << 13
+#: Bytes of text shingled at a time: the word and window arrays of a slice take some 50 bytes for each of them.
+_SHINGLE_BYTES = 512 << 10
 
 
 def _doc_shingles(batches: Iterator[pa.RecordBatch], n: int, text: str):
     """(rows, shingle hashes, first shingle of each row) of slices; hashes are in text order, with repeats."""
     for b in batches:
-        for rows, data, off in tx.slices(b, text):
+        for rows, data, off in tx.slices(b, text, _SHINGLE_BYTES):
             data = tx.lower(data)
             starts, ends, firsts = tx.word_spans(data, off, tx.SPACED)
             words = tx.word_hashes(data, starts, ends)

@@ -12,11 +12,14 @@ from basketry.session import shared_root
 
 
 BATCH_BYTES = 8 << 20
+#: Rows of a column vector that Spark's Parquet reader fills; by default 4,096, however long their texts are.
+VECTOR_ROWS = 512
 
 
 def package_on_workers(spark: SparkSession) -> None:
     """Puts this package's folder on the Python path of the workers (a cluster without it there
-    ships it by --py-files) and bounds the bytes of an Arrow batch, in tasks and in the JVM."""
+    ships it by --py-files) and bounds the bytes of an Arrow batch, in tasks and in the JVM,
+    and the rows of a column vector."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -24,6 +27,7 @@ def package_on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # freed buffers go back to the machine
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(VECTOR_ROWS))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

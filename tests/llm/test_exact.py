@@ -109,6 +109,24 @@ def test_jaccard_keeps_one_of_each(docs, rows):
     assert set(kept) == set(comp) and set(kept.values()) == {1}
 
 
+def test_jaccard_shingles_small_slices(spark):
+    """What a task holds to shingle a batch doesn't grow with the batch, and Spark reads texts in short column vectors."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = prose(random.Random(4), 5_000)
+    batch = pa.RecordBatch.from_pydict({"text": [text] * (4_000_000 // len(text))})
+    tracemalloc.start()
+    firsts = [f for _, _, f in jaccard._doc_shingles([batch], 4, "text")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(f) - 1 for f in firsts) == batch.num_rows
+    assert peak < 40 << 20, peak
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def thue_morse(bits):
     word = "a"
     for _ in range(bits):
