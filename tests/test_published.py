@@ -145,3 +145,18 @@ def test_second_process_builds_nothing_and_changes_rebuild_what_depends_on_them(
     assert len(changed["dim_sellers"]) == 3 and changed["fct_customer_rfm"] == want["fct_customer_rfm"]
     assert rows(first.table("dim_sellers")) == before  # a reader of the older table goes on
     third.drop()
+
+
+def test_parts_are_published_together_and_their_measures_add_up(spark, tmp_path):
+    target = str(tmp_path / "parts")
+    asked = {"n": F.count_if(F.col("id") > 1), "amount": F.sum(F.col("id").cast("decimal(18,4)"))}
+    parts = [spark.createDataFrame(rows, SCHEMA) for rows in ([(1, "a"), (2, "b")], [], [(3, "c")])]
+    now = published.replace(parts, target, measures=asked)
+    assert len(now.folders) == 3 and now.rows == 3 and now.info["measures"] == {"n": "2", "amount": "6.0000"}
+    assert sorted(r.id for r in published.read(spark, target).collect()) == [1, 2, 3]
+    assert [p.count() for p in published.read_parts(spark, target, now)] == [2, 0, 1]
+    empty = published.replace([parts[1], parts[1]], target, measures=asked)
+    assert empty.info["measures"] == {"n": "0", "amount": None} and published.read(spark, target).isEmpty()
+    with pytest.raises(Exception, match="broken"):
+        published.replace([parts[0], failing(spark)], target)
+    assert published.current(spark, target).number == empty.number  # the part that was written is not shown

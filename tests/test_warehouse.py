@@ -96,3 +96,74 @@ def test_wide_table_is_the_star_join_and_leaves_the_fact_unwritten(spark):
         star = M.sales_star_join(*[wh.table(t) for t in ("fct_order_items_sales", "dim_time", "dim_customers", "dim_products", "dim_sellers", "dim_payments")], wh._buyers())
         assert wide.schema.simpleString() == star.schema.simpleString()
         assert wide.count() == star.count() and wide.exceptAll(star).isEmpty()
+
+
+def test_tables_of_items_are_written_by_shares_of_the_orders(spark, monkeypatch):
+    """The fact, the wide table and its rollup have the same rows in one part and in several, and no order in two of them."""
+    from pyspark.sql import functions as F
+
+    from basketry.plans import warehouse as W
+    from basketry.sources import published
+
+    names = ("fct_order_items_sales", "fct_sales_wide", "_order_rollup")
+
+    def built(n):
+        monkeypatch.setattr(W, "SLICES", n)
+        monkeypatch.setattr(W, "SLICE_BYTES", 1)
+        wh = Warehouse(spark, SF)
+        wh.order_rollup(), wh.table("fct_order_items_sales")
+        return wh
+
+    whole, shared = built(1), built(3)
+    for name in names:
+        a, b = whole._built[name], shared._built[name]
+        assert len(whole._parts(name)) == 1 and len(shared._parts(name)) == 3
+        assert a.schema == b.schema and a.count() == b.count() and a.exceptAll(b).isEmpty()
+        one, now = (published.current(spark, w.path(name)) for w in (whole, shared))
+        assert now.rows == one.rows and now.info["measures"] == one.info["measures"]
+        orders = [p.select("order_id").distinct() for p in shared._parts(name)]
+        both = orders[0].unionAll(orders[1]).unionAll(orders[2])
+        assert both.count() == both.distinct().count() and all(not o.isEmpty() for o in orders)
+    rows = spark.createDataFrame([(None,), ("1",), ("2",), ("2",)], "order_id string")
+    from basketry.plans.models import order_slice
+    shares = [order_slice(rows, k, 3) for k in range(3)]
+    assert sum(s.count() for s in shares) == 4 and sum(s.where(F.col("order_id") == "2").count() > 0 for s in shares) == 1
+
+
+def test_a_hot_order_and_repeated_keys_in_shares(spark, monkeypatch):
+    """Half of the items in one order, some of the orders and customers twice: as the joins of the marts have it."""
+    from pyspark.sql import functions as F
+
+    from basketry.plans import models as M
+    from basketry.sources.binding import raw_customers, raw_order_items, raw_orders
+
+    monkeypatch.setattr(Warehouse, "_slices", lambda self: 3)
+    items = raw_order_items(spark, SF).withColumn("order_id", F.when(F.col("order_id") % 2 == 0, 42).otherwise(F.col("order_id")))
+    twice = {n: f(spark, SF).unionAll(f(spark, SF).where("customer_id % 7 = 0")) for n, f in (("orders", raw_orders), ("customers", raw_customers))}
+    wh = Warehouse(spark, SF, raw={"order_items": items, **twice})
+    assert wh.hot_orders() is not None
+    fact = M.fct_order_items_sales(wh.stg("order_items"), wh.stg("orders"), wh.stg("customers"))
+    assert wh.table("fct_order_items_sales").count() == fact.count() and wh.table("fct_order_items_sales").exceptAll(fact).isEmpty()
+    star = M.sales_star_join(fact, *[wh.table(t) for t in ("dim_time", "dim_customers", "dim_products", "dim_sellers", "dim_payments")], wh._buyers())
+    assert wh.table("fct_sales_wide").count() == star.count() and wh.table("fct_sales_wide").exceptAll(star).isEmpty()
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    import time
+
+    from basketry.session import _CLEANUP
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    wh = Warehouse(spark, SF)
+    hot, before = wh.hot_orders(), files()
+    wh.table("dim_customers"), wh.table("dim_payments"), wh._buyers()
+    wh.save_result("checks/orders", wh.table("dim_payments").groupBy("order_id").count())
+    for _ in range(50):  # other threads remove the files
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert hot is None and not files() - before
+    assert spark.conf.get(_CLEANUP) == "false"
